@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from siltbed.llm import bpe, token_counts
+from siltbed.llm import bpe, mixing, quality, token_counts
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_quality": quality.query,
     "op3_bpe": bpe.query,
     "op9_token_counts": token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_mixing": mixing.ORACLE_SQL,
+    "op2_quality": quality.ORACLE_SQL,
+}
