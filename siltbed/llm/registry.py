@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siltbed.llm import bpe, mixing, quality, token_counts
+from siltbed.llm import bpe, mixing, quality, token_counts, webp
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality": quality.query,
     "op3_bpe": bpe.query,
     "op9_token_counts": token_counts.query,
+    "op10_webp": webp.query,
 }
 
 ORACLE_SQL = {
