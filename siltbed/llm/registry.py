@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siltbed.llm import bpe, mixing, quality, token_counts, webp
+from siltbed.llm import bpe, minhash, mixing, quality, token_counts, webp
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality": quality.query,
     "op3_bpe": bpe.query,
+    "op8_minhash": minhash.query,
     "op9_token_counts": token_counts.query,
     "op10_webp": webp.query,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_quality": quality.ORACLE_SQL,
+    "op8_minhash": minhash.ORACLE_SQL,
 }
