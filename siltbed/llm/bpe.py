@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from siltbed.llm.arrays import HashTable, chunks, offsets_of, ragged
 from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, load_merges
+from siltbed.llm.worker import Shared, per_worker
 
 _SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 #: Words up to this many bytes are encoded in step with each other, longer ones one by one.
@@ -222,7 +223,7 @@ class Decimal:
 
 def _model(spark: SparkSession, path: str):
     words, merges, special = load_merges(path)
-    return spark.sparkContext.broadcast((class_table(), special, words, merges))  # the size of the vocabulary
+    return Shared(spark, (class_table(), special, words, merges))  # the size of the vocabulary
 
 
 def _encoder(model) -> tuple[MergeAutomaton, BatchEncoder]:
@@ -243,7 +244,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     kept, schema = _keep(df, keep, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        _, encoder = _encoder(model)
+        _, encoder = per_worker("bpe", model.key, lambda: _encoder(model))
         for batch in batches:
             for i, j, data, at in chunks(batch.column(0)):
                 flat, by_text = encoder.ids(data, at)
@@ -256,11 +257,11 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with text, decoded from an array of ids; null ids decode to "", broken UTF-8 to U+FFFD."""
     words, _, _ = load_merges(path)
-    model = df.sparkSession.sparkContext.broadcast(words)
+    model = Shared(df.sparkSession, words)
     kept, schema = _keep(df, [c for c in (df.columns if keep is None else keep) if c != ids], [T.StructField("text", T.StringType())])
 
     def run(batches):
-        automaton = MergeAutomaton(model.value, [])
+        automaton = per_worker("labels", model.key, lambda: MergeAutomaton(model.value, []))
         for batch in batches:
             rows = batch.column(0)
             texts = [automaton.decode(np.asarray(r.values, np.int64)).decode("utf-8", "replace") if r.is_valid else "" for r in rows]
@@ -275,8 +276,8 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
     kept, schema = _keep(df, keep, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
-        automaton, encoder = _encoder(model)
-        decimal = Decimal(len(automaton.labels))
+        automaton, encoder = per_worker("bpe", model.key, lambda: _encoder(model))
+        decimal = per_worker("decimal", len(automaton.labels), lambda: Decimal(len(automaton.labels)))
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             for i, j, data, at in chunks(batch.column(0)):

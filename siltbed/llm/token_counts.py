@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from siltbed.llm.arrays import HashTable, chunks, offsets_of, text_buffers
 from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, load_merges
+from siltbed.llm.worker import Shared, per_worker
 
 _NEVER = np.int64(1 << 40)
 
@@ -83,19 +84,17 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
     """``keep`` columns of ``df`` with n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text."""
     spark = df.sparkSession
     words, merges, special = load_merges(path)
-    model = spark.sparkContext.broadcast((class_table(), special, merges, byte_ids(words)))  # the size of the vocabulary
+    model = Shared(spark, (class_table(), special, merges, byte_ids(words)))  # the size of the vocabulary
     keep = [c for c in (keep or df.columns) if c not in ("n_bytes", "n_tokens", "over_limit")]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
-    def run(batches):
+    def counter():
         classes, specials, rules, singles = model.value
         merger = RankMerger(rules, singles)
+        return BatchEncoder(classes, specials, lambda pieces: (merger.merge(pieces)[0], np.zeros(0, np.int32)))
 
-        def counts_only(pieces):
-            n, _ = merger.merge(pieces)
-            return n, np.zeros(0, np.int32)
-
-        encoder = BatchEncoder(classes, specials, counts_only)
+    def run(batches):
+        encoder = per_worker("token-counts", model.key, counter)
         for batch in batches:
             column = batch.column(0)
             _, offsets = text_buffers(column)
