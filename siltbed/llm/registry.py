@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siltbed.llm import bpe, minhash, mixing, ppm, quality, token_counts, webp
+from siltbed.llm import bpe, minhash, mixing, ppm, quality, repair, token_counts, webp
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality": quality.query,
     "op3_bpe": bpe.query,
+    "op6_repair": repair.query,
     "op7_ppm": ppm.query,
     "op8_minhash": minhash.query,
     "op9_token_counts": token_counts.query,
