@@ -270,10 +270,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
     return df.select(F.col(ids).alias("__ids"), *kept).mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and then decoded."""
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256 (and ids) of every whole text, encoded and then decoded."""
     model = _model(df.sparkSession, path)
-    kept, schema = _keep(df, keep, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    results = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    kept, schema = _keep(df, keep, [*results, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches):
         automaton, encoder = per_worker("bpe", model.key, lambda: _encoder(model))
@@ -285,7 +286,8 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
                 spans = list(zip(by_text[:-1].tolist(), by_text[1:].tolist(), strict=True))
                 joined = [sha(decimal.join(flat[a:b])) for a, b in spans]
                 back = [sha(automaton.decode(flat[a:b]).decode("utf-8", "replace").encode()) for a, b in spans]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), pa.array(np.diff(by_text)), pa.array(joined), pa.array(back)], names=schema.names)
+                ids = [pa.ListArray.from_arrays(pa.array(by_text.astype(np.int32)), pa.array(flat, pa.int32()))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), pa.array(np.diff(by_text)), pa.array(joined), pa.array(back), *ids], names=schema.names)
 
     return df.select(F.col(text).alias("__text"), *kept).mapInArrow(run, schema)
 

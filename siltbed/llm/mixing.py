@@ -34,11 +34,11 @@ _BUCKET = 3
 _CELLS = 1024
 
 
-def sizes(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """row_id, doc_id, source, size and order hash of every row."""
+def sizes(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """row_id (the column ``row``, or made here), doc_id, source, size and order hash of every row."""
     ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("doc_id"), F.col(source).alias("source"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col(key).alias("doc_id"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.lit("document "), ident)).alias("order_hash"),
     )
 
@@ -142,13 +142,13 @@ def permuted(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return running(blocks, ["sidx"], "__hash", ["block"], F.lit(1).cast("long"), "rank").drop("__hash")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, shard_slots: int = SHARD_SLOTS, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sized documents, sources, pieces, taken blocks) of a mix.
 
     Taken blocks are (sidx, block, shards): the shards of the slots that take the block, repeats included.
     """
     spark = docs.sparkSession
-    sized = materialize(sizes(docs, text, source, key), "mix-sizes")
+    sized = materialize(sizes(docs, text, source, key, row), "mix-sizes")
     sources = materialize(targets(sized, block), "mix-sources")
     placed = materialize(place(sized, sources, block), "mix-placed")
     slots = draw(spark, sources, shard_slots).join(sources.select("sidx", "blocks"), "sidx")
@@ -157,6 +157,24 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     return sized, sources, pieces(placed, block), taken
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """The mix as rows with the columns of ``docs``: a document appears once for each of up to three times that parts of it
+    are taken, with the words that are taken at least so often, and with its text as it stands where that is all of them.
+    A column n_chars is set to the length of the new text."""
+    stored = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
+    ids = stored.select(F.col("__row").alias("row_id"), text, source, key)
+    sized, _, parts, taken = mix(ids, text, source, key, block, row="row_id")
+    each = parts.join(taken, ["sidx", "block"]).withColumn("__round", F.explode(F.sequence(F.lit(1), F.size("shards"))))
+    spans = F.sort_array(F.collect_list(F.struct("first_word", "words")))  # the pieces of one document
+    picks = each.groupBy("row_id", "__round").agg(spans.alias("__spans"), F.sum("words").alias("__taken"))
+    words = stored.join(picks, stored["__row"] == picks.row_id).withColumn("__words", F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+    part = F.expr("array_join(flatten(transform(__spans, p -> slice(__words, int(p.first_word) + 1, int(p.words)))), '')")
+    out = words.withColumn(text, F.when(F.size("__words") == F.col("__taken"), F.col(text)).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized, sources, parts, taken = mix(docs)

@@ -89,7 +89,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     })
     for step in _repeated_words():
         out = out.withColumns(step)
-    return out.drop("__w", "__l", "__p", "__c", "__s", "__r")
+    # a generator of one row: a filter over the counts would else be pushed into the scan with all their steps inlined, each many times
+    once = F.explode(F.array(F.struct(*COUNTS))).alias("__m")
+    return out.select(*(c for c in df.columns if c not in COUNTS), once).select("*", "__m.*").drop("__m")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
