@@ -1 +1 @@
-""""""
+"""Relational operators over versioned records."""

@@ -1 +1 @@
-""""""
+"""Ingestion of change streams."""
