@@ -8,6 +8,8 @@ names them, so readers are never cut off.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,8 +52,8 @@ class Store:
         value_fits = F.assert_true(F.coalesce(F.octet_length("value"), F.lit(0)) <= MAX_VALUE_BYTES, "value is too long")
         batch = rows.select(F.col("key").cast("string").alias("key"), F.when(~deleted, F.coalesce(value, F.lit(b""))).alias("value"), deleted.alias("deleted"))
         batch = batch.withColumn("place", F.monotonically_increasing_id() + F.when(F.coalesce(key_fits, value_fits).isNull(), F.lit(0)))
-        name = f"log/{segment_name(self.snapshot.next_segment)}-{self.snapshot.number + 1}"
-        batch.write.mode("overwrite").parquet(self.folder.at(name))
+        name = self._fresh(f"log/{segment_name(self.snapshot.next_segment)}")
+        batch.write.parquet(self.folder.at(name))
         n = self._batch(name).count()
         if not n:
             return
@@ -72,7 +74,7 @@ class Store:
         self._open()
         if not self.snapshot.segments:
             return
-        name = f"runs/data-{self.snapshot.next_run}"
+        name = self._fresh(f"runs/data-{self.snapshot.next_run}")
         self._write_run(resolve.latest(self._pending()), name)
         self._commit(next_run=self.snapshot.next_run + 1, pending_writes=0, segments=[], runs=[*self.snapshot.runs, name])
         if len(self.snapshot.runs) >= max(1, self.merge_at):
@@ -81,7 +83,7 @@ class Store:
     def compact(self) -> None:
         """Merges all runs into one. Tombstones go, which only a merge of all runs may do."""
         self._open()
-        name = f"runs/compact-{self.snapshot.next_run}"
+        name = self._fresh(f"runs/compact-{self.snapshot.next_run}")
         merged = resolve.live(resolve.resolve_layers(self._runs())) if self.snapshot.runs else self.spark.createDataFrame([], RECORD)
         self._write_run(merged, name)
         self._commit(next_run=self.snapshot.next_run + 1, runs=[name])
@@ -133,6 +135,11 @@ class Store:
         if self._closed:
             raise ClosedError("the store is closed")
 
+    @staticmethod
+    def _fresh(name: str) -> str:
+        """A folder that no other writer can have chosen: one that loses the race for a snapshot must not touch the winner's files."""
+        return f"{name}.{uuid.uuid4().hex[:12]}"
+
     def _commit(self, **changes) -> None:
         self.snapshot = snapshots.commit(self.folder, self.snapshot, **changes)
 
@@ -162,7 +169,7 @@ class Store:
     def _write_run(self, records: DataFrame, name: str) -> None:
         """One range of keys to each file, sorted within, so that statistics and filters skip what a lookup doesn't need."""
         ordered = records.select("key", "seq", "value", "deleted").repartitionByRange("key").sortWithinPartitions("key")
-        writer = ordered.write.mode("overwrite").option("parquet.block.size", RUN_BLOCK_BYTES)
+        writer = ordered.write.option("parquet.block.size", RUN_BLOCK_BYTES)
         if self.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000").option("parquet.bloom.filter.fpp#key", "0.01")
         writer.parquet(self.folder.at(name))
