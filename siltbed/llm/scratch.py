@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_UNSET = (None, "", "/tmp/checkpoints")
+_UNSET = (None, "")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -249,7 +249,7 @@ def test_cross_colour_and_green():
         a, r, g, bl = bytes_of(v)
         coded.append(argb_of([a, r - delta(to_red, g), g, bl - delta(to_blue, g) - delta(red_to_blue, r)]))
     coded = [argb_of([a, r - g, g, bl - g]) for a, r, g, bl in map(bytes_of, coded)]
-    b = head(10, 6)
+    b = head(10, 8)
     b.put(1, 1), b.put(webp.CROSS_COLOUR, 2), b.put(0, 3)
     write_image(b, [0xFF000000 | red_to_blue << 16 | to_blue << 8 | to_red] * (3 * 2), 3, False)
     b.put(1, 1), b.put(webp.SUBTRACT_GREEN, 2)
