@@ -113,8 +113,8 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in languages])
     raw = [t.encode() for t in texts]
-    samples = [ngrams(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw]
-    rows = [np.concatenate([a for a, _ in s]) for s in samples]
+    samples = (ngrams(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw)
+    rows = [np.concatenate([a for a, _ in s]).astype(np.int32) for s in samples]
     order = rng.permutation(len(rows))
     held, used = order[: max(1, len(order) // 10)], order[len(order) // 10 :]
     emb = rng.normal(0, 0.1, (BUCKETS * len(SIZES), DIM)).astype(np.float32)

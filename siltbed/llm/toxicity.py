@@ -215,14 +215,27 @@ class ToxicityModel:
         return _sigmoid(z - self.cuts[best] + np.log(CUT / (1 - CUT)))
 
 
-def fit(texts: list[str], y: np.ndarray, languages: list[str | None], clean_weight: float = 1.0, seed: int = 11) -> ToxicityModel:
-    """A model of labelled texts; ``clean_weight`` is how many clean texts each sampled one stands for."""
-    known = [(t[:2000], la) for t, la in zip(texts, languages, strict=True) if la is not None]
-    language = langid.fit([t for t, _ in known], [la for _, la in known])
+def _fit_language(spoken: list[tuple[str, str | None]], seed: int) -> langid.LanguageModel:
+    """A language model of at most ``langid.PER_LANGUAGE`` of the windows in each language."""
+    rng, taken = np.random.default_rng(seed), {}
+    known = []
+    for i in rng.permutation(len(spoken)):
+        window, la = spoken[i]
+        taken[la] = taken.get(la, 0) + 1
+        if la is not None and taken[la] <= langid.PER_LANGUAGE:
+            known.append((window, la))
+    return langid.fit([w for w, _ in known], [la for _, la in known])
+
+
+def fit(texts: list[str], y: np.ndarray, spoken: list[tuple[str, str | None]], clean_weight: float = 1.0, seed: int = 11) -> ToxicityModel:
+    """A model of labelled texts and of windows of them with their languages; ``clean_weight`` is how many clean texts each sampled one stands for."""
+    language = _fit_language(spoken, seed)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, language, np.zeros(len(language.languages) + 1))
-    raw = [t.encode() for t in texts]
-    rows = [word_rows(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in raw]
+    rows = []
+    for t in texts:
+        raw = t.encode()
+        rows.append(word_rows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
     rng = np.random.default_rng(seed)
     held = np.zeros(len(y), bool)
     for label in (0, 1):
@@ -234,7 +247,7 @@ def fit(texts: list[str], y: np.ndarray, languages: list[str | None], clean_weig
     z = network.logits(np.concatenate([rows[i] for i in at]), offsets_of(np.array([len(rows[i]) for i in at])))
     weight = np.where(y[at] == 1, 1.0, clean_weight)
     cuts = np.full(len(language.languages) + 1, _threshold(z, y[at], weight))
-    best, _ = language.predict(np.frombuffer(b"".join(raw[i] for i in at), np.uint8), offsets_of(np.array([len(raw[i]) for i in at])))
+    best = np.concatenate([language.predict(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in (texts[i].encode() for i in at)])
     for k in range(len(language.languages)):
         own = best == k
         if y[at][own].sum() >= LEAST_TOXIC and (1 - y[at][own]).sum():
@@ -242,16 +255,25 @@ def fit(texts: list[str], y: np.ndarray, languages: list[str | None], clean_weig
     return ToxicityModel(network, language, cuts)
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", toxic: int = TOXIC, clean: int = CLEAN) -> ToxicityModel:
-    """A model of a bounded sample of ``labelled`` rows."""
-    words = F.size(F.split(F.col("t"), r"\s+"))
-    rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.col(lang).alias("l")).filter("t is not null and y in (0, 1)")
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    place, scale = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("k")), F.lit(1 << 30)), 1 << 30
+def sample_labels(marks: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> tuple[DataFrame, float]:
+    """About ``toxic`` and ``clean`` rows of (k, y), picked by a hash of k, and how many clean rows each of its own stands for."""
+    counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}  # two rows
+    scale = 1 << 30
+    place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("k")), F.lit(scale))
     share = {v: min(1.0, most / counts[v]) if counts.get(v) else 1.0 for v, most in ((0, clean), (1, toxic))}
-    chosen = rows.filter(place < F.when(F.col("y") == 1, int(scale * share[1])).otherwise(int(scale * share[0]))).filter(words <= MAX_WORDS).orderBy("k", "t").toArrow()
-    texts, y = chosen["t"].to_pylist(), np.array(chosen["y"].to_pylist(), np.int64)
-    return fit(texts, y, chosen["l"].to_pylist(), share[1] / share[0])
+    return marks.filter(place < F.when(F.col("y") == 1, int(scale * share[1])).otherwise(int(scale * share[0]))), share[1] / share[0]
+
+
+def train(docs: DataFrame, marks: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ToxicityModel:
+    """A model of a bounded sample of the labels (k, y), with the texts of ``docs``.
+
+    The sample of ids is broadcast to the scan of the texts, so no text is shuffled for it.
+    """
+    chosen, weight = sample_labels(marks)
+    words = F.size(F.split(F.col("t"), r"\s+"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null").join(F.broadcast(chosen), "k")
+    found = rows.filter(words <= MAX_WORDS).withColumn("w", langid.windows("t", "k", 1)[0]).orderBy("k", "t").toArrow()
+    return fit(found["t"].to_pylist(), np.array(found["y"].to_pylist(), np.int64), list(zip(found["w"].to_pylist(), found["l"].to_pylist(), strict=True)), weight)
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -272,10 +294,9 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: li
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """A model of the labelled training rows among ``docs``."""
-    marks = labels.filter("toxic is not null").select(F.col("doc_id"), F.col("toxic").alias("__toxic")).dropDuplicates(["doc_id"])
-    rows = docs.filter(~held_out("doc_id")).select("doc_id", "text", "lang").join(marks, "doc_id")
-    return train(rows, label="__toxic")
+    """A model of the labelled rows among ``docs`` that are not held out; of a document's labels the largest counts."""
+    marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("k")).agg(F.max("toxic").cast("int").alias("y"))
+    return train(docs, marks.filter(~held_out("k")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
