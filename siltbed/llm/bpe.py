@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from siltbed.llm.arrays import HashTable, chunks, offsets_of, ragged
 from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, load_merges
-from siltbed.llm.worker import Shared, per_worker
+from siltbed.llm.worker import Shared, per_worker, release_memory
 
 _SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 #: Words up to this many bytes are encoded in step with each other, longer ones one by one.
@@ -223,7 +223,9 @@ class Decimal:
 
 def _model(spark: SparkSession, path: str):
     words, merges, special = load_merges(path)
-    return Shared(spark, (class_table(), special, words, merges))  # the size of the vocabulary
+    model = Shared(spark, (class_table(), special, words, merges))  # the size of the vocabulary
+    release_memory()
+    return model
 
 
 def _encoder(model) -> tuple[MergeAutomaton, BatchEncoder]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm.arrays import LOWER, chunks, offsets_of
-from siltbed.llm.worker import Shared, per_worker
+from siltbed.llm.worker import Shared, per_worker, release_memory
 
 #: Bound of the training sample: texts of a language, and windows of each text with their characters.
 PER_LANGUAGE, WINDOWS, WINDOW = 1500, 3, 300
@@ -179,7 +179,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     rows = sample(labelled, "l", per_language, "k", "t").select("k", "l", F.explode(windows("t", "k")).alias("w")).filter(F.col("w").rlike(r"\p{L}")).toArrow()
     order = np.lexsort((rows["w"].to_pylist(), rows["k"].to_pylist())) if rows["k"].null_count == 0 and len(rows) else np.arange(len(rows))
     texts, languages = rows["w"].to_pylist(), rows["l"].to_pylist()
-    return fit([texts[i] for i in order], [languages[i] for i in order])
+    model = fit([texts[i] for i in order], [languages[i] for i in order])
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from siltbed.llm import langid
 from siltbed.llm.arrays import LOWER, chunks, mix, offsets_of, powers
-from siltbed.llm.worker import Shared, per_worker
+from siltbed.llm.worker import Shared, per_worker, release_memory
 
 #: Bound of the training sample: texts of each label, and words of a text in it (longer texts are not sampled).
 TOXIC, CLEAN, MAX_WORDS = 4000, 8000, 1200
@@ -296,7 +296,9 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: li
 def trained(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """A model of the labelled rows among ``docs`` that are not held out; of a document's labels the largest counts."""
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("k")).agg(F.max("toxic").cast("int").alias("y"))
-    return train(docs, marks.filter(~held_out("k")))
+    model = train(docs, marks.filter(~held_out("k")))
+    release_memory()
+    return model
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _HELD: dict[str, tuple[Hashable, Any]] = {}
@@ -28,3 +31,12 @@ def per_worker(kind: str, key: Hashable, build: Callable[[], Any]) -> Any:
     if held is None or held[0] != key:
         _HELD[kind] = held = (key, build())
     return held[1]
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: what training used must not stay with a small driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
