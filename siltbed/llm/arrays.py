@@ -37,13 +37,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts (first row, end row, bytes, offsets) of at most ``limit`` bytes where one text allows it."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 8192) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts (first row, end row, bytes, offsets) of at most ``limit`` bytes, where one text allows it, and ``rows`` rows."""
     data, offsets = text_buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
-        j = min(j, i + 8192, n)
+        j = min(j, i + rows, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 

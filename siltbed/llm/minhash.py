@@ -8,14 +8,14 @@ two. Two texts agree in a coordinate with the probability of their similarity,
 with the concentration of independent coordinates.
 
 Texts with equal sets are one class. Classes that share a band of ``ROWS``
-coordinates are candidates. First each class is tied to one earlier class of its
+coordinates are candidates. First each class is tied to the hub of one of its
 buckets that the sketches hold similar, which settles groups of copies
 with a link for each member instead of all pairs; then the pairs of classes in a bucket
-that are still in different components are compared by sketch bits inside the
-join, and what remains is verified. Large buckets are compared block by block.
-At the threshold a pair is missed with probability (1 - 0.8**ROWS)**BANDS, below
-10**-7, and the sketch bits reject it with about 10**-8. Links are confirmed on
-full sets.
+that are still in different components are compared, inside the join and in one
+bucket they share, by the bits of a longer sketch (of the candidates only), and
+what remains is verified. Large buckets are compared block by block. At the
+threshold a pair is missed with probability (1 - 0.8**ROWS)**BANDS, below 10**-7,
+and the sketches reject it with about 10**-8. Links are confirmed on full sets.
 
 Documents are told apart by id and text; rows that repeat both are the same
 document and get the same result. Texts without words (or null) have an empty
@@ -42,25 +42,27 @@ SKETCH, ROWS = 128, 4
 BANDS = SKETCH // ROWS
 #: Coordinates of which two bits may differ between the sketches of linked texts (of 128, at 0.8 about 19 do).
 MAX_BITS_APART = 43
+#: Coordinates of the longer sketch, its longs that are compared first, and how many coordinates may differ in these and in all.
+WIDE, FIRST_LONGS, MAX_FIRST_APART, MAX_WIDE_APART = 2048, 16, 126, 390
 #: Members of a bucket compared in one piece.
 BLOCK = 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ROUND = np.uint64(0xA0761D6478BD642F)
 
 
-def sketches(values: np.ndarray, by_text: np.ndarray) -> np.ndarray:
-    """A row of SKETCH coordinates for each text; texts without shingles keep the empty value."""
+def sketches(values: np.ndarray, by_text: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """A row of ``size`` coordinates for each text; texts without shingles keep the empty value."""
     n = len(by_text) - 1
-    out = np.full((n, SKETCH), _EMPTY, np.uint64)
+    out = np.full((n, size), _EMPTY, np.uint64)
     flat = out.reshape(-1)
     row = np.repeat(np.arange(n), np.diff(by_text))
     live = values
-    for i in range(2 * SKETCH):
+    for i in range(2 * size):
         if not len(live):
             break
         r = mix(live + np.uint64((int(_ROUND) * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
-        place = ((r >> np.uint64(32)) * np.uint64(SKETCH) >> np.uint64(32)).astype(np.int64) if i < SKETCH else i - SKETCH
-        np.minimum.at(flat, row * SKETCH + place, (np.uint64(i) << np.uint64(32)) | (r & np.uint64(0xFFFFFFFF)))
+        place = ((r >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64) if i < size else i - size
+        np.minimum.at(flat, row * size + place, (np.uint64(i) << np.uint64(32)) | (r & np.uint64(0xFFFFFFFF)))
         rows = row[np.flatnonzero(np.append(True, row[1:] != row[:-1]))]
         open_rows = np.zeros(n, bool)
         open_rows[rows] = (out[rows] == _EMPTY).any(axis=1)
@@ -80,9 +82,15 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(sketch: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, as four longs."""
+    """Two bits of each coordinate, 32 coordinates to a long."""
     two = mix(sketch) & np.uint64(3)
-    return (two.reshape(len(sketch), 4, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
+    return (two.reshape(len(sketch), -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def _lists(flat: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow list column."""
+    at = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(flat).reshape(-1)))
 
 
 def features(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
@@ -92,26 +100,22 @@ def features(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
         T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())),
     ])
 
-    def arrays(flat: np.ndarray) -> pa.Array:
-        at = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(flat).reshape(-1)))
-
     def run(batches):
         for batch in batches:
             for i, j, data, at in chunks(batch.column(2)):
                 values, by_text = shingle_sets(data, at, words)
                 a, b = set_keys(values, by_text)
                 sketch = sketches(values, by_text)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(np.diff(by_text)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), arrays(band_keys(sketch)), arrays(sketch_bits(sketch))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(np.diff(by_text)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(band_keys(sketch)), _lists(sketch_bits(sketch))], names=schema.names)
 
     return docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _apart(a: str, b: str) -> Column:
-    """Coordinates whose two bits differ."""
+def _apart(a: str, b: str, column: str, longs: int) -> Column:
+    """Coordinates, of the first ``longs`` longs, whose two bits differ."""
     total = F.lit(0)
-    for k in range(4):
-        x = F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])
+    for k in range(longs):
+        x = F.col(f"{a}.{column}")[k].bitwiseXOR(F.col(f"{b}.{column}")[k])
         total = total + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
     return total
 
@@ -119,7 +123,25 @@ def _apart(a: str, b: str) -> Column:
 def _alike(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketch bits allow a link."""
     x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (_apart(a, b) <= MAX_BITS_APART)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (_apart(a, b, "bits", SKETCH // 32) <= MAX_BITS_APART)
+
+
+def _wide_alike(a: str, b: str) -> Column:
+    """Whether the longer sketches allow a link."""
+    apart = F.expr(f"aggregate(zip_with({a}.wide, {b}.wide, (p, q) -> bit_count(((p ^ q) | shiftrightunsigned(p ^ q, 1)) & 6148914691236517205L)), 0, (s, v) -> s + v)")
+    return (_apart(a, b, "wide", FIRST_LONGS) <= MAX_FIRST_APART) & (apart <= MAX_WIDE_APART)
+
+
+def wide_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """``texts`` (vid, text) with the bits of their longer sketches."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, data, at in chunks(batch.column(1), 1 << 19, 512):
+                wide = sketch_bits(sketches(*shingle_sets(data, at, words), WIDE))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), _lists(wide)], names=["vid", "text", "wide"])
+
+    return texts.mapInArrow(run, "vid long, text string, wide array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -150,20 +172,21 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a bucket, lie in different components and look alike."""
     placed = members.join(roots, members.vid == roots.vertex, "left").select("key", "vid", F.coalesce("root", "vid").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
     # a member's block in its bucket, and each pair of blocks it takes part in
     pieces = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = placed.join(mixed, "key").withColumn("pieces", pieces).withColumn("block", F.pmod(F.xxhash64("vid"), F.col("pieces")).cast("int"))
-    rows = rows.join(classes.select("vid", "n_shingles", "bits"), "vid")
+    rows = rows.join(classes.select("vid", "n_shingles", "bits", "bands"), "vid").join(texts.select("vid", "wide"), "vid")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vid", "root", "n_shingles", "bits")
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vid", "root", "n_shingles", "bits", "bands", "wide")
     x, y = rows.alias("x"), rows.alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     fresh = (F.col("x.vid") < F.col("y.vid")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.block") != F.col("y.block")) | (F.col("x.low") == F.col("x.high")))
-    return x.join(y, same & fresh & _alike("x", "y", percent)).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")  # in one of the buckets they share
+    return x.join(y, same & fresh & _alike("x", "y", percent) & _wide_alike("x", "y") & once).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -185,19 +208,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
 def _roots(docs: DataFrame, classes: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
     """(vertex, root) of the classes that are linked with another."""
     bands = classes.select("vid", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("vid").alias("hub"), F.max("vid").alias("top")).filter("hub < top").select("key", "hub")
+    shared = bands.groupBy("key").agg(F.min("vid").alias("low"), F.max("vid").alias("top"), F.count("*").alias("n")).filter("low < top").select("key", "n")
     members = materialize(bands.join(shared, "key"), "near-members")
     small = classes.select("vid", "n_shingles", "bits")
     involved = members.select("vid").distinct().join(classes.select("vid", "first"), "vid").select("vid", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     source = docs.select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__text_hash"), F.col(text).alias("text"))
     texts = source.join(involved, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))).select("vid", "text")
-    texts = materialize(texts.dropDuplicates(["vid"]), "near-texts")
-    spokes = members.filter("vid > hub").select("vid", "hub").distinct()
+    texts = materialize(wide_sketches(texts.dropDuplicates(["vid"]), words), "near-texts")
+    # the text that a group of copies comes from shares more and larger buckets than any copy; it makes the best hub
+    weight = members.groupBy("vid").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weight, "vid").groupBy("key").agg(F.max_by("vid", F.struct("weight", -F.col("vid"))).alias("hub"), F.max("weight").alias("weight"))
+    spokes = members.select("key", "vid").join(hubs, "key").filter("vid != hub").select("vid", "hub", "weight").distinct()
     tied = spokes.join(small.alias("x"), spokes.vid == F.col("x.vid")).join(small.alias("y"), spokes.hub == F.col("y.vid")).filter(_alike("x", "y", percent))
-    first = tied.groupBy(spokes.vid.alias("b")).agg(F.min(spokes.hub).alias("a")).select("a", "b")
+    best = tied.groupBy(spokes.vid.alias("v")).agg(F.max_by(spokes.hub, F.struct(spokes.weight, -spokes.hub)).alias("hub"))
+    first = best.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
     links = materialize(verify(first, texts, words, percent), "near-links")
     roots = components(links)
-    more = materialize(verify(_rest(members, roots, classes, percent), texts, words, percent), "near-links")
+    more = materialize(verify(_rest(members, roots, classes, texts, percent), texts, words, percent), "near-links")
     return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 
