@@ -2,18 +2,18 @@
 
 The model is a trie of byte contexts of up to ``ORDER`` bytes, counted over every
 training text. A context predicts a symbol with the share of its count; what it
-hasn't kept escapes to the context that is one byte shorter, with the weight of
-one count for each distinct symbol kept (method C) and of the occurrences it
-hasn't kept, and there the symbols that the longer context has are excluded. Below order 0 all byte values not
+hasn't seen escapes to the context that is one byte shorter, with the weight of
+one count for each distinct symbol (method C), and there the symbols that the longer
+context has are excluded. Below order 0 all byte values not
 seen are equally likely. A text's score is log10 of the probability of its
 lower-cased bytes and of an end symbol.
 
-A context keeps the symbols it has seen at least once in ``NODES`` training
-symbols; the others are left to its escape. That leaves at most ``NODES`` nodes of each order, so the
-trie that is sent to the executors has a size that doesn't grow, while its counts
-are of the whole corpus. The unigram base counts every word exactly: words with
-at least one in ``HEAVY`` of all tokens, of which there are at most ``HEAVY``, are looked
-up in a table that is sent along, the others by a join.
+Every gram counts, however rare. The trie is a set of tables, one for each order, and grows with
+the corpus. A symbol's probability depends on its gram of ``ORDER`` + 1 bytes alone, so it is
+worked out by joins once for each distinct gram of the texts. The most frequent of these grams, ``NODES``
+at most, are looked up in a table that is sent along, the others by a join. The unigram base
+counts every word exactly in the same way: words with at least one in ``HEAVY`` of all tokens, of
+which there are at most ``HEAVY``, are sent along.
 
 Null texts are empty: they have the end token alone. A null id counts as an
 empty string. Repeated rows are separate documents. With no training text the
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from siltbed.llm.arrays import LOWER, HashTable, blank_words, chunks, offsets_of, ragged, span_hashes
 from siltbed.llm.scratch import materialize
-from siltbed.llm.worker import Shared, per_worker
+from siltbed.llm.worker import Shared, per_worker, release_memory
 
 ORDER, NODES, HEAVY = 5, 1 << 20, 1 << 18
 #: Byte values that UTF-8 never has: the end of a text, and what stands before its start.
@@ -39,6 +39,8 @@ END, BEFORE = 0xFE, 0xFF
 ALPHABET = 255
 #: Distinct grams that a task holds before it passes them on.
 _HELD = 1 << 21
+#: Bytes of text worked on at once: a symbol takes some hundred bytes meanwhile.
+_CHUNK = 1 << 20
 _UPPER, _LOWER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,7 +73,7 @@ def gather(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
+            for _, _, data, at in chunks(batch.column(0), _CHUNK):
                 values, n = np.unique(grams(data, at, order)[0], return_counts=True)
                 parts.append((values, n))
                 size += len(values)
@@ -83,6 +85,8 @@ def gather(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
                         parts, size = [], 0
         if parts:
             yield _rows(*compact(parts))
+        del parts
+        release_memory()  # idle workers must leave it to the joins
 
     def _rows(values, n):
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["gram", "n"])
@@ -92,7 +96,7 @@ def gather(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
 
 
 class Trie:
-    """Counts by order: of each (context, symbol), and of each context how often it occurs, the symbols kept of it, what they sum to, and what they sum to one order below."""
+    """The model in one memory, for counts that fit there (scoring joins tables instead). Counts by order: of each (context, symbol), and of each context how often it occurs, the symbols kept of it, what they sum to, and what they sum to one order below."""
 
     def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.order = len(nodes) - 1
@@ -150,23 +154,74 @@ class Trie:
         return out
 
 
+def _low(value: Column, size: int) -> Column:
+    """The last ``size`` bytes of grams."""
+    return value.bitwiseAND(F.lit((1 << (8 * size)) - 1))
+
+
+def levels(counted: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """By order, (v, n) of every gram of (gram, n) rows."""
+    out = [counted.select(F.col("gram").alias("v"), "n")]
+    for k in range(order - 1, -1, -1):
+        out.insert(0, materialize(out[0].groupBy(_low(F.col("v"), k + 1).alias("v")).agg(F.sum("n").alias("n")), f"ppm-grams-{k}"))
+    return out
+
+
+def contexts(by_order: list[DataFrame], k: int) -> DataFrame:
+    """Of each context of order ``k``: how often it occurs, its distinct symbols, and what these sum to one order below."""
+    rows = by_order[k].withColumn("context", F.shiftrightunsigned("v", 8))
+    if k:
+        below = by_order[k - 1].select(F.col("v").alias("low"), F.col("n").alias("n_below"))
+        rows = rows.withColumn("low", _low(F.col("v"), k)).join(_few(below, k), "low")
+    else:
+        rows = rows.withColumn("n_below", F.lit(0).cast("long"))
+    return rows.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("n_below").alias("below"))
+
+
+def _few(df: DataFrame, size: int) -> DataFrame:
+    """``df``, sent whole where its keys have at most two bytes: there are few, and a key can have a large share of the rows."""
+    return F.broadcast(df) if size <= 2 else df
+
+
+def chances(seen: DataFrame, more: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, chance, size) of every gram of ``seen`` (gram, n), the training counts, and of ``more``: log10 of its probability, and how frequent it is (an eighth of log2)."""
+    by_order = levels(seen, order)
+    top = contexts(by_order, order).select("context", "total", "kinds")
+    known = seen.withColumn("context", F.shiftrightunsigned("gram", 8)).join(top, "context")
+    known = known.select("gram", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("chance"))
+    zero = F.lit(0).cast("long")
+    rows = more.join(seen.select("gram"), "gram", "left_anti")
+    rows = rows.select("gram", "n", F.lit(0.0).alias("chance"), F.lit(False).alias("found"), zero.alias("cut_total"), zero.alias("cut_kinds"))
+    for k in range(order, -1, -1):
+        rows = rows.withColumn("v", _low(F.col("gram"), k + 1)).withColumn("context", F.shiftrightunsigned("v", 8))
+        rows = rows.join(_few(contexts(by_order, k), k), "context", "left").fillna(0, ["total", "kinds", "below"])
+        if k < order:
+            rows = rows.join(_few(by_order[k].select("v", F.col("n").alias("count")), k + 1), "v", "left")
+        else:
+            rows = rows.withColumn("count", F.lit(None).cast("long"))
+        kinds = F.col("kinds") - F.col("cut_kinds")
+        space = F.col("total") - F.col("cut_total") + kinds
+        step = F.when(F.col("found"), 0.0).when(F.col("count").isNotNull(), F.log10(F.col("count") / space)).when(kinds > 0, F.log10(kinds / space)).otherwise(0.0)
+        if not k:
+            step = step - F.when(F.col("found") | F.col("count").isNotNull(), 0.0).otherwise(F.log10(F.greatest(F.lit(1), ALPHABET - F.col("kinds"))))
+        rows = rows.select(
+            "gram", "n", (F.col("chance") + step).alias("chance"), (F.col("found") | F.col("count").isNotNull()).alias("found"),
+            F.col("below").alias("cut_total"), F.col("kinds").alias("cut_kinds"),
+        )
+    return known.unionByName(rows.select("gram", "n", "chance")).select("gram", "chance", F.floor(F.log2("n") * 8).cast("int").alias("size"))
+
+
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int = NODES) -> list[tuple[np.ndarray, ...]]:
-    """By order, the grams and contexts that occur at least once in ``nodes`` symbols, with their counts."""
-    counted = materialize(gather(docs, text, order), "ppm-grams")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, -(-total // nodes))
+    """By order, all grams and contexts with their counts, in the driver: for texts whose model fits there. ``nodes`` cuts nothing; ``score`` doesn't come here."""
 
-    def frequent(value: Column) -> tuple[np.ndarray, np.ndarray]:
-        rows = counted.groupBy(value.alias("v")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()  # at most ``nodes``, as their counts sum to ``total``
+    def held(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows.toArrow()
         values = rows["v"].to_numpy().view(np.uint64)
         by = np.argsort(values)
         return values[by], rows["n"].to_numpy()[by]
 
-    out = []
-    for k in range(order + 1):
-        short = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
-        out.append((*frequent(short), *frequent(F.shiftrightunsigned(short, 8))))
-    return out
+    by_order = levels(materialize(gather(docs, text, order), "ppm-grams"), order)
+    return [(*held(rows), *held(rows.groupBy(F.shiftrightunsigned("v", 8).alias("v")).agg(F.sum("n").alias("n")))) for rows in by_order]
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -194,13 +249,29 @@ class Unigrams:
         return np.where(at >= 0, self.counts[at], -1) if len(self.counts) else np.full(len(starts), -1)
 
 
-def _score_batches(batches, model, names):
-    nodes, words, counts, space, ends_seen = model.value
-    trie, unigrams = per_worker("ppm", model.key, lambda: (Trie(nodes), Unigrams(words, counts)))
+class Chances:
+    """log10 of the probability of frequent grams."""
+
+    def __init__(self, values: np.ndarray, chance: np.ndarray):
+        self.chance = chance
+        self.table = HashTable(max(1, len(values)))
+        self.table.put(Trie._key(values), np.arange(len(values)))
+
+    def look_up(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each gram, 0 if it isn't held, and whether it is."""
+        at = self.table.get(Trie._key(symbols))
+        return (np.where(at >= 0, self.chance[at], 0.0) if len(self.chance) else np.zeros(len(symbols))), at >= 0
+
+
+def _score_batches(batches, model, names, order):
+    held_grams, words, counts, space, ends_seen = model.value
+    frequent, unigrams = per_worker("ppm", model.key, lambda: (Chances(*held_grams), Unigrams(words, counts)))
     for batch in batches:
-        for i, j, data, at in chunks(batch.column(0)):
-            symbols, by_text = grams(data, at, trie.order)
-            score = np.diff(np.concatenate([[0.0], np.cumsum(trie.log10(symbols))])[by_text])
+        for i, j, data, at in chunks(batch.column(0), _CHUNK):
+            symbols, by_text = grams(data, at, order)
+            chance, there = frequent.look_up(symbols)
+            score = np.diff(np.concatenate([[0.0], np.cumsum(chance)])[by_text])
+            rare_at = offsets_of((~there).astype(np.int64))[by_text]
             low = LOWER[data]
             starts, ends, by = blank_words(low, at)
             c = unigrams.look_up(low, starts, ends)
@@ -213,34 +284,47 @@ def _score_batches(batches, model, names):
             columns = [
                 pa.array(np.diff(by) + 1), pa.array(np.diff(known[by]) + (ends_seen > 0)), pa.array(np.diff(base[by]) + np.log10((ends_seen + 1) / space)),
                 pa.array(score), pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(tail, pa.string())),
+                pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), pa.array(symbols[~there].view(np.int64))),
             ]
             yield pa.RecordBatch.from_arrays([*(x.slice(i, j - i) for x in batch.columns[1:]), *columns], names=names)
+    release_memory()
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, nodes: int = NODES, heavy: int = HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
     training = docs.filter(~held_out(key))
-    trie = train(training, text, order, nodes)
+    seen = materialize(gather(training, text, order), "ppm-grams")
+    rated = materialize(chances(seen, gather(docs.filter(held_out(key)), text, order), order), "ppm-chances")
+    least, room = 1 << 30, nodes
+    for size, n in sorted(rated.groupBy("size").count().collect(), reverse=True):  # at most 8 * 64 sizes
+        room -= n
+        if room < 0:
+            break
+        least = size
+    held = rated.filter(F.col("size") >= least).toArrow()  # at most ``nodes``
+    held_grams = held["gram"].to_numpy().view(np.uint64), held["chance"].to_numpy()
     counts = materialize(word_counts(training, text), "ppm-words")
     n_ends = training.count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + n_ends, v + (n_ends > 0)
     space = float(n + v + 1)
     frequent = counts.filter(F.col("c") * heavy >= n).toArrow()  # at most ``heavy`` words, of the mean length of all tokens at most
-    model = Shared(spark, (trie, frequent["word"].to_pylist(), frequent["c"].to_numpy(), space, n_ends))
-    fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.StringType()))]
+    model = Shared(spark, (held_grams, frequent["word"].to_pylist(), frequent["c"].to_numpy(), space, n_ends))
+    fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.StringType())), ("rare_grams", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(a, b) for a, b in fields)])
-    scored = docs.select(F.col(text).alias("__text"), F.col(key).alias("doc_id"), held_out(key).alias("held_out")).mapInArrow(lambda b: _score_batches(b, model, schema.names), schema)
+    scored = docs.select(F.col(text).alias("__text"), F.col(key).alias("doc_id"), held_out(key).alias("held_out")).mapInArrow(lambda b: _score_batches(b, model, schema.names, order), schema)
     scored = materialize(scored.withColumn("row_id", F.monotonically_increasing_id()), "ppm-scores")
     rare = scored.select("row_id", F.explode("rare").alias("word"))
     found = rare.join(counts.filter(F.col("c") * heavy < n), "word", "left")
     chance = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(space))
-    more = found.groupBy("row_id").agg(F.sum(chance).alias("rare_score"), F.count("c").alias("rare_known"))
-    out = scored.drop("rare").join(more, "row_id", "left")
+    rare_grams = scored.select("row_id", F.explode("rare_grams").alias("gram")).join(rated.filter(F.col("size") < least), "gram")
+    more = found.select("row_id", chance.alias("base"), "c", F.lit(0.0).alias("chance")).unionByName(rare_grams.select("row_id", F.lit(0.0).alias("base"), F.lit(None).cast("long").alias("c"), "chance"))
+    more = more.groupBy("row_id").agg(F.sum("base").alias("rare_base"), F.count("c").alias("rare_known"), F.sum("chance").alias("rare_score"))
+    out = scored.drop("rare", "rare_grams").join(more, "row_id", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 

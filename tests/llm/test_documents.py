@@ -263,6 +263,31 @@ def test_ppm(spark, docs, nodes):
             assert r["score"] == pytest.approx(plain_ppm(trie, 3, [*(t or "").translate(LOWER).encode(), ppm.END]))
 
 
+def plain_counts(texts, order):
+    """What ``plain_ppm`` reads, counted from the texts alone."""
+    out = []
+    for k in range(order + 1):
+        seen, totals = Counter(), Counter()
+        for t in texts:
+            stream = [255] * order + [*(t or "").translate(LOWER).encode(), ppm.END]
+            for i in range(order, len(stream)):
+                context = int.from_bytes(bytes(stream[i - k : i]), "big")
+                seen[context << 8 | stream[i]] += 1
+                totals[context] += 1
+        out.append(tuple(np.array(x) for c in (seen, totals) for x in (list(c), list(c.values()))))
+    return out
+
+
+@pytest.mark.parametrize("nodes", [1 << 20, 300, 0])
+def test_ppm_keeps_every_gram(spark, docs, nodes):
+    texts = corpus()
+    counts = plain_counts([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs, order=3, nodes=nodes, heavy=50).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_ppm(counts, 3, [*(t or "").translate(LOWER).encode(), ppm.END]))
+
+
 def test_ppm_is_a_distribution():
     flat = np.frombuffer(b"abracadabra abracadabra", np.uint8)
     g, _ = ppm.grams(flat, np.array([0, len(flat)]), 2)
