@@ -86,6 +86,47 @@ def may_contain(keys: DataFrame, probes: DataFrame, fpr: float) -> DataFrame:
     return asked.join(present, "bit", "left").groupBy("key").agg((F.count("set") == F.count("*")).alias("may_contain"))
 
 
+#: Bytes of partial filters that a task holds before it passes them on.
+_HELD = 1 << 26
+
+
+def filters_by_run(keys: DataFrame, run: str, fpr: float) -> DataFrame:
+    """(run, n_keys, bits, hashes, encoded) of the Bloom filter of each run's keys, a null run being one too: partial filters by task and run, merged into each file's bytes."""
+    counts = keys.groupBy(F.col(run).alias("__run")).agg(F.count("*").alias("n_keys"))
+    sized = keys.join(counts, F.col(run).eqNullSafe(F.col("__run"))).select(F.col(run).cast("string").alias("run"), "key", "n_keys")
+
+    def rows(held):
+        runs, ns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(ns, pa.int64()), pa.array([f.encode() for f in held.values()], pa.binary())], names=["run", "n_keys", "data"])
+
+    def part(batches):
+        held: dict[tuple[str | None, int], bloom.BloomFilter] = {}
+        size = 0
+        for b in batches:
+            found: dict[tuple[str | None, int], list[bytes]] = {}
+            for name, key, n in zip(b.column(0).to_pylist(), _bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+                found.setdefault((name, n), []).append(key)
+            for which, own in found.items():
+                if which not in held:
+                    held[which] = bloom.BloomFilter(*bloom.parameters(which[1], fpr))
+                    size += len(held[which].data)
+                held[which].add(own)
+                if size > _HELD:
+                    yield rows(held)
+                    held, size = {}, 0
+        if held:
+            yield rows(held)
+
+    def whole(table):
+        n = table["n_keys"][0].as_py()
+        out = bloom.BloomFilter(*bloom.parameters(n, fpr))
+        for raw in table["data"]:
+            out.merge(bloom.BloomFilter.decode(raw.as_py()))
+        return pa.table({"run": table["run"][:1], "n_keys": pa.array([n], pa.int64()), "bits": pa.array([out.bits], pa.int64()), "hashes": pa.array([out.hashes], pa.int32()), "encoded": pa.array([out.encode()], pa.binary())})
+
+    return sized.mapInArrow(part, "run string, n_keys long, data binary").groupBy("run").applyInArrow(whole, "run string, n_keys long, bits long, hashes int, encoded binary")
+
+
 def filter_bytes(keys: DataFrame, fpr: float) -> DataFrame:
     """(n_keys, bits, hashes, encoded) of the Bloom filter of one run's keys: partial filters by task, merged into the file's bytes."""
     n = keys.count()

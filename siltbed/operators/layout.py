@@ -49,23 +49,26 @@ def sparse_index(layout: DataFrame, run: list[str]) -> DataFrame:
     return layout.select(*run, "block_no", "first_key", before.cast("long").alias("offset"), length.cast("long").alias("length"))
 
 
-def floor_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
+def floor_lookup(index: DataFrame, probes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``probes`` (a column key) with the entry that has the greatest first_key not above the key; nulls if none has.
+    With columns ``by``, which both sides have, entries count only where these agree; nulls agree.
 
     Both sides meet in one pass in key order: ranges of keys are split over
     tasks, the last entry of each range is carried to the next, and inside a range
     a window fills it down, so there is no join on an inequality.
     """
-    entries = index.select(F.col("first_key").alias("key"), F.lit(0).alias("kind"), F.struct(*index.columns).alias("entry"))
-    wanted = probes.select("key", F.lit(1).alias("kind"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
+    columns = [c for c in index.columns if c not in by]
+    entries = index.select(*by, F.col("first_key").alias("key"), F.lit(0).alias("kind"), F.struct(*columns).alias("entry"))
+    wanted = probes.select(*by, "key", F.lit(1).alias("kind"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
     both = entries.unionByName(wanted).withColumn("__part", range_of(F.col("key"), split_points(probes, "key")))
-    ordered = W.partitionBy("__part").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = W.partitionBy(*by, "__part").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = both.withColumn("__found", F.last("entry", ignorenulls=True).over(ordered))
-    ends = both.filter("kind = 0").groupBy("__part").agg(F.max_by("entry", "key").alias("__last"))
-    parts = both.select("__part").distinct().join(ends, "__part", "left")
-    carried = parts.select("__part", F.last("__last", ignorenulls=True).over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)).alias("__carried"))
-    out = inside.filter("kind = 1").join(carried, "__part").withColumn("__entry", F.coalesce("__found", "__carried"))
-    return out.select("key", *(F.col(f"__entry.{c}").alias(c) for c in index.columns))
+    last = F.max_by(F.when(F.col("kind") == 0, F.col("entry")), F.when(F.col("kind") == 0, F.col("key"))).alias("__last")
+    parts = both.groupBy(*by, "__part").agg(last)
+    carried = parts.select(*(F.col(c).alias(f"__of_{c}") for c in (*by, "__part")), F.last("__last", ignorenulls=True).over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)).alias("__carried"))
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*by, "__part")]
+    out = inside.filter("kind = 1").join(carried, same).withColumn("__entry", F.coalesce("__found", "__carried"))
+    return out.select(*by, "key", *(F.col(f"__entry.{c}").alias(c) for c in columns))
 
 
 def should_compress(raw: Column, compressed: Column, least: Column) -> Column:

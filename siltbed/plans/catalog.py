@@ -156,6 +156,12 @@ def run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.latest(layered(spark, sf_dir).filter("seq >= 3000 and seq < 4000").drop("tier", "position")).select("key", "seq", "value", "deleted")
 
 
+@query(f"with {_LOG} select run_pos, key, seq, value, deleted from (select *, row_number() over (partition by run_pos, key order by seq desc) as r from log) where r = 1")
+def every_run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of the log, tombstones included; ``run_scan`` is the one at place 3."""
+    return resolve.latest(layered(spark, sf_dir).drop("tier"), keys=("position", "key")).select(F.col("position").alias("run_pos"), "key", "seq", "value", "deleted")
+
+
 _PATHS = ("wal-10.log", "dir/wal-2.log", "wal-1.log", "wal-.log", "wal-x.log", "data-1.sst", "wal-7.log.tmp", "wal-+3.log", "wal-007.log")
 
 
@@ -227,6 +233,17 @@ def index_floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.floor_lookup(index, keys).select("key", "block_no", "first_key")
 
 
+@query(_BLOCKS + """, keys as (select cast(c_custkey as varchar) as key from customer), runs as (select distinct run from placed)
+select runs.run, keys.key, arg_max(placed.block_no, placed.first_key) as block_no, max(placed.first_key) as first_key
+from keys cross join runs left join placed on placed.run = runs.run and placed.first_key <= keys.key group by runs.run, keys.key""")
+def every_index_floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block of every run in which each key would stand; ``index_floor_lookup`` is that of one run."""
+    index = layout.sparse_index(_layout(spark, sf_dir), ["run"]).select("run", "first_key", "block_no")
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
+    probes = keys.crossJoin(documents(spark, sf_dir).select("run").distinct())
+    return layout.floor_lookup(index, probes, ("run",)).select("run", "key", "block_no", "first_key")
+
+
 @query("select doc_id from (select doc_id, text, lag(text) over (order by doc_id) as before from documents) where before > text")
 def unsorted_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text stands before the previous one's: a run in this order would be refused."""
@@ -315,6 +332,12 @@ def bloom_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return udfs.filter_bytes(documents(spark, sf_dir).filter("run = 'src1'"), layout.DEFAULT_FPR)
 
 
+@query()
+def every_bloom_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored Bloom filter of every run's keys; ``bloom_codec`` is that of one run."""
+    return udfs.filters_by_run(documents(spark, sf_dir).select("run", "key"), "run", layout.DEFAULT_FPR)
+
+
 @query(f"with {_LOG} select key, seq, value, deleted from log")
 def record_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log through the binary record format and back."""

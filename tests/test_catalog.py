@@ -52,6 +52,44 @@ def test_bloom_queries(spark):
     assert len(keys) == row["n_keys"] and BloomFilter.decode(bytes(row["encoded"])).may_contain(keys).all()
 
 
+def test_every_run_is_returned(spark):
+    data = "/root/testdata/sf0.01"
+    runs = {}
+    for r in sorted(catalog.change_log(spark, data).collect(), key=lambda r: r["seq"]):
+        runs[r["seq"] // 1000, r["key"]] = (r["seq"], r["value"], r["deleted"])
+    got = catalog.every_run_scan(spark, data).collect()
+    assert len(got) == len(runs) and {(r["run_pos"], r["key"]): (r["seq"], r["value"], r["deleted"]) for r in got} == runs
+    assert len({p for p, _ in runs}) >= 10
+
+    keys = {}
+    for r in catalog.documents(spark, data).select("run", "key").collect():
+        keys.setdefault(r["run"], []).append(r["key"].encode())
+    from siltbed.functions.bloom import BloomFilter
+
+    filters = {r["run"]: r for r in catalog.every_bloom_codec(spark, data).collect()}
+    assert filters.keys() == keys.keys() and len(keys) > 1
+    for run, own in keys.items():
+        assert filters[run]["n_keys"] == len(own) and bytes(filters[run]["encoded"]) == BloomFilter.of(own, 0.01).encode()
+
+    blocks = {}
+    for r in catalog.block_layout(spark, data).collect():
+        blocks.setdefault(r["run"], []).append((r["first_key"], r["block_no"]))
+    found = catalog.every_index_floor_lookup(spark, data).collect()
+    assert {r["run"] for r in found} == keys.keys() == blocks.keys()
+    for r in found:
+        first, number = max((b for b in blocks[r["run"]] if b[0] <= r["key"]), default=(None, None))
+        assert (r["first_key"], r["block_no"]) == (first, number)
+
+
+def test_floor_lookup_by_run(spark):
+    from siltbed.operators.layout import floor_lookup
+
+    index = spark.createDataFrame([("x", "b", 0), (None, "d", 1)], "run string, first_key string, block_no long")
+    probes = spark.createDataFrame([(r, k) for r in ("x", None, "y") for k in ("a", "c", "e")], "run string, key string")
+    got = sorted(((r["run"], r["key"], r["block_no"]) for r in floor_lookup(index, probes, ("run",)).collect()), key=str)
+    assert got == sorted([("x", "a", None), ("x", "c", 0), ("x", "e", 0), (None, "a", None), (None, "c", None), (None, "e", 1), ("y", "a", None), ("y", "c", None), ("y", "e", None)], key=str)
+
+
 def test_point_get_filter_reaches_the_scan(spark):
     plan = catalog.point_get(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "user_id" in plan and plan.rindex("Filter") > plan.rindex("Aggregate")
