@@ -3,18 +3,22 @@
 The reader decodes prefix codes (simple, normal, and several groups chosen by an
 entropy image), literals, back-references with the short-distance map and the
 colour cache, and inverts the predictor, cross-colour, subtract-green and
-palette transforms. Images whose channels use codes of one length each, without
-back-references, cache or entropy image, are read by array operations; all
-others symbol by symbol from lookup tables.
+palette transforms. Symbols are read one by one from lookup tables; transforms
+are inverted by array operations where a sample doesn't wait for its neighbour.
 
 The writer stores a payload as pixels of four 8-bit samples (alpha, red, green,
-blue). A picture of at most 256 colours is stored with the palette transform;
-otherwise each channel gets a code of one length over the sample values that
-occur in it.
+blue). Runs of at least three pixels that occurred before become back-references, other
+pixels that the colour cache holds its symbols, and the rest literals, all in Huffman codes of up
+to ``LIMIT`` bits. Whether there is a palette (of up to 256 colours, in a picture of any
+size), subtract-green or neither, and how large the cache is, is decided by the
+estimated bits of each.
 
 ``store`` and the query take null texts as empty; an empty text is stored as one
-unit of padding. Equal texts give equal bytes. Repeated rows give repeated results; kept
-columns named like a result are replaced.
+unit of padding; an empty table gives an empty result. A very long text becomes a
+wider picture, from ``MOST_PIXELS`` on several pictures of one width, one file after the
+other, so the memory needed has a bound beside the text itself. Equal texts
+give equal bytes; where two forms tie, the plainer one is taken. Ids only pass through, nulls
+too. Repeated rows give repeated results; kept columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ import functools
 import hashlib
 import struct
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltbed.llm.arrays import text_buffers
+from siltbed.llm.arrays import ragged, text_buffers
 
 UNIT = 576
 MAX_SIDE = 1 << 14
@@ -63,22 +69,25 @@ class _Bits:
     """Least significant bit first."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.end = data + b"\0" * 16, 0, 8 * len(data)
+        self.end = 8 * len(data)
+        self.words = np.frombuffer(data + b"\0" * (16 - len(data) % 4), "<u4").tolist()
+        self.held = self.n = self.next = 0
 
-    def peek(self, n: int) -> int:
-        byte = self.at >> 3
-        return (int.from_bytes(self.data[byte : byte + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
+    def fill(self) -> None:
+        """Holds at least 32 bits; beyond the end they are zeros."""
+        if self.n < 32:
+            self.held |= (self.words[self.next] if self.next < len(self.words) else 0) << self.n
+            self.n, self.next = self.n + 32, self.next + 1
 
     def read(self, n: int) -> int:
-        value = self.peek(n)
-        self.at += n
-        if self.at > self.end:
-            raise WebPError("truncated")
+        self.fill()
+        value = self.held & ((1 << n) - 1)
+        self.held, self.n = self.held >> n, self.n - n
         return value
 
-
-def _reverse(code: int, n: int) -> int:
-    return int(format(code, f"0{n}b")[::-1], 2) if n else 0
+    def check(self) -> None:
+        if 32 * self.next - self.n > self.end:
+            raise WebPError("truncated")
 
 
 @functools.lru_cache(maxsize=32)
@@ -91,43 +100,29 @@ def _reversed(n: int) -> np.ndarray:
 
 
 class _Code:
-    """A canonical prefix code as one table over the next bits of the longest code."""
+    """A canonical prefix code as one table over the next bits of the longest code: symbol << 4 | length."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
-        self.single = int(used[0]) if len(used) == 1 else None
-        self.bits = 0 if self.single is not None else int(lengths.max(initial=0))
-        self.lengths, self.used = lengths, used
-        if self.single is not None:
-            self.symbols, self.sizes = [self.single], [0]
+        if len(used) == 1:
+            self.mask, self.table = 0, [int(used[0]) << 4]
             return
-        if not len(used) or int((1 << (self.bits - lengths[used])).sum()) != 1 << self.bits:
+        most = int(lengths.max(initial=0))
+        if not len(used) or int((1 << (most - lengths[used])).sum()) != 1 << most:
             raise WebPError("the code lengths are no complete prefix code")
-        if (lengths[used] == self.bits).all():
-            self.symbols, self.sizes = used[_reversed(self.bits)], None
-            return
-        order = used[np.lexsort((used, lengths[used]))]
-        table, sizes = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int64)
-        code, last = 0, int(lengths[order[0]])
-        for s in order.tolist():
-            n = int(lengths[s])
-            code <<= n - last
-            table[_reverse(code, n) :: 1 << n] = s
-            sizes[_reverse(code, n) :: 1 << n] = n
-            code, last = code + 1, n
-        self.symbols, self.sizes = table.tolist(), sizes.tolist()
-
-    @property
-    def uniform(self) -> bool:
-        """Whether all codes have the same length."""
-        return self.single is not None or self.sizes is None
+        order = used[np.argsort(lengths[used], kind="stable")]
+        size = lengths[order]
+        self.mask, self.table = (1 << most) - 1, np.repeat(order << 4 | size, 1 << (most - size))[_reversed(most)].tolist()
 
     def read(self, bits: _Bits) -> int:
-        if not self.bits:
-            return self.single
-        word = bits.peek(self.bits)
-        bits.at += self.bits if self.sizes is None else self.sizes[word]
-        return int(self.symbols[word])
+        bits.fill()
+        found = self.table[bits.held & self.mask]
+        bits.held, bits.n = bits.held >> (found & 15), bits.n - (found & 15)
+        return found >> 4
+
+    def shifted(self, by: int) -> list[int]:
+        """The table with each symbol shifted to its sample's place in a pixel."""
+        return [(x >> 4) << (by + 4) | x & 15 for x in self.table] if by else self.table
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
@@ -145,29 +140,22 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
         own[CODE_LENGTH_ORDER[k]] = bits.read(3)
     code = _Code(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    if code.uniform and code.bits == 1 and code.used[-1] < 16:  # one bit for each symbol, no repeats
-        n = min(alphabet, left)
-        low, skip = bits.at >> 3, bits.at & 7
-        flags = np.unpackbits(np.frombuffer(bits.data, np.uint8, min((skip + n + 7) >> 3, len(bits.data) - low), low), bitorder="little")[skip : skip + n]
-        bits.at += n
-        if bits.at > bits.end:
-            raise WebPError("truncated")
-        lengths[:n] = code.symbols[flags]
-        return _Code(lengths)
-    at, last = 0, 8
-    while at < alphabet and left > 0:
+    found: list[int] = []
+    last = 8
+    while len(found) < alphabet and left > 0:
         left -= 1
         symbol = code.read(bits)
         if symbol < 16:
-            lengths[at] = symbol
+            found.append(symbol)
             last = symbol or last
-            at += 1
-            continue
-        value, n = (last, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3)) if symbol == 17 else (0, 11 + bits.read(7))
-        if at + n > alphabet:
-            raise WebPError("too many code lengths")
-        lengths[at : at + n] = value
-        at += n
+        elif symbol == 16:
+            found += [last] * (3 + bits.read(2))
+        else:
+            found += [0] * (3 + bits.read(3) if symbol == 17 else 11 + bits.read(7))
+    bits.check()
+    if len(found) > alphabet:
+        raise WebPError("too many code lengths")
+    lengths[: len(found)] = found
     return _Code(lengths)
 
 
@@ -179,27 +167,62 @@ def _extra(bits: _Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
 
 
-def _uniform_pixels(bits: _Bits, group: list[_Code], n: int) -> np.ndarray:
-    """n pixels whose four codes each have one length: bits are dealt out by position alone."""
-    widths = [c.bits for c in group[:4]]
-    stride = sum(widths)
-    if bits.at + stride * n > bits.end:
-        raise WebPError("truncated")
-    channels = [np.full(n, c.single if c.single is not None else 0, np.uint32) for c in group[:4]]
-    if stride:
-        low, high = bits.at >> 3, (bits.at + stride * n + 7) >> 3
-        raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, high - low, low), bitorder="little")
-        raw = raw[bits.at & 7 : (bits.at & 7) + stride * n].reshape(n, stride)
-        at = 0
-        for k, (c, w) in enumerate(zip(group, widths, strict=False)):
-            if w:
-                index = np.packbits(raw[:, at : at + w], axis=1, bitorder="little")
-                index = index[:, 0] if w <= 8 else index[:, 0].astype(np.uint16) | index[:, 1].astype(np.uint16) << 8
-                channels[k] = c.symbols.astype(np.uint32)[index]
-            at += w
-    bits.at += stride * n
-    green, red, blue, alpha = channels
-    return alpha << np.uint32(24) | red << np.uint32(16) | green << np.uint32(8) | blue
+def _back(bits: _Bits, code: _Code, width: int) -> int:
+    """How many pixels a back-reference goes back."""
+    distance = _extra(bits, code.read(bits))
+    if distance > 120:
+        return distance - 120
+    dx, dy = SHORT_DISTANCES[distance - 1]
+    return max(1, dx + dy * width)
+
+
+def _run(bits: _Bits, group: list[_Code], out: array, stop: int, width: int, total: int, cache: list[int] | None, cached: int) -> int:
+    """Reads pixels with one group of codes until ``stop`` of them are there; returns up to which one the cache has them."""
+    green, gm = group[0].table, group[0].mask
+    (red, rm), (blue, bm), (alpha, am) = ((c.shifted(by), c.mask) for c, by in zip(group[1:4], (16, 0, 24), strict=True))
+    held, n, following, words = bits.held, bits.n, bits.next, bits.words
+    end = len(words)
+    drop = 32 - (len(cache) - 1).bit_length() if cache is not None else 0
+    while len(out) < stop:
+        if n < 60:  # four codes have up to 15 bits each
+            if following + 1 >= end + 4:
+                raise WebPError("truncated")
+            for _ in range(2):
+                held |= (words[following] if following < end else 0) << n
+                n += 32
+                following += 1
+        found = green[held & gm]
+        held >>= found & 15
+        n -= found & 15
+        symbol = found >> 4
+        if symbol < 256:
+            r = red[held & rm]
+            held >>= r & 15
+            b = blue[held & bm]
+            held >>= b & 15
+            a = alpha[held & am]
+            held >>= a & 15
+            n -= (r & 15) + (b & 15) + (a & 15)
+            out.append((a >> 4) + (r >> 4) + (symbol << 8) + (b >> 4))
+        elif symbol < 280:
+            bits.held, bits.n, bits.next = held, n, following
+            length = _extra(bits, symbol - 256)
+            back = _back(bits, group[4], width)
+            held, n, following = bits.held, bits.n, bits.next
+            at = len(out)
+            if back > at or at + length > total:
+                raise WebPError("a back-reference leaves the image")
+            if back >= length:
+                out.extend(out[at - back : at - back + length])
+            else:
+                out.extend((out[at - back :] * (length // back + 1))[:length])
+        else:
+            for x in out[cached:]:
+                cache[(_CACHE_MULTIPLIER * x & 0xFFFFFFFF) >> drop] = x
+            cached = len(out)
+            out.append(cache[symbol - 280])
+    bits.held, bits.n, bits.next = held, n, following
+    return cached
 
 
 def _read_pixels(bits: _Bits, width: int, height: int, outermost: bool) -> np.ndarray:
@@ -217,44 +240,16 @@ def _read_pixels(bits: _Bits, width: int, height: int, outermost: bool) -> np.nd
         prefix = ((image >> np.uint32(8)) & np.uint32(0xFFFF)).reshape(-1, across)
         groups = int(prefix.max()) + 1
     codes = [[_read_code(bits, size + ((1 << cache_bits) if k == 0 and cache_bits else 0)) for k, size in enumerate(_ALPHABETS)] for _ in range(groups)]
-    n = width * height
-    if groups == 1 and not cache_bits and all(c.uniform for c in codes[0][:4]) and int(codes[0][0].used.max()) < 256:
-        return _uniform_pixels(bits, codes[0], n)
-    out = [0] * n
+    n, out, cached = width * height, array("I"), 0
     cache = [0] * (1 << cache_bits) if cache_bits else None
-    drop = 32 - cache_bits
-    at = cached = 0
-    group = codes[0]
-    while at < n:
-        if prefix is not None:
-            group = codes[int(prefix[(at // width) >> shift, (at % width) >> shift])]
-        symbol = group[0].read(bits)
-        if symbol < 256:
-            red = group[1].read(bits)
-            blue = group[2].read(bits)
-            out[at] = group[3].read(bits) << 24 | red << 16 | symbol << 8 | blue
-            at += 1
-        elif symbol < 280:
-            length = _extra(bits, symbol - 256)
-            code = _extra(bits, group[4].read(bits))
-            if code > 120:
-                back = code - 120
-            else:
-                dx, dy = SHORT_DISTANCES[code - 1]
-                back = max(1, dx + dy * width)
-            if back > at or at + length > n:
-                raise WebPError("a back-reference leaves the image")
-            for k in range(at, at + length):
-                out[k] = out[k - back]
-            at += length
-        else:
-            for k in range(cached, at):
-                cache[(_CACHE_MULTIPLIER * out[k] & 0xFFFFFFFF) >> drop] = out[k]
-            cached = at
-            out[at] = cache[symbol - 280]
-            at += 1
-        if bits.at > bits.end:
-            raise WebPError("truncated")
+    while len(out) < n:
+        at = len(out)
+        group, stop = 0, n
+        if prefix is not None:  # up to the next tile of the row
+            x, y = at % width, at // width
+            group, stop = int(prefix[y >> shift, x >> shift]), y * width + min(width, ((x >> shift) + 1) << shift)
+        cached = _run(bits, codes[group], out, stop, width, n, cache, cached)
+        bits.check()
     return np.array(out, np.uint32)
 
 
@@ -414,52 +409,245 @@ def decode(data: bytes) -> np.ndarray:
 
 # ---------------------------------------------------------------- writing
 
+#: Longest Huffman code that is written, of the code of code lengths too; cache sizes to choose from; least and most pixels of a back-reference, and how far back it goes.
+LIMIT, LENGTHS_LIMIT, CACHES, SHORTEST, LONGEST, FARTHEST = 12, 7, (0, 7, 10), 3, 4096, (1 << 20) - 120
+#: Estimated bits that a symbol's code length takes.
+_SYMBOL_BITS = 7
+_GREEN, _RED, _BLUE, _ALPHA = 1, 2, 0, 3
+
+
+class _Fields:
+    """Numbers of given widths, written one after the other."""
+
+    def __init__(self):
+        self.values: list[np.ndarray] = []
+        self.widths: list[np.ndarray] = []
+
+    def put(self, values, widths) -> None:
+        self.values.append(np.atleast_1d(np.asarray(values, np.int64)))
+        self.widths.append(np.broadcast_to(np.asarray(widths, np.int64), self.values[-1].shape))
+
+    def packed(self) -> bytes:
+        values, widths = np.concatenate(self.values), np.concatenate(self.widths)
+        flags = [np.zeros(0, np.uint8)]
+        for i in range(0, len(values), 1 << 17):
+            n = widths[i : i + (1 << 17)]
+            flags.append(((np.repeat(values[i : i + (1 << 17)], n) >> ragged(np.zeros(len(n), np.int64), n)) & 1).astype(np.uint8))
+        return np.packbits(np.concatenate(flags), bitorder="little").tobytes()
+
+
+def _depths(weights: list[int]) -> list[int]:
+    """Huffman code lengths for ascending weights: the two lightest of leaves and inner nodes, which also come in ascending order, are joined."""
+    n = len(weights)
+    parent, inner = [0] * (2 * n - 1), []
+    i = j = 0
+    for node in range(n, 2 * n - 1):
+        total = 0
+        for _ in range(2):
+            if i < n and (j >= len(inner) or weights[i] <= inner[j]):
+                total += weights[i]
+                parent[i] = node
+                i += 1
+            else:
+                total += inner[j]
+                parent[n + j] = node
+                j += 1
+        inner.append(total)
+    depth = [0] * (2 * n - 1)
+    for node in range(2 * n - 3, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    return depth[:n]
+
+
+def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
+    """Lengths of a complete prefix code over the symbols that occur, of at most ``limit`` bits; 1 where there is one symbol alone."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) == 1:
+        out[used] = 1
+        return out
+    order = used[np.argsort(counts[used], kind="stable")]
+    weights = counts[order]
+    while True:
+        depths = _depths(weights.tolist())
+        if depths[0] <= limit:
+            out[order] = depths
+            return out
+        weights = (weights + 1) >> 1  # flatter, in the end equal
+
+
+def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits, reversed for writing, and how many of them, by symbol; a symbol that is alone takes none."""
+    used = np.flatnonzero(lengths)
+    code, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    if len(used) > 1:
+        order = used[np.argsort(lengths[used], kind="stable")]
+        most = int(lengths.max())
+        step = 1 << (most - lengths[order])
+        code[order], size[order] = _reversed(most)[np.cumsum(step) - step], lengths[order]
+    return code, size
+
+
+def _write_code(fields: _Fields, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code for symbols with the given counts; bits and sizes by symbol."""
+    used = np.flatnonzero(counts)
+    if not len(used):
+        used, counts = np.zeros(1, np.int64), np.eye(1, len(counts), dtype=np.int64)[0]
+    lengths = code_lengths(counts, LIMIT)
+    if len(used) <= 2 and used[-1] < 256:  # a simple code
+        fields.put([1, len(used) - 1, 1, *used.tolist()], [1, 1, 1, *[8] * len(used)])
+        return _codes(lengths)
+    fields.put(0, 1)
+    symbols, extra, widths = [], [], []
+    begins = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
+    for value, n in zip(lengths[begins].tolist(), np.diff(np.append(begins, len(lengths))).tolist(), strict=True):
+        if value:
+            symbols.append(value), extra.append(0), widths.append(0)
+            n -= 1
+        while n >= 3:
+            if value:
+                symbol, low, most, width = 16, 3, 6, 2
+            else:
+                symbol, low, most, width = (18, 11, 138, 7) if n >= 11 else (17, 3, 10, 3)
+            take = min(n, most)
+            symbols.append(symbol), extra.append(take - low), widths.append(width)
+            n -= take
+        symbols += [value] * n
+        extra += [0] * n
+        widths += [0] * n
+    own = code_lengths(np.bincount(symbols, minlength=19), LENGTHS_LIMIT)
+    in_order = own[list(CODE_LENGTH_ORDER)]
+    slots = max(4, int(np.flatnonzero(in_order)[-1]) + 1)
+    fields.put(slots - 4, 4)
+    fields.put(in_order[:slots], 3)
+    fields.put(0, 1)
+    code, size = _codes(own)
+    fields.put(np.stack([code[symbols], extra], axis=1).reshape(-1), np.stack([size[symbols], widths], axis=1).reshape(-1))
+    return _codes(lengths)
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distances."""
+    x = values - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1].astype(np.int64) - 1
+    n = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + ((x >> np.maximum(high - 1, 0)) & 1)), np.where(x < 4, 0, x & ((1 << np.maximum(n, 0)) - 1)), n
 
-def _field(value: int, n: int) -> np.ndarray:
-    return (value >> np.arange(n)).astype(np.uint8) & 1
 
+@functools.lru_cache(maxsize=16)
+def _short_codes(width: int) -> dict[int, int]:
+    return {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(SHORT_DISTANCES)))}
+
+
+def _references(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first pixel, length, distance) of runs that occurred before, none over another."""
+    n = len(px) - SHORTEST + 1
+    if n < 2:
+        return []
+    wide = px.astype(np.uint64)
+    gram = np.zeros(n, np.uint64)
+    for k in range(SHORTEST):
+        gram = (gram ^ wide[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        gram ^= gram >> np.uint64(29)
+    order = np.argsort(gram, kind="stable")
+    same = np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
+    at, before = order[same + 1], order[same]
+    fine = at - before <= FARTHEST
+    for k in range(SHORTEST):
+        fine &= px[at + k] == px[before + k]
+    back = np.zeros(n, np.int64)
+    back[at[fine]] = (at - before)[fine]
+    begins = np.flatnonzero(np.append(True, back[1:] != back[:-1]))
+    ends = np.append(begins[1:], n)
+    some = back[begins] > 0
+    out, place = [], 0
+    for begin, end, distance in zip(begins[some].tolist(), ends[some].tolist(), back[begins[some]].tolist(), strict=True):
+        begin = max(begin, place)
+        end += SHORTEST - 1  # of the pixels that repeat
+        while end - begin >= SHORTEST:
+            length = min(LONGEST, end - begin)
+            out.append((begin, length, distance))
+            begin = place = begin + length
+    return out
 
-_ZEROS = np.zeros(2, np.uint8)
-#: A simple code of one symbol, which follows in 8 bits.
-_SINGLE = np.array([1, 0, 1], np.uint8)
-#: A simple code of the symbol 0 alone.
-_NO_DISTANCES = np.array([1, 0, 0, 0], np.uint8)
 
+def _bits_of(counts: np.ndarray) -> float:
+    """Estimated bits of symbols with the given counts, and of their code."""
+    n = counts[counts > 0]
+    return float((n * (np.log2(n.sum()) - np.log2(n))).sum()) + _SYMBOL_BITS * len(n) if len(n) > 1 else 0.0
+
+
+def _slots(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cache slot of each pixel, and whether it has the pixel when its turn comes."""
+    slot = ((px * np.uint32(_CACHE_MULTIPLIER)) >> np.uint32(32 - bits)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(px), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+    return slot, hit
+
+
+def _write_pixels(fields: _Fields, argb: np.ndarray, outermost: bool) -> None:
+    """An entropy-coded image: cache size, one group of codes, symbols."""
+    width = argb.shape[1] if argb.ndim > 1 else len(argb)
+    px = np.ascontiguousarray(argb, np.uint32).reshape(-1)
+    sample = _channels(px.reshape(1, -1))[0]
+    runs = np.array(_references(px), np.int64).reshape(-1, 3)
+    alone = np.ones(len(px), bool)
+    alone[ragged(runs[:, 0], runs[:, 1])] = False
+    single = np.flatnonzero(alone)
+    length, length_extra, length_n = _prefixed(runs[:, 1])
+    short = _short_codes(width)
+    distance, distance_extra, distance_n = _prefixed(np.array([short.get(d, d + 120) for d in runs[:, 2].tolist()], np.int64))
+    best = None
+    for cache in CACHES if len(single) >= 64 else (0,):
+        slot, hit = _slots(px, cache) if cache else (np.zeros(0, np.int64), np.zeros(len(px), bool))
+        held, plain = single[hit[single]], single[~hit[single]]
+        green = np.bincount(sample[plain, _GREEN], minlength=280 + ((1 << cache) if cache else 0))
+        green[256:280] += np.bincount(length, minlength=24)
+        if cache:
+            green[280:] += np.bincount(slot[held], minlength=1 << cache)
+        others = [np.bincount(sample[plain, k], minlength=256) for k in (_RED, _BLUE, _ALPHA)]
+        bits = _bits_of(green) + sum(map(_bits_of, others))
+        if best is None or bits < best[0]:
+            best = (bits, cache, slot, held, plain, [green, *others])
+    _, cache, slot, held, plain, counts = best
+    fields.put([1, cache] if cache else 0, [1, 4] if cache else 1)
+    if outermost:
+        fields.put(0, 1)  # no entropy image
+    tables = [_write_code(fields, c) for c in [*counts, np.bincount(distance, minlength=40)]]
+    values, widths = np.zeros((len(px), 4), np.int64), np.zeros((len(px), 4), np.int64)
+    for k, (channel, (code, size)) in enumerate(zip((_GREEN, _RED, _BLUE, _ALPHA), tables[:4], strict=True)):
+        values[plain, k], widths[plain, k] = code[sample[plain, channel]], size[sample[plain, channel]]
+    code, size = tables[0]
+    if cache:
+        values[held, 0], widths[held, 0] = code[280 + slot[held]], size[280 + slot[held]]
+    at = runs[:, 0]
+    values[at], widths[at] = np.stack([code[256 + length], length_extra, tables[4][0][distance], distance_extra], axis=1), np.stack([size[256 + length], length_n, tables[4][1][distance], distance_n], axis=1)
+    written = widths.sum(axis=1) > 0
+    fields.put(values[written].reshape(-1), widths[written].reshape(-1))
+
+
+def _palette_image(argb: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """Places in the palette, in the green samples; several to a pixel where there are few colours."""
+    height, width = argb.shape
+    index, shift = np.searchsorted(palette, argb).astype(np.uint32), _pack_shift(len(palette))
+    if shift:
+        per, bits = 1 << shift, 8 >> shift
+        index = np.pad(index, ((0, 0), (0, -width % per))).reshape(height, -1, per)
+        index = (index << (np.arange(per, dtype=np.uint32) * np.uint32(bits))).sum(axis=2, dtype=np.uint32)
+    return np.uint32(0xFF000000) | index << np.uint32(8)
 
-@functools.lru_cache(maxsize=16)
-def _code_head(width: int) -> np.ndarray:
-    """Start of a normal code whose lengths are 0 and ``width``, each of which takes one bit."""
-    slots = max(CODE_LENGTH_ORDER.index(0), CODE_LENGTH_ORDER.index(width), 3) + 1
-    return np.concatenate([_field(0, 1), _field(slots - 4, 4), *(_field(int(CODE_LENGTH_ORDER[k] in (0, width)), 3) for k in range(slots)), _field(0, 1)])
-
-
-def _write_code(symbols: np.ndarray, alphabet: int) -> tuple[list[np.ndarray], np.ndarray | None, int]:
-    """Bits of a code of one length over ``symbols`` (padded to a power of two), code by symbol, and the length."""
-    if len(symbols) == 1:
-        return [np.concatenate([_SINGLE, _field(int(symbols[0]), 8)])], None, 0
-    width = int(len(symbols) - 1).bit_length()
-    used = np.zeros(alphabet, np.uint8)
-    used[symbols] = 1
-    used[np.flatnonzero(used[:256] == 0)[: (1 << width) - len(symbols)]] = 1
-    code = _reversed(width)[(np.cumsum(used) - 1).clip(0, (1 << width) - 1)]
-    return [_code_head(width), used], code, width
-
-
-def _write_pixels(argb: np.ndarray, outermost: bool) -> list[np.ndarray]:
-    """Bits of an entropy-coded image with one group of codes of one length each."""
-    px = _channels(argb.reshape(1, -1))[0]
-    parts = [_ZEROS[: 1 + outermost]]  # no colour cache, no entropy image
-    columns = []
-    for channel, alphabet in ((1, 280), (2, 256), (0, 256), (3, 256)):
-        values = px[:, channel]
-        bits, code, width = _write_code(np.flatnonzero(np.bincount(values, minlength=256)), alphabet)
-        parts += bits
-        if width:
-            columns.append(np.unpackbits(code.astype(np.uint8)[values][:, None], axis=1, count=width, bitorder="little"))
-    parts.append(_NO_DISTANCES)
-    if columns:
-        parts.append(np.concatenate(columns, axis=1).reshape(-1))
-    return parts
+
+def _subtract_green(argb: np.ndarray) -> np.ndarray:
+    px = _channels(argb).copy()
+    px[..., _BLUE] -= px[..., _GREEN]
+    px[..., _RED] -= px[..., _GREEN]
+    return px.view("<u4").reshape(argb.shape)
+
+
+def _sample_bits(argb: np.ndarray) -> float:
+    px = _channels(argb).reshape(-1, 4)
+    return sum(_bits_of(np.bincount(px[:, k], minlength=256)) for k in range(4))
 
 
 def encode(argb: np.ndarray) -> bytes:
@@ -467,22 +655,27 @@ def encode(argb: np.ndarray) -> bytes:
     height, width = argb.shape
     if not (0 < height <= MAX_SIDE and 0 < width <= MAX_SIDE):
         raise WebPError("image size")
-    parts = [_field(0x2F, 8), _field(width - 1, 14), _field(height - 1, 14), _field(1, 1), _field(0, 3)]
-    palette = np.unique(argb) if argb.size <= 1 << 12 else None  # what has so few colours is small, or worth no search
-    if palette is not None and len(palette) <= min(256, argb.size // 4):
-        n, shift = len(palette), _pack_shift(len(palette))
-        index = np.searchsorted(palette, argb).astype(np.uint32)
-        if shift:
-            per, bits = 1 << shift, 8 >> shift
-            index = np.pad(index, ((0, 0), (0, -width % per))).reshape(height, -1, per)
-            index = (index << (np.arange(per, dtype=np.uint32) * np.uint32(bits))).sum(axis=2, dtype=np.uint32)
+    fields = _Fields()
+    fields.put([0x2F, width - 1, height - 1, 1, 0], [8, 14, 14, 1, 3])
+    argb = np.ascontiguousarray(argb, np.uint32)
+    forms = [(_sample_bits(argb), None, argb)]
+    greenless = _subtract_green(argb)
+    forms.append((_sample_bits(greenless), SUBTRACT_GREEN, greenless))
+    palette = np.unique(argb)
+    if len(palette) <= 256:
+        index = _palette_image(argb, palette)
+        forms.append((_sample_bits(index) + 4 * _SYMBOL_BITS * len(palette), PALETTE, index))
+    _, kind, image = min(forms, key=lambda x: x[0])
+    if kind is not None:
+        fields.put([1, kind], [1, 2])
+    if kind == PALETTE:
+        fields.put(len(palette) - 1, 8)
         steps = _channels(palette.reshape(1, -1))[0]
         steps = np.concatenate([steps[:1], np.diff(steps, axis=0)]).astype(np.uint8).view("<u4").reshape(-1)
-        parts += [_field(1, 1), _field(PALETTE, 2), _field(n - 1, 8), *_write_pixels(steps, False), _field(0, 1)]
-        argb = np.uint32(0xFF000000) | index << np.uint32(8)
-    else:
-        parts.append(_field(0, 1))
-    body = np.packbits(np.concatenate(parts + _write_pixels(np.ascontiguousarray(argb, np.uint32), True)), bitorder="little").tobytes()
+        _write_pixels(fields, steps, False)
+    fields.put(0, 1)
+    _write_pixels(fields, image, True)
+    body = fields.packed()
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
@@ -495,19 +688,33 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * ((-len(text)) % UNIT or (UNIT if not text else 0))
 
 
+#: Pixels of four samples across, rows of them in the tallest picture (wider ones have a multiple), and pixels of the largest picture.
+ACROSS = 12
+MOST_PIXELS = 6 * ACROSS * MAX_SIDE
+
+
 def store(text: bytes) -> bytes:
-    """The WebP file of a padded text; its rows are 12, or a multiple of 12, pixels of four samples wide."""
+    """The WebP file of a padded text, or files one after the other; what is missing to a whole row is filled with bytes 255."""
     payload = np.frombuffer(padded(text), "<u4")
-    width = 12
-    while len(payload) // width > MAX_SIDE:
-        width += 12
-    rest = -len(payload) % width
-    return encode(np.concatenate([payload, np.full(rest, 0xFFFFFFFF, "<u4")]).reshape(-1, width))
+    width = ACROSS * -(-min(len(payload), MOST_PIXELS) // (ACROSS * MAX_SIDE))
+    files = []
+    for i in range(0, len(payload), MOST_PIXELS):
+        part = payload[i : i + MOST_PIXELS]
+        files.append(encode(np.concatenate([part, np.full(-len(part) % width, 0xFFFFFFFF, "<u4")]).reshape(-1, width)))
+    return b"".join(files)
+
+
+def pictures(media: bytes) -> Iterator[np.ndarray]:
+    """The pictures of files one after the other."""
+    at = 0
+    while at < len(media) or not at:
+        yield decode(media[at:] if at else media)
+        at += 8 + struct.unpack_from("<I", media, at + 4)[0]
 
 
 def load(media: bytes, n_bytes: int) -> tuple[bytes, np.ndarray]:
     """The payload of ``n_bytes`` of text, and the pixels."""
-    argb = decode(media)
+    argb = np.concatenate(list(pictures(media)))
     size = max(UNIT, n_bytes + -n_bytes % UNIT)
     return np.ascontiguousarray(argb, "<u4").tobytes()[:size], argb
 
@@ -547,15 +754,16 @@ def media_column(df: DataFrame, text: str = "text", name: str = "media") -> Data
 def pixels(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with width, height and argb (samples alpha, red, green, blue of each pixel, row by row) of a column of WebP files.
 
-    A null or broken file gives nulls in all three.
+    Files of one width one after the other are one picture below the other. A null or broken file, or
+    files of several widths, give nulls in all three.
     """
     results = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("argb", T.BinaryType())]
     others = [c for c in df.columns if c not in ("width", "height", "argb")]
 
     def one(raw: bytes | None):
         try:
-            image = decode(raw) if raw is not None else None
-        except WebPError:
+            image = np.concatenate(list(pictures(raw))) if raw is not None else None
+        except (WebPError, ValueError, struct.error):
             image = None
         return (None, None, None) if image is None else (image.shape[1], image.shape[0], image.astype(">u4").tobytes())
 

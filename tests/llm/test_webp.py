@@ -273,6 +273,69 @@ def test_payloads(n):
         assert back == webp.padded(text) and len(back) % 576 == 0 and back
 
 
+@pytest.mark.parametrize("n", [3_931_777, 3_932_352, 5_000_000, 34_300_000])
+def test_very_long_texts(n):
+    """Sizes at which a row is left over, one that has references beyond the format's reach, and several pictures."""
+    rng = np.random.default_rng(n)
+    words = [rng.integers(97, 123, 7, dtype=np.uint8).tobytes() + b" " for _ in range(50)]
+    text = b"".join(words[k] for k in rng.integers(0, 50, 4000))
+    far = rng.integers(0, 256, 20_000, dtype=np.uint8).tobytes()
+    text = (far + text * (n // len(text) + 1))[: n - len(far)] + far
+    media = webp.store(text)
+    back, argb = webp.load(media, n)
+    assert len(text) == n and back == webp.padded(text)
+    assert argb.shape[1] % 12 == 0 and len(list(webp.pictures(media))) == -(-len(back) // 4 // webp.MOST_PIXELS)
+
+
+def test_what_the_writer_uses():
+    """A written file is read through codes of several lengths, back-references and the cache, and through a transform where one is estimated to save bits."""
+
+    def kinds(media):
+        seen = set()
+        run, back = webp._run, webp._back
+
+        def spy(bits, group, out, stop, width, total, cache, cached):
+            seen.update(["cache"] if cache else [])
+            seen.update(["lengths"] if len({x & 15 for x in group[0].table}) > 1 else [])
+            return run(bits, group, out, stop, width, total, cache, cached)
+
+        webp._run, webp._back = spy, lambda *a: (seen.add("references"), back(*a))[1]
+        try:
+            argb = webp.decode(media)
+        finally:
+            webp._run, webp._back = run, back
+        bits = webp._Bits(media[21:])
+        for n in (14, 14, 1, 3):
+            bits.read(n)
+        if bits.read(1):
+            seen.add(bits.read(2))
+        return seen, argb
+
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(300)]
+    prose = b" ".join(words[k] for k in (rng.integers(0, 300, 3000) ** 2 // 300).tolist())
+    assert kinds(webp.store(prose + prose[:2000]))[0] >= {"cache", "lengths", "references"}
+    assert webp.PALETTE in kinds(webp.store(b"abcd" * 10 + b"efgh" * 300 + b"abcdabcdefgh" * 2000))[0]  # of any size
+    grey = rng.integers(0, 256, (60, 48), dtype=np.uint32)
+    grey = np.uint32(0xFF000000) | (grey + 5 & 255) << np.uint32(16) | grey << np.uint32(8) | (grey - 9 & 255)
+    seen, back = kinds(webp.encode(np.concatenate([grey, rng.permutation(grey.reshape(-1)).reshape(60, 48) ^ np.uint32(1)])))
+    assert webp.SUBTRACT_GREEN in seen and (back[:60] == grey).all()
+
+
+@pytest.mark.parametrize("limit", [7, 12])
+def test_code_lengths_are_complete_and_short(limit):
+    rng = np.random.default_rng(limit)
+    for n in (2, 3, 17, 100):
+        for counts in (rng.integers(0, 50, n), 2 ** np.minimum(np.arange(n), 40), np.ones(n, np.int64)):
+            counts = np.append(counts, [1, 1])
+            lengths = webp.code_lengths(counts, limit)
+            used = lengths[counts > 0]
+            assert (lengths[counts == 0] == 0).all() and used.max() <= limit and (2.0**-used).sum() == 1
+            p = counts[counts > 0] / counts.sum()
+            if used.max() < limit:
+                assert (p * used).sum() < -(p * np.log2(p)).sum() + 1
+
+
 def test_broken_files():
     good = webp.store(b"some text" * 100)
     for bad in (b"", good[:30], b"X" + good[1:], good[:20] + b"\0" + good[21:], good[:24] + b"\xe0" + good[25:]):
