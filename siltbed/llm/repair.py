@@ -3,23 +3,32 @@
 Texts are encoded by the tokenizers library (each distinct pre-split piece once
 to a cache), an end id closes each document, and documents are laid out in
 ascending order of id: a range partition of the ids, sorted within. Runs of whole
-documents of about ``BLOCK_TOKENS`` ids form a block. In each round the frequent
-pairs of neighbouring symbols of a block are replaced by new symbols
-(Re-Pair, a batch of pairs at a time); a rule holds its two symbols and how many
-ids it expands to, so a reader finds any token of any document without expanding
-what comes before it.
+documents of about ``BLOCK_TOKENS`` ids form a block. A block's ids are numbered
+densely; then the frequent pairs of neighbouring symbols are replaced by new
+symbols (Re-Pair, a batch of the most frequent pairs at a time) until none is
+left that saves more bits than its rule takes. Of the grammars on the way, the one with the
+fewest bits is kept: a rule that makes every symbol a bit wider can cost more than it saves.
+A rule holds its two symbols and how many ids it expands to, so a reader finds any
+token of any document without expanding what comes before it.
 
 A block is one binary value of a Parquet table, so Spark's commit protocol
 covers lost executors, and any store that Spark reaches can hold it::
 
-    "SBRP" | version u8 | width u8 (bytes of a symbol, 2 or 4) | 2 bytes 0
-    documents u32 | rules u32 | symbols u32 | first rule symbol u32
-    per document: id i64, tokens u32, symbols u32
-    per rule: left, right (width each), expansion u32 -- as three arrays
-    symbols, width each
-
-All numbers are little-endian. Null texts are empty (the end id alone). A null
-id sorts first and is read back as null. Rows with equal ids are ordered by a hash of the text.
+    "SBRP" | version u8 | bits of a gap, of a symbol and of an expansion, u8 each
+    documents u32 | ids in use u32 | rules u32 | symbols u32
+    per document: id i64, tokens u32, symbols u32 -- as three arrays
+    gaps between the ids in use, ascending
+    per rule: left, right, expansion -- as three arrays
+    symbols
+
+Numbers are little-endian; the arrays below the documents are packed to the bits of the
+header, each filled up to a byte. A symbol below the number of ids in use is an id, others are rules.
+
+Null texts are empty (the end id alone), and so are empty ones. An empty table has no
+blocks. A very long text is a block alone, as a whole. A null
+id sorts first and is read back as null; ids that are no integers are refused.
+Rows with equal ids are ordered by a hash of the text; repeated rows stay repeated.
+Pairs that are equally frequent go in the order of their symbols.
 Extra columns are ignored.
 """
 
@@ -36,16 +45,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltbed.llm.arrays import chunks, offsets_of, ragged
-from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, load_merges
+from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, parse_merges, tokenizer_file
 from siltbed.llm.scratch import materialize
 from siltbed.llm.worker import Shared, per_worker
 
-MAGIC, VERSION = b"SBRP", 1
+MAGIC, VERSION = b"SBRP", 2
 END_ID = 0
-#: Ids to a block (a longer document is one alone), rounds, pairs replaced in a round, and least occurrences of a pair.
-BLOCK_TOKENS, ROUNDS, PAIRS, LEAST = 1 << 18, 4, 4096, 8
+#: Ids to a block (a longer document is one alone), and pairs replaced at a time.
+BLOCK_TOKENS, PAIRS = 1 << 18, 2048
 _NULL_ID = -(1 << 63)
 
 
@@ -56,53 +66,67 @@ class CorruptBlock(ValueError):
 # ---------------------------------------------------------------- grammar
 
 
+_SLOT_BITS, _OFTEN = 18, 4096
+
+
 def _frequent_pairs(symbols: np.ndarray, inner: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the most frequent pairs that start at ``inner``, and the rank (-1: none) of the pair at each of these."""
+    """Keys of about ``pairs`` of the most frequent pairs that start at ``inner``, and the rank (-1: none) of the pair at each of these."""
     keys = symbols[inner].astype(np.uint64) << np.uint64(32) | symbols[inner + 1].astype(np.uint64)
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-    often = np.flatnonzero(np.bincount(slot, minlength=1 << 18)[slot] >= least)  # the rest can't be frequent
+    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    in_slot = np.bincount(slot, minlength=1 << _SLOT_BITS)
+    reached = np.cumsum(np.bincount(np.minimum(in_slot, _OFTEN), minlength=_OFTEN + 1)[::-1])[::-1]  # slots with so many or more
+    enough = max(least, int(np.searchsorted(-reached, -pairs, side="right")) - 1)
     rank = np.full(len(inner), -1, np.int64)
-    if not len(often):
-        return np.zeros(0, np.uint64), rank
-    values, at, n = np.unique(keys[often], return_inverse=True, return_counts=True)
+    values, n = np.unique(keys[in_slot[slot] >= enough], return_counts=True)  # has all pairs that occur ``enough`` times
     best = np.argsort(-n, kind="stable")[:pairs]
     best = best[n[best] >= least]
-    place = np.full(len(values), -1, np.int64)
-    place[best] = np.arange(len(best))
-    rank[often] = place[at]
-    return values[best], rank
+    found = values[best]
+    if len(found):
+        by_slot = np.full(1 << _SLOT_BITS, -1, np.int64)
+        by_slot[((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)[::-1]] = np.arange(len(found))[::-1]
+        rank = by_slot[slot]  # of pairs in one slot the first; the others come in a later round
+        rank[(rank >= 0) & (found[rank] != keys)] = -1
+    return found, rank
+
+
+def width(n: int) -> int:
+    """Bits of the numbers below ``n``."""
+    return max(1, int(n - 1).bit_length())
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols by document, rules as pairs, expansion lengths); no rule spans documents."""
+def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols by document, rules as pairs, expansion lengths) for ids below ``first_rule``; no rule spans documents."""
     symbols = ids.astype(np.int64)
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    rules: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    next_rule = first_rule
-    expansion = np.ones(first_rule, np.int64)
-    for _ in range(rounds):
+    rules, expansion = np.zeros((0, 2), np.int64), np.ones(first_rule, np.int64)
+    best, kept = None, None
+    while True:
+        wide, long = width(first_rule + len(rules)), width(int(expansion.max(initial=1)) + 1)
+        bits = len(symbols) * wide + len(rules) * (2 * wide + long)
+        if best is None or bits < best:
+            best, kept = bits, (symbols.copy(), owner, len(rules))
         inner = np.flatnonzero(owner[:-1] == owner[1:])
+        least = 2 + (long + 1) // wide + 1  # occurrences that save more bits than a rule of this round takes
         found, rank = _frequent_pairs(symbols, inner, pairs, least)
-        if not len(found):
-            break
         hit = rank >= 0
         at, rank = inner[hit], rank[hit]
-        fresh = np.append(True, np.diff(at) > 1)
+        fresh = np.append(True, np.diff(at) > 1)[: len(at)]
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0  # neighbours that overlap: every other one, from the left
         at, rank = at[take], rank[take]
+        often = np.bincount(rank, minlength=len(found)) >= least  # pairs that overlapped others may be rare now
+        at, rank = at[often[rank]], rank[often[rank]]
+        if not len(at):
+            break
         used, rank = np.unique(rank, return_inverse=True)
         new = np.stack([found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
-        rules.append(new)
-        expansion = np.concatenate([expansion, expansion[new].sum(axis=1)])
-        symbols[at] = next_rule + rank
+        symbols[at] = first_rule + len(rules) + rank
+        rules, expansion = np.concatenate([rules, new]), np.concatenate([expansion, expansion[new].sum(axis=1)])
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, owner = symbols[keep], owner[keep]
-        next_rule += len(new)
-    all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return symbols, np.bincount(owner, minlength=len(lengths)), all_rules, expansion[first_rule:]
+    symbols, owner, n = kept
+    return symbols, np.bincount(owner, minlength=len(lengths)), rules[:n], expansion[first_rule : first_rule + n]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -124,41 +148,67 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
 # ---------------------------------------------------------------- blocks
 
 
-def write_block(doc_ids: np.ndarray, ids: np.ndarray, lengths: np.ndarray, first_rule: int) -> bytes:
-    symbols, by_document, rules, expansion = compress(ids, lengths, first_rule)
-    width = 2 if first_rule + len(rules) <= 1 << 16 else 4
-    kind = f"<u{width}"
-    head = MAGIC + struct.pack("<BBHIIII", VERSION, width, 0, len(lengths), len(rules), len(symbols), first_rule)
-    parts = [doc_ids.astype("<i8"), lengths.astype("<u4"), by_document.astype("<u4"), rules[:, 0].astype(kind), rules[:, 1].astype(kind), expansion.astype("<u4"), symbols.astype(kind)]
-    return head + b"".join(p.tobytes() for p in parts)
+_PACKED = 1 << 18
+
+
+def pack(values: np.ndarray, bits: int) -> bytes:
+    """``values`` in ``bits`` bits each, least significant first."""
+    parts = []
+    for i in range(0, len(values), _PACKED):  # whole bytes, but for the last part
+        raw = values[i : i + _PACKED].astype("<u4").view(np.uint8).reshape(-1, 4)
+        parts.append(np.packbits(np.unpackbits(raw, axis=1, count=bits, bitorder="little").reshape(-1), bitorder="little").tobytes())
+    return b"".join(parts)
+
+
+def unpack(raw: bytes, n: int, bits: int) -> np.ndarray:
+    """``n`` numbers of ``bits`` bits."""
+    out = np.zeros(n, np.int64)
+    for i in range(0, n, _PACKED):
+        m = min(_PACKED, n - i)
+        flags = np.unpackbits(np.frombuffer(raw, np.uint8, (m * bits + 7) // 8, i * bits // 8), count=m * bits, bitorder="little").reshape(m, bits)
+        whole = np.zeros((m, 4), np.uint8)
+        packed = np.packbits(flags, axis=1, bitorder="little")
+        whole[:, : packed.shape[1]] = packed
+        out[i : i + m] = whole.view("<u4")[:, 0]
+    return out
+
+
+def write_block(doc_ids: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    used = np.flatnonzero(np.bincount(ids))
+    number = np.zeros(int(used[-1]) + 1, np.int64)
+    number[used] = np.arange(len(used))
+    symbols, by_document, rules, expansion = compress(number[ids], lengths, len(used))
+    gaps = np.diff(used, prepend=0)
+    gap, wide, long = width(int(gaps.max(initial=1)) + 1), width(len(used) + len(rules)), width(int(expansion.max(initial=1)) + 1)
+    head = MAGIC + struct.pack("<BBBBIIII", VERSION, gap, wide, long, len(lengths), len(used), len(rules), len(symbols))
+    parts = [doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), by_document.astype("<u4").tobytes()]
+    return head + b"".join(parts) + pack(gaps, gap) + pack(rules[:, 0], wide) + pack(rules[:, 1], wide) + pack(expansion, long) + pack(symbols, wide)
 
 
 class Block:
     """A block that was read: its tables, and tokens on demand."""
 
     def __init__(self, raw: bytes):
-        if len(raw) < 24 or raw[:4] != MAGIC or raw[4] != VERSION or raw[5] not in (2, 4):
+        if len(raw) < 24 or raw[:4] != MAGIC or raw[4] != VERSION or not all(1 <= x <= 32 for x in raw[5:8]):
             raise CorruptBlock("header")
-        _, width, _, documents, n_rules, n_symbols, self.first_rule = struct.unpack_from("<BBHIIII", raw, 4)
-        if len(raw) != 24 + documents * 16 + n_rules * (2 * width + 4) + n_symbols * width:
+        _, gap, wide, long, documents, n_used, n_rules, n_symbols = struct.unpack_from("<BBBBIIII", raw, 4)
+        tables = [(n_used, gap), (n_rules, wide), (n_rules, wide), (n_rules, long), (n_symbols, wide)]
+        at = 24 + documents * 16
+        if len(raw) != at + sum((n * bits + 7) // 8 for n, bits in tables):
             raise CorruptBlock("length")
-        at, kind = 24, f"<u{width}"
-
-        def take(dtype: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, dtype, n, at)
-            at += out.nbytes
-            return out
-
-        self.doc_ids, self.lengths, self.by_document = take("<i8", documents), take("<u4", documents).astype(np.int64), take("<u4", documents).astype(np.int64)
-        left, right = take(kind, n_rules), take(kind, n_rules)
-        self.rules = np.stack([left, right], axis=1).astype(np.int64)
-        self.expansion = take("<u4", n_rules).astype(np.int64)
-        self.symbols = take(kind, n_symbols).astype(np.int64)
+        self.doc_ids = np.frombuffer(raw, "<i8", documents, 24)
+        self.lengths, self.by_document = (np.frombuffer(raw, "<u4", documents, 24 + documents * k).astype(np.int64) for k in (8, 12))
+        found = []
+        for n, bits in tables:
+            end = at + (n * bits + 7) // 8
+            found.append(unpack(raw[at:end], n, bits))
+            at = end
+        gaps, left, right, self.expansion, self.symbols = found
+        self.used, self.rules, self.first_rule = np.cumsum(gaps), np.stack([left, right], axis=1), n_used
 
     def ids(self) -> np.ndarray:
         """The ids of all documents, one after the other."""
-        return expand(self.symbols, self.rules, self.first_rule)
+        return self.used[expand(self.symbols, self.rules, self.first_rule)]
 
     def tokens(self, document: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of one document; only the symbols that hold them are expanded."""
@@ -169,17 +219,17 @@ class Block:
         ends = np.cumsum(size)
         low, high = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
         skipped = int(ends[low - 1]) if low else 0
-        return expand(own[low:high], self.rules, self.first_rule)[start - skipped : stop - skipped]
+        return self.used[expand(own[low:high], self.rules, self.first_rule)[start - skipped : stop - skipped]]
 
 
 # ---------------------------------------------------------------- tables
 
 
-def _library_encoder(classes: bytes, special: dict[str, int], spec: str) -> BatchEncoder:
+def _library_encoder(raw: bytes) -> BatchEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(spec)
+    tokenizer = Tokenizer.from_str(raw.decode())
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
@@ -188,12 +238,12 @@ def _library_encoder(classes: bytes, special: dict[str, int], spec: str) -> Batc
         lengths = np.array([len(x) for x in ids], np.int64)
         return lengths, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
 
-    out = BatchEncoder(classes, special, encode)
+    out = BatchEncoder(class_table(), parse_merges(raw)[2], encode)
     out.cache.limit = 1_000_000
     return out
 
 
-def _blocks(encoder: BatchEncoder, first_rule: int, batches, block_tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(encoder: BatchEncoder, batches, block_tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
@@ -221,16 +271,15 @@ def _blocks(encoder: BatchEncoder, first_rule: int, batches, block_tokens: int)
 
 def write_ids(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(part, block, documents, tokens, payload): blocks in ascending order of document id."""
-    spark = docs.sparkSession
-    words, _, special = load_merges(path)
-    model = Shared(spark, (class_table(), special, open(path, encoding="utf-8").read()))  # the size of the vocabulary
-    first_rule = len(words)
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is no integer column")
+    model = Shared(docs.sparkSession, tokenizer_file(path))  # the size of the vocabulary
 
     def run(batches):
-        encoder = per_worker("library", model.key, lambda: _library_encoder(*model.value))
+        encoder = per_worker("library", model.key, lambda: _library_encoder(model.value))
         part = TaskContext.get().partitionId()
-        for k, (keys, ids, lengths) in enumerate(_blocks(encoder, first_rule, batches, block_tokens)):
-            payload = write_block(keys, ids, lengths, first_rule)
+        for k, (keys, ids, lengths) in enumerate(_blocks(encoder, batches, block_tokens)):
+            payload = write_block(keys, ids, lengths)
             yield pa.RecordBatch.from_pylist([{"part": part, "block": k, "documents": len(lengths), "tokens": len(ids), "payload": payload}], schema=schema)
 
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64()), ("payload", pa.binary())])
