@@ -16,10 +16,16 @@ Arcs that were resolved once are kept in a bounded table.
 
 Encoding runs over distinct pre-split words: all vocabulary entries that start
 at each byte are read off a trie, then the states of all prefixes are filled in
-from left to right with the one arc that the automaton has. Decoding emits the
-byte label of every arc.
-
-Null texts are taken as empty; empty texts have no tokens and decode to "".
+from left to right with the one arc that the automaton has. A word of more than
+``_IN_STEP`` bytes is cut into pieces that start early, each as if at the start of a
+word. Once a piece's states agree with those of the piece before over the length of the longest
+entry, they agree from there on; where they don't, the piece is walked from the states
+before it. Decoding emits the byte label of every arc.
+
+Null texts are taken as empty; empty texts have no tokens and decode to ""; an
+empty table gives an empty result. Very long texts are encoded whole, as a chunk of
+their own, and a word may be as long as its text. Special strings that overlap
+are taken from the left, of those at one place the longest.
 Repeated rows give repeated results. Columns that are not asked for in ``keep``
 are dropped; a kept column named like a result is replaced by it.
 """
@@ -35,12 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm.arrays import HashTable, chunks, offsets_of, ragged
-from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, load_merges
-from siltbed.llm.worker import Shared, per_worker, release_memory
+from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, parse_merges, tokenizer_file
+from siltbed.llm.worker import Shared, per_worker
 
 _SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
-#: Words up to this many bytes are encoded in step with each other, longer ones one by one.
-_IN_STEP = 64
+#: Words up to this many bytes are encoded in step with each other, longer ones in pieces of so many bytes, so many of them at once.
+_IN_STEP, _PIECE, _AT_ONCE = 64, 512, 2048
 
 
 def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,28 +173,64 @@ class MergeAutomaton:
             end = starts[pick] + self.label_lengths[y] - 1
             ok = np.ones(len(y), bool) if k == 0 else self.has_arc(state[starts[pick] - 1], y)
             state[end[ok]] = y[ok]
-        for w in np.flatnonzero(lengths > _IN_STEP).tolist():
-            self._encode_long(int(begins[w]), int(lengths[w]), first, tokens, state)
+        long = np.flatnonzero(lengths > _IN_STEP)
+        if len(long):
+            self._encode_long(begins[long], lengths[long], first, starts, tokens, state)
         return self._read_back(state, begins, lengths)
 
-    def _encode_long(self, begin: int, length: int, first: np.ndarray, tokens: np.ndarray, state: np.ndarray) -> None:
+    def _encode_long(self, begins: np.ndarray, lengths: np.ndarray, first: np.ndarray, starts: np.ndarray, tokens: np.ndarray, state: np.ndarray) -> None:
+        """States of the prefixes of long words, piece by piece."""
+        longest = int(self.label_lengths.max())
+        early = 2 * longest
+        n = -(-lengths // _PIECE)
+        low = np.repeat(begins, n) + _PIECE * (ragged(np.zeros(len(n), np.int64), n))
+        high = np.minimum(low + _PIECE, np.repeat(begins + lengths, n))
+        begin = np.maximum(low - early, np.repeat(begins, n))
         known: dict[tuple[int, int], bool] = {}
-        size, bounds = self.label_lengths, first[begin : begin + length + 1].tolist()
-        for k in range(length):
-            x = int(state[begin + k - 1]) if k else -1
-            for y in tokens[bounds[k] : bounds[k + 1]].tolist():
-                end = begin + k + int(size[y]) - 1
-                if state[end] >= 0:
+        for i in range(0, len(low), _AT_ONCE):
+            part = slice(i, i + _AT_ONCE)
+            own = self._in_step(begin[part], high[part], first, starts, tokens)
+            for k, (a, b, c) in enumerate(zip(begin[part].tolist(), low[part].tolist(), high[part].tolist(), strict=True)):
+                seen = min(longest, b - a)
+                if seen < longest or (own[k, b - a - seen : b - a] == state[b - seen : b]).all():  # so early a start is the word's
+                    state[b:c] = own[k, b - a : c - a]
+                else:
+                    self._walk(max(a, b - longest), b, c, first, tokens, state, known)
+
+    def _in_step(self, begin: np.ndarray, high: np.ndarray, first: np.ndarray, starts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """States of the prefixes of the spans, each taken as a word."""
+        size = high - begin
+        own = np.full((len(begin), int(size.max())), -1, np.int64)
+        for k in range(own.shape[1]):
+            live = np.flatnonzero(size > k)
+            at = begin[live] + k
+            n = first[at + 1] - first[at]
+            y, row = tokens[ragged(first[at], n)], np.repeat(live, n)
+            end = k + self.label_lengths[y] - 1
+            ok = end < size[row]
+            y, row, end = y[ok], row[ok], end[ok]
+            if k:
+                ok = self.has_arc(own[row, k - 1], y)
+                y, row, end = y[ok], row[ok], end[ok]
+            own[row, end] = y
+        return own
+
+    def _walk(self, at: int, low: int, high: int, first: np.ndarray, tokens: np.ndarray, state: np.ndarray, known: dict[tuple[int, int], bool]) -> None:
+        """States from ``low`` to ``high``, with those before ``low`` given; entries start at ``at`` or later, which is inside the word."""
+        size, bounds = self.label_lengths, first[at : high + 1].tolist()
+        for k in range(at + 1, high):
+            x = int(state[k - 1])
+            for y in tokens[bounds[k - at] : bounds[k - at + 1]].tolist():
+                end = k + int(size[y]) - 1
+                if not low <= end < high or state[end] >= 0:
                     continue
-                if k:
-                    ok = known.get((x, y))
-                    if ok is None:
-                        if len(known) > 1 << 16:
-                            known.clear()
-                        ok = known[x, y] = bool(self.has_arc(np.array([x]), np.array([y]))[0])
-                    if not ok:
-                        continue
-                state[end] = y
+                ok = known.get((x, y))
+                if ok is None:
+                    if len(known) > 1 << 16:
+                        known.clear()
+                    ok = known[x, y] = bool(self.has_arc(np.array([x]), np.array([y]))[0])
+                if ok:
+                    state[end] = y
 
     def _read_back(self, state: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = begins + lengths - 1
@@ -221,17 +263,10 @@ class Decimal:
         return self.flat[ragged(self.starts[ids], self.lengths[ids])].tobytes()[:-1]
 
 
-def _model(spark: SparkSession, path: str):
-    words, merges, special = load_merges(path)
-    model = Shared(spark, (class_table(), special, words, merges))  # the size of the vocabulary
-    release_memory()
-    return model
-
-
-def _encoder(model) -> tuple[MergeAutomaton, BatchEncoder]:
-    classes, special, words, merges = model.value
+def _encoder(model: Shared) -> tuple[MergeAutomaton, BatchEncoder]:
+    words, merges, special = parse_merges(model.value)
     automaton = MergeAutomaton(words, merges)
-    return automaton, BatchEncoder(classes, special, automaton.encode)
+    return automaton, BatchEncoder(class_table(), special, automaton.encode)
 
 
 def _keep(df: DataFrame, keep: list[str] | None, results: list[T.StructField]) -> tuple[list[str], T.StructType]:
@@ -242,7 +277,7 @@ def _keep(df: DataFrame, keep: list[str] | None, results: list[T.StructField]) -
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with ids (array of int) of every whole text."""
-    model = _model(df.sparkSession, path)
+    model = Shared(df.sparkSession, tokenizer_file(path))  # the size of the vocabulary
     kept, schema = _keep(df, keep, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
@@ -258,12 +293,11 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with text, decoded from an array of ids; null ids decode to "", broken UTF-8 to U+FFFD."""
-    words, _, _ = load_merges(path)
-    model = Shared(df.sparkSession, words)
+    model = Shared(df.sparkSession, tokenizer_file(path))  # the size of the vocabulary
     kept, schema = _keep(df, [c for c in (df.columns if keep is None else keep) if c != ids], [T.StructField("text", T.StringType())])
 
     def run(batches):
-        automaton = per_worker("labels", model.key, lambda: MergeAutomaton(model.value, []))
+        automaton = per_worker("labels", model.key, lambda: MergeAutomaton(parse_merges(model.value)[0], []))
         for batch in batches:
             rows = batch.column(0)
             texts = [automaton.decode(np.asarray(r.values, np.int64)).decode("utf-8", "replace") if r.is_valid else "" for r in rows]
@@ -274,7 +308,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
 
 def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256 (and ids) of every whole text, encoded and then decoded."""
-    model = _model(df.sparkSession, path)
+    model = Shared(df.sparkSession, tokenizer_file(path))  # the size of the vocabulary
     results = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     kept, schema = _keep(df, keep, [*results, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 

@@ -37,15 +37,15 @@ def class_table() -> bytes:
     import regex
     from tokenizers import pre_tokenizers
 
-    table = np.zeros(0x110000, np.uint8)
-    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    for c in chars:
-        table[ord(c)] = _CLASS.get(unicodedata.category(c)[0], OTHER)
-    newer = np.zeros(0x110000, np.uint8)
-    whole = "".join(chars)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, whole):
-            newer[[ord(c) for c in m[0]]] = kind
+    table, newer = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
+    for low in range(0, 0x110000, 0x800):  # 0xD800 to 0xDFFF are one such range
+        if low == 0xD800:
+            continue
+        whole = "".join(map(chr, range(low, low + 0x800)))
+        table[low : low + 0x800] = [_CLASS.get(unicodedata.category(c)[0], OTHER) for c in whole]
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(pattern, whole):
+                newer[low + m.start() : low + m.end()] = kind
     table[newer == SPACE] = SPACE
     ask = np.flatnonzero((table != newer) | (table == SPACE))
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
@@ -65,20 +65,25 @@ class Splitter:
         self.table = np.frombuffer(zlib.decompress(classes), np.uint8)
         self.specials = sorted(((k.encode(), v) for k, v in specials.items()), key=lambda x: -len(x[0]))
 
-    def _special_spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    def _special_spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and tokens of the special strings: the leftmost one, of those the longest, and on from its end."""
+        raw = data.tobytes() if self.specials else b""
         found: list[tuple[int, int, int]] = []
-        raw = None
         for word, token in self.specials:
-            raw = raw if raw is not None else data.tobytes()
             at = raw.find(word)
             while at >= 0:
-                end = at + len(word)
-                if np.searchsorted(offsets, at, side="right") == np.searchsorted(offsets, end - 1, side="right") and all(end <= a or at >= b for a, b, _ in found):
-                    found.append((at, end, token))
-                    at = raw.find(word, end)
-                else:
-                    at = raw.find(word, at + 1)
-        return sorted(found)
+                found.append((at, len(word), token))
+                at = raw.find(word, at + 1)
+        start, size, token = np.array(found, np.int64).reshape(-1, 3).T
+        inside = np.searchsorted(offsets, start, side="right") == np.searchsorted(offsets, start + size - 1, side="right")
+        start, size, token = start[inside], size[inside], token[inside]
+        order = np.lexsort((-size, start))
+        taken, end = [], 0
+        for k, a, b in zip(order.tolist(), start[order].tolist(), (start + size)[order].tolist(), strict=True):
+            if a >= end:
+                taken.append(k)
+                end = b
+        return start[taken], (start + size)[taken], token[taken]
 
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Byte starts and ends of pre-tokens, their offsets by text, and token ids of special strings (else -1)."""
@@ -87,10 +92,8 @@ class Splitter:
         cps = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         n = len(cps)
         first = np.flatnonzero((data & 0xC0) != 0x80)  # byte offset of each character
-        special = self._special_spans(data, offsets)
-        cuts = offsets[:-1]
-        if special:
-            cuts = np.concatenate([cuts, [x for a, b, _ in special for x in (a, b)]])
+        a, b, t = self._special_spans(data, offsets)
+        cuts = np.concatenate([offsets[:-1], a, b])
         seg = np.zeros(n + 1, bool)
         seg[np.searchsorted(first, cuts)] = True
         seg[n] = True
@@ -115,8 +118,7 @@ class Splitter:
         start[n] = False
         at = first[np.flatnonzero(start[:n])]
         ids = None
-        if special:
-            a, b, t = (np.array(x, np.int64) for x in zip(*special, strict=True))
+        if len(a):
             i = np.searchsorted(a, at, side="right") - 1
             inside = (i >= 0) & (at > a[i]) & (at < b[i])
             at, i = at[~inside], i[~inside]
@@ -217,10 +219,10 @@ class BatchEncoder:
         return flat, ends_of[by_text]
 
 
-@functools.lru_cache(maxsize=4)
-def load_merges(path: str) -> tuple[list[bytes], list[tuple[int, int, int]], dict[str, int]]:
+@functools.lru_cache(maxsize=1)
+def parse_merges(raw: bytes) -> tuple[list[bytes], list[tuple[int, int, int]], dict[str, int]]:
     """Bytes of every id, merges as (left, right, result) in rank order, and special strings of a byte-level tokenizer file."""
-    spec = json.loads(open(path, encoding="utf-8").read())
+    spec = json.loads(raw)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
     letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
     vocab = spec["model"]["vocab"]
@@ -237,6 +239,16 @@ def load_merges(path: str) -> tuple[list[bytes], list[tuple[int, int, int]], dic
     return words, merges, special
 
 
+def tokenizer_file(path: str) -> bytes:
+    """The file as the driver sees it; workers get its bytes (a few MB) and build all tables from them, so the driver holds none."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def load_merges(path: str) -> tuple[list[bytes], list[tuple[int, int, int]], dict[str, int]]:
+    return parse_merges(tokenizer_file(path))
+
+
 def default_path() -> str:
     """The byte-level vocabulary that the queries use; operators take any such file."""
     import public_tokenizers

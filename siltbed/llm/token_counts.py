@@ -4,15 +4,22 @@ Distinct pre-tokens of a batch are held as one ragged array of symbols. Every
 round finds, for each sequence, its lowest-ranked adjacent pair and replaces
 all its occurrences at once (left to right where they overlap); what survives
 when no sequence has a mergeable pair are its tokens. A pair that a merge
-creates ranks above that merge, so a round never has to be undone.
-
-Null texts count as empty. Empty texts have 0 tokens. Rows are kept as they
-are: repeated rows give repeated results, and columns other than the text pass
-through unless their name is one of the results, which then replaces them.
+creates ranks above that merge, so a round never has to be undone. Sequences of
+more than ``LONG`` bytes would need a round over all their symbols for each rank in
+them: there the places of each rank are kept, and a round touches these alone.
+
+Null texts count as empty. Empty texts have 0 tokens; an empty table gives an
+empty result. Very long texts are counted whole, as a chunk of their own, and a
+pre-token may be as long as its text. Of pairs of one rank that overlap the left
+one is merged. Rows are kept as they are: repeated rows give repeated results, and
+columns other than the text pass through unless their name is one of the results,
+which then replaces them.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm.arrays import HashTable, chunks, offsets_of, text_buffers
-from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, load_merges
+from siltbed.llm.pretokens import BatchEncoder, class_table, default_path, parse_merges, tokenizer_file
 from siltbed.llm.worker import Shared, per_worker
 
 _NEVER = np.int64(1 << 40)
+#: Bytes of a sequence from which the places of each rank are kept.
+LONG = 256
 
 
 class RankMerger:
@@ -31,7 +40,7 @@ class RankMerger:
 
     def __init__(self, merges: list[tuple[int, int, int]], byte_ids: np.ndarray):
         table = np.array(merges, np.int64).reshape(-1, 3)
-        self.byte_ids, self.result = byte_ids, table[:, 2]
+        self.byte_ids, (self.left, self.right, self.result) = byte_ids, table.T
         self.pairs = HashTable(max(1, len(table)))
         keys, first = np.unique(self._key(table[:, 0], table[:, 1]), return_index=True)
         self.pairs.put(keys, first)
@@ -46,6 +55,10 @@ class RankMerger:
         symbols = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        if (lengths > LONG).any():
+            long = np.repeat(lengths > LONG, lengths)
+            done.append(self._merge_long(owner[long], symbols[long]))
+            owner, symbols = owner[~long], symbols[~long]
         while len(symbols):
             rank = np.full(len(symbols), _NEVER)
             inside = np.flatnonzero(owner[:-1] == owner[1:])
@@ -74,6 +87,49 @@ class RankMerger:
         return np.bincount(who, minlength=len(pieces)), what[np.argsort(who, kind="stable")].astype(np.int32)
 
 
+    def _merge_long(self, owner: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of the symbols of long sequences, with its sequences: rank by rank, at the places that have the rank."""
+        n = len(symbols)
+        after = np.append(np.where(owner[1:] == owner[:-1], np.arange(1, n), n), n)  # n: none
+        before = np.append(-1, np.where(owner[1:] == owner[:-1], np.arange(n - 1), -1))
+        alive = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            rank = self.pairs.get(self._key(symbols[at], symbols[after[at]]))
+            at, rank = at[rank >= 0], rank[rank >= 0]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for r, own in zip(rank[np.append(0, cuts)].tolist() if len(rank) else [], np.split(at, cuts), strict=False):
+                if r not in places:
+                    heapq.heappush(ranks, r)
+                places.setdefault(r, []).append(own)
+
+        note(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (after[at] < n)]
+            at = at[(symbols[at] == self.left[r]) & (symbols[after[at]] == self.right[r])]
+            if not len(at):
+                continue
+            if self.left[r] == self.right[r]:
+                fresh = np.append(True, after[at[:-1]] != at[1:])
+                run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = after[at]
+            symbols[at], alive[gone] = self.result[r], False
+            after[at] = after[gone]
+            follows = after[at] < n
+            before[after[at[follows]]] = at[follows]
+            left = before[at]
+            note(np.union1d(left[left >= 0], at))
+        return owner[alive], symbols[alive]
+
+
 def byte_ids(words: list[bytes]) -> np.ndarray:
     """Token id of every single byte."""
     at = {w: i for i, w in reversed(list(enumerate(words))) if len(w) == 1}
@@ -83,15 +139,14 @@ def byte_ids(words: list[bytes]) -> np.ndarray:
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, limit: int = 512) -> DataFrame:
     """``keep`` columns of ``df`` with n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text."""
     spark = df.sparkSession
-    words, merges, special = load_merges(path)
-    model = Shared(spark, (class_table(), special, merges, byte_ids(words)))  # the size of the vocabulary
+    model = Shared(spark, tokenizer_file(path))  # the size of the vocabulary
     keep = [c for c in (keep or df.columns) if c not in ("n_bytes", "n_tokens", "over_limit")]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def counter():
-        classes, specials, rules, singles = model.value
-        merger = RankMerger(rules, singles)
-        return BatchEncoder(classes, specials, lambda pieces: (merger.merge(pieces)[0], np.zeros(0, np.int32)))
+        words, merges, specials = parse_merges(model.value)
+        merger = RankMerger(merges, byte_ids(words))
+        return BatchEncoder(class_table(), specials, lambda pieces: (merger.merge(pieces)[0], np.zeros(0, np.int32)))
 
     def run(batches):
         encoder = per_worker("token-counts", model.key, counter)

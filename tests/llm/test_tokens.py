@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -56,6 +57,61 @@ def test_counts(docs, library):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len(t.encode()), n, n > 512)
 
 
+def long_texts():
+    rng = random.Random(9)
+    syllables = ["the", "quick", "information", "ing", "er", "schön", "straße"]
+    return {
+        "one piece": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "words": "".join(rng.choice(syllables) for _ in range(200_000)),
+        "special": "<|endoftext|>" * 150_000, "special and parts": "".join(rng.choice(["<|endoftext|>", "<|endof", "|>", "text", " "]) for _ in range(50_000)),
+        "one letter": "a" * 100_001, "dashes": "-" * 30_011, "period of three": "abc" * 20_003, "no blanks": "".join(chr(rng.randint(0x4E00, 0x5000)) for _ in range(40_000)),
+        "blanks": " " * 50_001 + "x", "text": " ".join(rng.choice(syllables) for _ in range(100_000)),
+    }
+
+
+@pytest.mark.parametrize("name", long_texts())
+def test_long_pieces_and_special_strings(library, name):
+    text = long_texts()[name]
+    raw = text.encode()
+    data, at = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    words, merges, special = pretokens.load_merges(pretokens.default_path())
+    want = library.encode(text, add_special_tokens=False).ids
+    began = time.perf_counter()
+    automaton = bpe.MergeAutomaton(words, merges)
+    ids, _ = pretokens.BatchEncoder(pretokens.class_table(), special, automaton.encode).ids(data, at)
+    assert ids.tolist() == want and automaton.decode(ids) == raw
+    merger = token_counts.RankMerger(merges, token_counts.byte_ids(words))
+    counts = pretokens.BatchEncoder(pretokens.class_table(), special, lambda pieces: (merger.merge(pieces)[0], np.zeros(0, np.int32))).counts(data, at)
+    assert counts.tolist() == [len(want)]
+    assert time.perf_counter() - began < 60  # seconds where quadratic work takes hours
+
+
+def test_special_strings_leftmost_and_longest():
+    splitter = pretokens.Splitter(pretokens.class_table(), {"<a>": 1, "<a><b>": 2, "b><": 3, "aa": 4})
+    texts = ["<a><b><a>x<a", "><b>", "aaaaa", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    start, end, token = splitter._special_spans(data, at)
+    want = []
+    for t, begin in zip(texts, at.tolist(), strict=False):  # character by character
+        k = 0
+        while k < len(t):
+            hit = max((w for w in ("<a>", "<a><b>", "b><", "aa") if t.startswith(w, k)), key=len, default="")
+            want += [(begin + k, begin + k + len(hit))] if hit else []
+            k += len(hit) or 1
+    assert list(zip(start.tolist(), end.tolist(), strict=True)) == want and token.tolist() == [2, 1, 4, 4]
+
+
+def test_pieces_whose_states_never_agree():
+    """Merges of period three: no early start that isn't a multiple of it reaches the same states."""
+    words = [b"a", b"b", b"aa", b"aaa", b"ab"]
+    automaton = bpe.MergeAutomaton(words, [(0, 0, 2), (2, 0, 3), (0, 1, 4)])
+    for n in (65, 511, 512, 513, 1100, 5000):
+        counts, ids = automaton.encode([b"a" * n, b"ab" * n, b"aab" * (n // 3) + b"a"])
+        whole = token_counts.RankMerger([(0, 0, 2), (2, 0, 3), (0, 1, 4)], np.array([1 if b == 98 else 0 for b in range(256)])).merge([b"a" * n, b"ab" * n, b"aab" * (n // 3) + b"a"])
+        assert counts.tolist() == whole[0].tolist()
+        assert b"".join(words[i] for i in ids) == b"a" * n + b"ab" * n + b"aab" * (n // 3) + b"a"
+
+
 def test_merges_that_overlap_or_never_apply():
     words = [b"a", b"b", b"aa", b"aaa", b"ab"]
     merges = [(0, 0, 2), (2, 0, 3), (0, 1, 4)]
@@ -93,6 +149,40 @@ def test_stored_ids(docs, library):
         place += len(ids)
 
 
+def test_stored_ids_of_odd_rows(spark, library):
+    long = " ".join("word%d" % (k % 700) for k in range(3000))
+    rows = [(5, "b"), (None, "null id"), (5, "a"), (5, "b"), (7, None), (8, ""), (9, long), (None, None), (-3, "first")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, part string, tokens int").repartition(2)
+    blocks = repair.write_ids(docs, pretokens.default_path(), block_tokens=100).cache()
+    got = repair.read_ids(blocks).select("doc_id", "part", "block", "offset", "n_tokens", "ids_crc32").join(repair.starts(blocks), ["part", "block"]).selectExpr("block_start + offset as at", "doc_id", "n_tokens", "ids_crc32").collect()
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    got = sorted(got)
+    assert sorted((r["doc_id"] is not None, r["doc_id"], r["ids_crc32"]) for r in got if r["doc_id"] is not None) == sorted((True, i, crc(t)) for i, t in rows if i is not None)
+    assert [r["doc_id"] for r in got] == [None, None, -3, 5, 5, 5, 7, 8, 9]  # nulls first, then ascending
+    assert [r["at"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
+    assert got[-1]["n_tokens"] > 100  # longer than a block
+    with pytest.raises(TypeError):
+        repair.write_ids(docs.withColumn("doc_id", docs.part), pretokens.default_path())
+
+
+def test_grammar_goes_on_while_pairs_save_bits():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 5000, 600)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(0, 5000, 40)]) for _ in range(60)])
+    lengths = np.full(60, 640)
+    raw = repair.write_block(np.arange(60), ids, lengths)
+    block = repair.Block(raw)
+    assert (block.ids() == ids).all()
+    assert block.expansion.max() > 100  # rules of rules: a batch of pairs a few times over doesn't reach this
+    assert len(raw) < 0.25 * 2 * len(ids)
+    run = np.zeros(1 << 16, np.int64)
+    block = repair.Block(repair.write_block(np.arange(1), run, np.array([len(run)])))
+    assert (block.ids() == run).all() and len(block.symbols) <= 64
+    for bits in (1, 5, 8, 13, 17, 32):
+        values = rng.integers(0, 1 << bits, repair._PACKED + 77)
+        assert (repair.unpack(repair.pack(values, bits), len(values), bits) == values).all()
+
+
 def test_grammar_and_random_access():
     rng = np.random.default_rng(5)
     words = [rng.integers(0, 50, rng.integers(2, 9)) for _ in range(40)]
@@ -104,7 +194,7 @@ def test_grammar_and_random_access():
     flat.append(np.zeros(300, np.int64))  # one symbol over and over
     lengths.append(300)
     ids, lengths = np.concatenate(flat), np.array(lengths)
-    raw = repair.write_block(np.arange(len(lengths)), ids, lengths, 100)
+    raw = repair.write_block(np.arange(len(lengths)), ids, lengths)
     block = repair.Block(raw)
     assert len(block.rules) and len(raw) < 4 * len(ids) and (block.ids() == ids).all() and (block.lengths == lengths).all()
     first = np.cumsum(lengths) - lengths
