@@ -112,6 +112,14 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def sum_by(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` in ascending order, and the sum of the ``values`` (a row of them for each) of each."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values[:0]
+
+
 class HashTable:
     """Open-addressing table from non-zero 64-bit keys to positions, probed for whole arrays at once."""
 

@@ -3,16 +3,22 @@
 A text is the mean of the embeddings of its byte n-grams (2 to 4 bytes, letters
 in lower case, runs of other ASCII characters as one mark between words), hashed to
 ``BUCKETS`` rows each; a linear softmax over the mean gives the language. Both are
-trained by stochastic gradient descent in numpy on windows of at most
-``PER_LANGUAGE`` texts of each language, picked by a hash of the id; a temperature
-and the rejection threshold are set on a part of them that training leaves out.
-Prediction adds up one row of class weights for each n-gram of the whole text.
+trained by stochastic gradient descent in numpy on about ``PER_LANGUAGE`` whole
+texts of each language, picked by a hash of id and text, in one task of an
+executor; a temperature and the rejection threshold are set on a part of them
+that training leaves out. A text is held there by the counts of its distinct
+n-gram rows, whose number has a bound, however long it is. Prediction adds up one
+row of class weights for each n-gram of the whole text. The model has a row of
+weights for each label: labels are languages, not keys of the data.
 
 A text that is null or has no letter is ``und`` with score 0. ``rejected`` marks
 predictions below the threshold; they keep their language. Without labelled
 rows there is no language to predict: all texts are ``und`` with score 0 and
-rejected. Null ids count as empty strings. Repeated rows get repeated results;
-extra columns are ignored.
+rejected. An empty table gives an empty result. Null ids count as empty strings.
+Very long texts are learnt and judged whole, a chunk of texts at a time, the
+longest as a chunk of its own. Ties between languages go to the first in code
+point order. Repeated rows are sampled together and get repeated results. Extra
+columns pass through; those named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -26,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm.arrays import LOWER, chunks, offsets_of
-from siltbed.llm.worker import Shared, per_worker, release_memory
+from siltbed.llm.scratch import materialize
+from siltbed.llm.worker import Shared, in_one_task, per_worker
 
-#: Bound of the training sample: texts of a language, and windows of each text with their characters.
-PER_LANGUAGE, WINDOWS, WINDOW = 1500, 3, 300
+#: Bound of the training sample: about so many texts of a language.
+PER_LANGUAGE = 1500
 BUCKETS, DIM = 1 << 16, 16
 SIZES = (2, 3, 4)
-EPOCHS, RATE = 6, 0.5
+EPOCHS, RATE, BATCH = 6, 0.5, 16
 #: Share of accepted predictions that should be right.
 PRECISION = 0.995
 UNKNOWN = "und"
@@ -105,46 +112,57 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
-    """A model of labelled windows of text."""
+def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct n-gram rows of each text, and the share of each among all of the text's."""
+    out = []
+    for _, _, data, at in chunks(column, 1 << 19):
+        sizes = ngrams(data, at)
+        for i in range(len(at) - 1):
+            rows, n = np.unique(np.concatenate([r[o[i] : o[i + 1]] for r, o in sizes]), return_counts=True)
+            out.append((rows.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+    return out
+
+
+def fit(texts: pa.Array, languages: list[str], seed: int = 7) -> LanguageModel:
+    """A model of labelled texts."""
     names = sorted(set(languages))
     if not names:
         return LanguageModel([], np.zeros((0, BUCKETS * len(SIZES)), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
-    y = np.array([names.index(x) for x in languages])
-    raw = [t.encode() for t in texts]
-    samples = (ngrams(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw)
-    rows = [np.concatenate([a for a, _ in s]).astype(np.int32) for s in samples]
-    order = rng.permutation(len(rows))
+    at = {name: k for k, name in enumerate(names)}
+    y = np.array([at[x] for x in languages])
+    held_bags = bags(texts)
+    order = rng.permutation(len(y))
     held, used = order[: max(1, len(order) // 10)], order[len(order) // 10 :]
+    used = used[[len(held_bags[i][0]) > 0 for i in used]] if len(used) else used
     emb = rng.normal(0, 0.1, (BUCKETS * len(SIZES), DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     share = np.bincount(y[used], minlength=len(names)) + 1
     weight = (share.sum() / len(names) / share).astype(np.float32)
-    step, steps = 0, EPOCHS * max(1, len(used) // 16)
+    step, steps = 0, EPOCHS * max(1, len(used) // BATCH)
     for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(used), max(1, len(used) // 16)):
-            batch = np.array([i for i in batch if len(rows[i])], np.int64)
+        for batch in np.array_split(rng.permutation(used), max(1, len(used) // BATCH)):
             if not len(batch):
                 continue
-            flat, n = np.concatenate([rows[i] for i in batch]), np.array([len(rows[i]) for i in batch])
-            mean = np.add.reduceat(emb[flat], offsets_of(n)[:-1], axis=0) / n[:, None]
+            mean = np.stack([held_bags[i][1] @ emb[held_bags[i][0]] for i in batch])
             p = _softmax(mean @ out + bias)
             p[np.arange(len(batch)), y[batch]] -= 1
             p *= weight[y[batch]][:, None]
             rate = RATE * (1 - step / max(1, steps)) + 0.01
-            back = (p @ out.T) / n[:, None]
+            back = (-rate * (p @ out.T)).astype(np.float32)
             out -= rate * (mean.T @ p)
             bias -= rate * 0.1 * p.mean(axis=0)
-            np.add.at(emb, flat, (-rate * np.repeat(back, n, axis=0)).astype(np.float32))
+            for i, b in zip(batch, back, strict=True):
+                rows, part = held_bags[i]
+                emb[rows] += part[:, None] * b  # a text's rows are distinct
             step += 1
     model = LanguageModel(names, np.ascontiguousarray((emb @ out).T), bias.astype(np.float64), 1.0, 0.0)
-    return _calibrate(model, [raw[i] for i in held], y[held])
+    return _calibrate(model, texts.take(pa.array(held)), y[held])
 
 
-def _calibrate(model: LanguageModel, raw: list[bytes], y: np.ndarray) -> LanguageModel:
+def _calibrate(model: LanguageModel, texts: pa.Array, y: np.ndarray) -> LanguageModel:
     """Sets the temperature of least log loss, and the least threshold above which the wanted share is right."""
-    z = model.logits(np.frombuffer(b"".join(raw), np.uint8), offsets_of(np.array([len(r) for r in raw])))
+    z = np.concatenate([model.logits(data, at) for _, _, data, at in chunks(texts, 1 << 19)])
     losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0, 5.0)}
     model.temperature = min(losses, key=losses.get)
     p = _softmax(z / model.temperature)
@@ -157,31 +175,22 @@ def _calibrate(model: LanguageModel, raw: list[bytes], y: np.ndarray) -> Languag
 
 
 def sample(labelled: DataFrame, label: str, per_label: int, key: str, text: str, seed: str = "sample") -> DataFrame:
-    """About ``per_label`` rows of each label, picked by a hash of id and text."""
-    counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}  # one row for each label
+    """About ``per_label`` rows of each label, picked by a hash of id and text.
+
+    The shares by label are a stored table: Spark sends it to the scan while its
+    size allows and shuffles otherwise.
+    """
+    shares = materialize(labelled.groupBy(F.col(label).alias("__label")).agg(F.least(F.lit(1.0), F.lit(per_label) / F.count("*")).alias("__share")), "label-shares")
     scale = 1 << 30
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(text)), F.lit(scale))
-    chosen = F.lit(False)
-    for value, n in counts.items():
-        chosen |= (F.col(label) == F.lit(value)) & (place < int(scale * min(1.0, per_label / n)))
-    return labelled.filter(chosen)
-
-
-def windows(text: str, key: str, n: int = WINDOWS, size: int = WINDOW) -> Column:
-    """``n`` windows of ``size`` characters at places given by a hash; the whole text where it is shorter."""
-    room = F.greatest(F.length(text) - size, F.lit(0)) + 1
-    return F.array(*(F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(k), F.col(key)), room) + 1).cast("int"), F.lit(size)) for k in range(n)))
+    return labelled.join(shares, F.col(label) == F.col("__label")).filter(place < F.col("__share") * scale).select(*labelled.columns)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """A model of a bounded sample of the labelled rows of ``docs``."""
-    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("l is not null and t is not null")
-    rows = sample(labelled, "l", per_language, "k", "t").select("k", "l", F.explode(windows("t", "k")).alias("w")).filter(F.col("w").rlike(r"\p{L}")).toArrow()
-    order = np.lexsort((rows["w"].to_pylist(), rows["k"].to_pylist())) if rows["k"].null_count == 0 and len(rows) else np.arange(len(rows))
-    texts, languages = rows["w"].to_pylist(), rows["l"].to_pylist()
-    model = fit([texts[i] for i in order], [languages[i] for i in order])
-    release_memory()
-    return model
+    labelled = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    rows = sample(labelled, "l", per_language, "k", "t")
+    return in_one_task(rows, ["k", "t", "l"], lambda table: fit(table["t"].combine_chunks(), table["l"].to_pylist()))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

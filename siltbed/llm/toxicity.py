@@ -3,8 +3,9 @@
 Words (runs of letters and digits, in lower case) are sums of hashed embeddings
 of the whole word and of its first 3 to 8 bytes. Filters of widths 1, 2 and
 3 run over the words; each filter's largest activation in the text feeds a
-logistic output. Training is stochastic gradient descent (Adagrad) in numpy, on
-a bounded sample of labelled texts; a gradient reaches the words at the largest activations.
+logistic output. Training is stochastic gradient descent (Adagrad) in numpy, in one task
+of an executor, on about ``TOXIC`` and ``CLEAN`` labelled texts, whole and of any
+length; a gradient reaches the words at the largest activations.
 
 A part of the sample that training leaves out gives a threshold for each language,
 predicted from the text by a language model of the same sample, and one for all.
@@ -12,8 +13,12 @@ The score is the network's probability, shifted on the log-odds scale so that
 the threshold of the text's language falls on ``CUT``.
 
 Null and empty texts have no words and get the score of a text without
-activations. Without both labels among the training rows every score is 0. Null
-ids count as empty strings. Repeated rows get repeated results; extra columns are
+activations. Without both labels among the training rows every score is 0. An
+empty table gives an empty result. Very long texts are learnt and scored whole: in training
+a text is a list of word numbers, in scoring the longest are chunks of their own.
+Of several labels of an id the largest counts. Null ids count as empty strings and have
+no label. Equal texts tie: they get equal scores, and at a threshold the score itself is
+rejected. Repeated rows get repeated results; extra columns are
 ignored by the query and kept, unless they are named like a result, by ``classify``.
 """
 
@@ -28,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm import langid
-from siltbed.llm.arrays import LOWER, chunks, mix, offsets_of, powers
-from siltbed.llm.worker import Shared, per_worker, release_memory
+from siltbed.llm.arrays import LOWER, HashTable, chunks, mix, offsets_of, powers, sum_by
+from siltbed.llm.worker import Shared, in_one_task, per_worker
 
-#: Bound of the training sample: texts of each label, and words of a text in it (longer texts are not sampled).
-TOXIC, CLEAN, MAX_WORDS = 4000, 8000, 1200
+#: Bound of the training sample: about so many texts of each label.
+TOXIC, CLEAN = 4000, 8000
 ROWS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 4, (1, 2, 3)
 PREFIXES = (0, 3, 4, 5, 6, 7, 8)  # bytes; 0: the whole word
 #: Passes over the sample (least and most), and texts to see in all.
@@ -78,6 +83,27 @@ def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, np.searchsorted(starts, offsets)
 
 
+class Words:
+    """Texts as numbers of distinct words, and the embedding rows of these."""
+
+    def __init__(self, texts: pa.Array):
+        known, rows, self.texts, n = HashTable(), [], [], 0
+        for _, _, data, at in chunks(texts, 1 << 19):
+            found, by_text = word_rows(data, at)
+            keys = np.full(len(found), np.uint64(1))
+            for k in range(found.shape[1]):
+                keys = mix(keys + found[:, k].astype(np.uint64))
+            keys[keys == 0] = 1
+            fresh, where = np.unique(keys, return_index=True)
+            new = known.get(fresh) < 0
+            known.put(fresh[new], np.arange(n, n + new.sum()))
+            rows.append(found[where[new]])
+            n += int(new.sum())
+            numbers = known.get(keys).astype(np.int32)
+            self.texts += [numbers[a:b] for a, b in zip(by_text[:-1].tolist(), by_text[1:].tolist(), strict=True)]
+        self.rows = np.concatenate(rows) if rows else np.zeros((0, len(PREFIXES)), np.int32)
+
+
 @dataclass
 class Network:
     embedding: np.ndarray  # ROWS x DIM
@@ -86,22 +112,27 @@ class Network:
     out: np.ndarray
     out_bias: float
 
-    def activations(self, rows: np.ndarray, by_text: np.ndarray, want_places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    def vectors(self, rows: np.ndarray) -> np.ndarray:
+        """The embedding of each word."""
+        out = self.embedding[rows[:, 0]].copy()
+        for k in range(1, rows.shape[1]):
+            out += self.embedding[rows[:, k]]
+        return out
+
+    def activations(self, vectors: np.ndarray, by_text: np.ndarray, want_places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Largest activation of each filter in each text (at least 0), and the word at which its window starts (-1: none)."""
         n_texts, most = len(by_text) - 1, max(WIDTHS) - 1
         n = np.diff(by_text)
-        words = np.zeros((len(rows) + most * n_texts, DIM), np.float32)
-        place = np.arange(len(rows)) + most * np.repeat(np.arange(n_texts), n)
-        vectors = self.embedding[rows[:, 0]].copy()
-        for k in range(1, rows.shape[1]):
-            vectors += self.embedding[rows[:, k]]
+        words = np.zeros((len(vectors) + most * n_texts, DIM), vectors.dtype)
+        place = np.arange(len(vectors)) + most * np.repeat(np.arange(n_texts), n)
         words[place] = vectors
-        best = np.zeros((n_texts, FILTERS * len(WIDTHS)), np.float32)
+        best = np.zeros((n_texts, FILTERS * len(WIDTHS)), vectors.dtype)
         at = np.full(best.shape, -1, np.int64) if want_places else None
         some = np.flatnonzero(n)
         if not len(some):
             return best, at
         begin = (by_text[:-1] + most * np.arange(n_texts))[some]
+        begin[0] = 0  # texts without words have no window, also in front
         for i, (width, kernel) in enumerate(zip(WIDTHS, self.kernels, strict=True)):
             part = slice(i * FILTERS, (i + 1) * FILTERS)
             value = words @ kernel[0] + self.bias[part]
@@ -117,12 +148,12 @@ class Network:
                 where, f = np.nonzero((value == top[owner]) & (value > 0))
                 pair, first = np.unique(owner[where] * FILTERS + f, return_index=True)
                 back = np.full(len(words), -1, np.int64)
-                back[place] = np.arange(len(rows))
+                back[place] = np.arange(len(vectors))
                 at[some[pair // FILTERS], i * FILTERS + pair % FILTERS] = back[where[first]]
         return best, at
 
     def logits(self, rows: np.ndarray, by_text: np.ndarray) -> np.ndarray:
-        best, _ = self.activations(rows, by_text)
+        best, _ = self.activations(self.vectors(rows), by_text)
         return best.astype(np.float64) @ self.out + self.out_bias
 
 
@@ -139,15 +170,46 @@ class _Adagrad:
         value -= rate * grad / np.sqrt(self.seen)
 
     def step_rows(self, value: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        rows, at = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(rows), value.shape[1]), np.float32)
-        np.add.at(total, at, grad)
+        rows, total = sum_by(rows, grad)
         self.seen[rows] += total * total
         value[rows] -= rate * total / np.sqrt(self.seen[rows])
 
 
-def fit_network(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Network:
-    """A network of the words of labelled texts."""
+@dataclass
+class Gradient:
+    kernels: list[np.ndarray]
+    bias: np.ndarray
+    out: np.ndarray
+    out_bias: float
+    rows: np.ndarray  # embedding rows, repeated, and the gradient of each
+    by_row: np.ndarray
+
+
+def gradient(net: Network, rows: np.ndarray, at_word: np.ndarray, by_text: np.ndarray, y: np.ndarray) -> Gradient:
+    """Of the mean log loss of texts: words ``at_word`` of the distinct ones with embedding ``rows``, texts ``by_text``, labels ``y``."""
+    vectors = net.vectors(rows)
+    best, at = net.activations(vectors[at_word], by_text, True)
+    error = (_sigmoid(best.astype(np.float64) @ net.out + net.out_bias) - y) / len(y)
+    back = (error[:, None] * net.out).astype(vectors.dtype)
+    bias, kernels, hit_rows, by_row = np.zeros_like(net.bias), [], [], []
+    for i, width in enumerate(WIDTHS):
+        part = slice(i * FILTERS, (i + 1) * FILTERS)
+        text, f = np.nonzero(at[:, part] >= 0)
+        g, begin = back[text, i * FILTERS + f], at[text, i * FILTERS + f]
+        bias[part] = np.bincount(f, weights=g, minlength=FILTERS)
+        kernel = np.zeros_like(net.kernels[i])
+        for k in range(width):
+            inside = begin + k < by_text[text + 1]
+            word, gk, fk = at_word[begin[inside] + k], g[inside], f[inside]
+            np.add.at(kernel[k].T, fk, gk[:, None] * vectors[word])
+            hit_rows.append(rows[word].reshape(-1))
+            by_row.append(np.repeat(gk[:, None] * net.kernels[i][k].T[fk], rows.shape[1], axis=0))
+        kernels.append(kernel)
+    return Gradient(kernels, bias, best.T @ error, float(error.sum()), np.concatenate(hit_rows), np.concatenate(by_row))
+
+
+def fit_network(words: Words, texts: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
+    """A network of the texts numbered ``texts``, whose labels are ``y``."""
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.02, (ROWS, DIM)).astype(np.float32), [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
@@ -156,38 +218,23 @@ def fit_network(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Networ
     net.out_bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     emb, outs = _Adagrad(net.embedding), _Adagrad(net.out.astype(np.float32))
     kernels, bias = [_Adagrad(k) for k in net.kernels], _Adagrad(net.bias)
-    epochs = int(np.clip(SEEN // max(1, len(rows)), *EPOCHS))
+    epochs = int(np.clip(SEEN // max(1, len(texts)), *EPOCHS))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 0.01
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
-            seen = [rows[i][rng.random(len(rows[i])) >= THINNED] for i in batch]  # one sign must do where a text has several
-            n = np.array([len(x) for x in seen])
+        for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
+            seen = [words.texts[i] for i in texts[batch]]
+            seen = [x[rng.random(len(x)) >= THINNED] for x in seen]  # one sign must do where a text has several
             kept = rng.random(len(PREFIXES)) >= DROPPED  # what is learnt must not hang on the whole word alone
             kept[rng.integers(len(PREFIXES))] = True
-            flat, by_text = np.concatenate(seen)[:, kept], offsets_of(n)
-            best, at = net.activations(flat, by_text, True)
-            error = (_sigmoid(best.astype(np.float64) @ net.out + net.out_bias) - y[batch]) / len(batch)
-            back = (error[:, None] * net.out).astype(np.float32)
-            grad_bias = np.zeros_like(net.bias)
-            hit_rows, hit_grad = [], []
-            for i, width in enumerate(WIDTHS):
-                part = slice(i * FILTERS, (i + 1) * FILTERS)
-                text, f = np.nonzero(at[:, part] >= 0)
-                g, begin = back[text, i * FILTERS + f], at[text, i * FILTERS + f]
-                grad_bias[part] = np.bincount(f, weights=g, minlength=FILTERS)
-                grad = DECAY * net.kernels[i]
-                for k in range(width):
-                    inside = begin + k < by_text[text + 1]
-                    word, gk, fk = flat[begin[inside] + k], g[inside], f[inside]
-                    np.add.at(grad[k].T, fk, gk[:, None] * net.embedding[word].sum(axis=1))
-                    hit_rows.append(word.reshape(-1))
-                    hit_grad.append(np.repeat(gk[:, None] * net.kernels[i][k].T[fk], word.shape[1], axis=0))
-                kernels[i].step(net.kernels[i], grad, rate * 0.3)
-            bias.step(net.bias, grad_bias, rate * 0.1)
-            outs.step(net.out, (best.T @ error).astype(np.float32) + DECAY * net.out, rate * 0.3)
-            net.out_bias -= rate * float(error.sum())
-            if hit_rows:
-                emb.step_rows(net.embedding, np.concatenate(hit_rows), np.concatenate(hit_grad), rate)
+            distinct, at_word = np.unique(np.concatenate(seen), return_inverse=True)
+            grad = gradient(net, words.rows[distinct][:, kept], at_word, offsets_of(np.array([len(x) for x in seen])), y[batch])
+            for step, kernel, g in zip(kernels, net.kernels, grad.kernels, strict=True):
+                step.step(kernel, g + DECAY * kernel, rate * 0.3)
+            bias.step(net.bias, grad.bias, rate * 0.1)
+            outs.step(net.out, grad.out.astype(np.float32) + DECAY * net.out, rate * 0.3)
+            net.out_bias -= rate * grad.out_bias
+            if len(grad.rows):
+                emb.step_rows(net.embedding, grad.rows, grad.by_row, rate)
     return net
 
 
@@ -215,39 +262,37 @@ class ToxicityModel:
         return _sigmoid(z - self.cuts[best] + np.log(CUT / (1 - CUT)))
 
 
-def _fit_language(spoken: list[tuple[str, str | None]], seed: int) -> langid.LanguageModel:
-    """A language model of at most ``langid.PER_LANGUAGE`` of the windows in each language."""
+def _fit_language(texts: pa.Array, languages: list[str | None], seed: int) -> langid.LanguageModel:
+    """A language model of at most ``langid.PER_LANGUAGE`` of the texts in each language."""
     rng, taken = np.random.default_rng(seed), {}
     known = []
-    for i in rng.permutation(len(spoken)):
-        window, la = spoken[i]
+    for i in rng.permutation(len(languages)):
+        la = languages[i]
         taken[la] = taken.get(la, 0) + 1
         if la is not None and taken[la] <= langid.PER_LANGUAGE:
-            known.append((window, la))
-    return langid.fit([w for w, _ in known], [la for _, la in known])
+            known.append(int(i))
+    return langid.fit(texts.take(pa.array(known, pa.int64())), [languages[i] for i in known])
 
 
-def fit(texts: list[str], y: np.ndarray, spoken: list[tuple[str, str | None]], clean_weight: float = 1.0, seed: int = 11) -> ToxicityModel:
-    """A model of labelled texts and of windows of them with their languages; ``clean_weight`` is how many clean texts each sampled one stands for."""
-    language = _fit_language(spoken, seed)
+def fit(texts: pa.Array, y: np.ndarray, languages: list[str | None], clean_weight: float = 1.0, seed: int = 11) -> ToxicityModel:
+    """A model of labelled texts and their languages; ``clean_weight`` is how many clean texts each sampled one stands for."""
+    language = _fit_language(texts, languages, seed)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, language, np.zeros(len(language.languages) + 1))
-    rows = []
-    for t in texts:
-        raw = t.encode()
-        rows.append(word_rows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
+    words = Words(texts)
     rng = np.random.default_rng(seed)
     held = np.zeros(len(y), bool)
     for label in (0, 1):
         own = rng.permutation(np.flatnonzero(y == label))
         held[own[: len(own) // 5]] = len(own) >= 10
-    network = fit_network([r for r, h in zip(rows, held, strict=True) if not h], y[~held], seed)
-    check = held if held.any() else ~held
-    at = np.flatnonzero(check)
-    z = network.logits(np.concatenate([rows[i] for i in at]), offsets_of(np.array([len(rows[i]) for i in at])))
+    network = fit_network(words, np.flatnonzero(~held), y[~held], seed)
+    at = np.flatnonzero(held if held.any() else ~held)
+    z, best = np.zeros(len(at)), np.zeros(len(at), np.int64)
+    for i, j, data, offsets in chunks(texts.take(pa.array(at)), 1 << 19):
+        z[i:j] = network.logits(*word_rows(data, offsets))
+        best[i:j] = language.predict(data, offsets)[0]
     weight = np.where(y[at] == 1, 1.0, clean_weight)
     cuts = np.full(len(language.languages) + 1, _threshold(z, y[at], weight))
-    best = np.concatenate([language.predict(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in (texts[i].encode() for i in at)])
     for k in range(len(language.languages)):
         own = best == k
         if y[at][own].sum() >= LEAST_TOXIC and (1 - y[at][own]).sum():
@@ -256,7 +301,8 @@ def fit(texts: list[str], y: np.ndarray, spoken: list[tuple[str, str | None]], c
 
 
 def sample_labels(marks: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> tuple[DataFrame, float]:
-    """About ``toxic`` and ``clean`` rows of (k, y), picked by a hash of k, and how many clean rows each of its own stands for."""
+    """About ``toxic`` and ``clean`` rows of (k, y), picked by a hash of k, and how many clean rows each of its own stands for
+    (for each toxic one that its own stands for)."""
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}  # two rows
     scale = 1 << 30
     place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("k")), F.lit(scale))
@@ -267,13 +313,12 @@ def sample_labels(marks: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> t
 def train(docs: DataFrame, marks: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ToxicityModel:
     """A model of a bounded sample of the labels (k, y), with the texts of ``docs``.
 
-    The sample of ids is broadcast to the scan of the texts, so no text is shuffled for it.
+    The sample of ids, some 12,000, is broadcast to the scan of the texts, so no text is shuffled for it.
     """
     chosen, weight = sample_labels(marks)
-    words = F.size(F.split(F.col("t"), r"\s+"))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null").join(F.broadcast(chosen), "k")
-    found = rows.filter(words <= MAX_WORDS).withColumn("w", langid.windows("t", "k", 1)[0]).orderBy("k", "t").toArrow()
-    return fit(found["t"].to_pylist(), np.array(found["y"].to_pylist(), np.int64), list(zip(found["w"].to_pylist(), found["l"].to_pylist(), strict=True)), weight)
+    rows = rows.select(F.col("k").cast("string").alias("k"), "t", "l", "y")
+    return in_one_task(rows, ["k", "t", "l", "y"], lambda table: fit(table["t"].combine_chunks(), table["y"].to_numpy(), table["l"].to_pylist(), weight))
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -296,9 +341,7 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: li
 def trained(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """A model of the labelled rows among ``docs`` that are not held out; of a document's labels the largest counts."""
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("k")).agg(F.max("toxic").cast("int").alias("y"))
-    model = train(docs, marks.filter(~held_out("k")))
-    release_memory()
-    return model
+    return train(docs, marks.filter(~held_out("k")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

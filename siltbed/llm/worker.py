@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HELD: dict[str, tuple[Hashable, Any]] = {}
 
@@ -33,8 +34,26 @@ def per_worker(kind: str, key: Hashable, build: Callable[[], Any]) -> Any:
     return held[1]
 
 
+def in_one_task(rows: DataFrame, order: list[str], build: Callable[[pa.Table], Any]) -> Any:
+    """What ``build`` makes of a bounded number of rows, sorted by ``order``, in one task of an executor; the driver gets the result alone."""
+    schema = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in rows.schema.fields])
+
+    def run(batches):
+        table = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        built = pickle.dumps(build(table))
+        del table
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([built], pa.binary())], names=["built"])
+
+    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "built binary").first()
+    return build(schema.empty_table()) if found is None else pickle.loads(found[0])  # no task runs over an empty table
+
+
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+
 def release_memory() -> None:
-    """Gives freed memory back to the system: what training used must not stay with a small driver."""
+    """Gives freed memory back to the system: what one task used must not stay with the next, or with a small driver."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
