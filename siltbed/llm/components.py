@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.scratch import materialize
+from siltbed.llm.scratch import drop_scratch, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,12 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has longs a < b. Rounds stop when the edges no longer change; at
     the end each is a star around its root. Only a count and a sum of hashes
-    come to the driver.
+    come to the driver, and one round's edges are stored at a time.
     """
     edges = materialize(edges.select("a", "b").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = materialize(_stars(_stars(edges, True), False), "edges")
+        earlier, edges = edges, materialize(_stars(_stars(edges, True), False), "edges")
+        drop_scratch(earlier)
         after = _state(edges)
         if after == before:
             break

@@ -19,8 +19,10 @@ and the sketches reject it with about 10**-8. Links are confirmed on full sets.
 
 Documents are told apart by id and text; rows that repeat both are the same
 document and get the same result. Texts without words (or null) have an empty
-set, no links and themselves as component. Null ids are never a component's id
-unless all of its ids are null. Extra columns are ignored.
+set, no links and themselves as component; an empty table gives an empty result. Very long
+texts have their whole sets, as a chunk of their own. Null ids are never a component's id
+unless all of its ids are null. Where buckets tie as to the hub, the smaller number is it. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -189,20 +191,25 @@ def _rest(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataF
     return x.join(y, same & fresh & _alike("x", "y", percent) & _wide_alike("x", "y") & once).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept of every row of ``docs``."""
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and leader of every row of ``docs``; the leader (doc_id and text_hash, null ids last) is null for empty sets."""
     rows = materialize(features(docs, words, text, key), "near-rows")
     sets = rows.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.count("*").alias("members")
+        F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.count("*").alias("members")
     )
     classes = materialize(sets.withColumn("vid", F.monotonically_increasing_id()), "near-classes")
     roots = _roots(docs, classes, words, percent, text, key)
-    named = classes.join(roots, classes.vid == roots.vertex, "left").select("set_a", "set_b", "least_id", F.coalesce("root", "vid").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    answer = named.join(ids, "root").select("set_a", "set_b", "component_id")
+    named = classes.join(roots, classes.vid == roots.vertex, "left").select("set_a", "set_b", "least_id", "first", F.coalesce("root", "vid").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("first").alias("leader"))
+    answer = named.join(ids, "root").select("set_a", "set_b", "component_id", "leader")
     out = rows.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(answer, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    some = F.col("n_shingles") > 0
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("leader")).alias("leader"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept of every row of ``docs``."""
+    return grouped(docs, words, percent, text, key).drop("leader").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _roots(docs: DataFrame, classes: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
@@ -214,7 +221,9 @@ def _roots(docs: DataFrame, classes: DataFrame, words: int, percent: int, text:
     involved = members.select("vid").distinct().join(classes.select("vid", "first"), "vid").select("vid", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     source = docs.select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__text_hash"), F.col(text).alias("text"))
     texts = source.join(involved, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))).select("vid", "text")
-    texts = materialize(wide_sketches(texts.dropDuplicates(["vid"]), words), "near-texts")
+    # the sketches are work, not bytes: as many tasks as there are shuffle partitions, whatever their size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = materialize(wide_sketches(texts.dropDuplicates(["vid"]).repartition(parts, "vid"), words), "near-texts")
     # the text that a group of copies comes from shares more and larger buckets than any copy; it makes the best hub
     weight = members.groupBy("vid").agg(F.sum("n").alias("weight"))
     hubs = members.join(weight, "vid").groupBy("key").agg(F.max_by("vid", F.struct("weight", -F.col("vid"))).alias("hub"), F.max("weight").alias("weight"))
@@ -229,9 +238,19 @@ def _roots(docs: DataFrame, classes: DataFrame, words: int, percent: int, text:
 
 
 def drop_copies(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that have a smaller id in their component."""
-    lost = near_duplicates(docs, words, percent, text, key).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(lost, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
+    """``docs`` with one row of each component: that of the smallest id, null ids last; under one id that of the smallest hash of the
+    text; of rows that repeat both the last one as JSON. Rows without words all stay."""
+    rows = materialize(grouped(docs, words, percent, text, key).filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.any_value("leader").alias("leader"), F.count("*").alias("n")), "near-documents")
+    first = F.col("doc_id").eqNullSafe(F.col("leader.doc_id")) & (F.col("text_hash") == F.col("leader.text_hash"))
+    gone = rows.filter(~first | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    out = docs.join(gone, same, "left_anti")
+    repeated = rows.filter(first & (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    if not repeated.limit(1).count():
+        return out
+    again = docs.join(repeated, same, "left_semi").select(F.xxhash64(text).alias("__hash"), F.struct(*docs.columns).alias("__row"))
+    again = again.groupBy(F.col(f"__row.{key}").alias("__id"), "__hash").agg(F.max_by("__row", F.to_json("__row")).alias("__row"))
+    return out.unionByName(again.select("__row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,14 @@ permutation is i modulo the number of blocks, by a join on that index.
 
 All order and randomness come from md5 of ids, blocks and slot numbers, so
 reruns and recomputed partitions agree. Running totals are taken in buckets of
-the hash first and over bucket totals second: no task holds a whole source.
-
-Null and empty texts have size 0 and are never taken. A null source is a source
-of its own. Repeated rows are separate documents. Extra columns are ignored.
+the hash, or of shard numbers, first and over bucket totals second: no task holds a
+whole source. The buckets grow in number with the rows.
+
+Null and empty texts have size 0 and are never taken; an empty table has no
+sources. A very long text spans as many blocks as it needs, and at most those. A null source is a
+source of its own. Repeated rows are separate documents; null ids count as empty strings in the
+order. Documents whose hashes tie stand in the order of id and size. Extra columns are
+ignored by ``mix`` and kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from siltbed.llm.scratch import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words to a block, slots to a shard, and the largest share of a source that a mix takes.
 BLOCK, SHARD_SLOTS, MOST = 128, 1024, 3
-#: Hex digits of the hash that name a bucket of a running total.
-_BUCKET = 3
+#: Rows to a bucket of a running total, about; least hex digits of the hash that name one; shards to one.
+_BUCKET_ROWS, _BUCKET, _BUCKET_SHARDS = 1 << 16, 3, 1 << 12
 #: Draws to a cell of the lookup from draws to sources.
 _CELLS = 1024
 
@@ -49,7 +53,7 @@ def targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
     Water-filling: ordered by how soon they reach the limit, sources are held at
     it as long as an equal level over the rest would exceed it.
     """
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     ranked = by.withColumn("sidx", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     ranked = ranked.withColumn("weight", ((F.col("sidx") - 1) % 3 + 1).cast("long"))
     every = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -64,7 +68,7 @@ def targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
     free = [F.max(F.when(~F.col("held"), F.col(c))).over(every).alias(f"free_{c}") for c in ("rest", "rest_weight")]
     shared = level.select("*", *free)  # the first free source has the most left, of words and of weight
     out = shared.select(
-        "source", "sidx", "source_size",
+        "source", "sidx", "source_size", "documents",
         F.when(F.col("held"), (MOST * F.col("source_size")).cast("double")).otherwise((F.col("weight") * F.col("free_rest")).cast("double") / F.col("free_rest_weight").cast("double")).alias("target"),
     )
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
@@ -72,10 +76,18 @@ def targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.withColumn("blocks", blocks).withColumn("slots", slots)
 
 
-def running(df: DataFrame, group: list[str], hash_column: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the earlier rows of its group, ordered by the hash and then ``order``."""
-    at = df.withColumn("__bucket", F.substring(hash_column, 1, _BUCKET)).withColumn("__value", value)
-    inner = W.partitionBy(*group, "__bucket").orderBy(hash_column, *order)
+def by_hash(column: str, rows: int) -> Column:
+    """A bucket of a hash in hex digits, for a table of so many rows."""
+    digits = _BUCKET
+    while rows >> 4 * digits > _BUCKET_ROWS:
+        digits += 1
+    return F.substring(column, 1, digits)
+
+
+def running(df: DataFrame, group: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the earlier rows of its group in ``order``; ``bucket`` never falls in that order."""
+    at = df.withColumn("__bucket", bucket).withColumn("__value", value)
+    inner = W.partitionBy(*group, "__bucket").orderBy(*order)
     within = F.sum("__value").over(inner.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__value")
     totals = at.groupBy(*group, "__bucket").agg(F.sum("__value").alias("__total"))
     before = F.coalesce(F.sum("__total").over(W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -102,7 +114,7 @@ def draw(spark: SparkSession, sources: DataFrame, shard_slots: int = SHARD_SLOTS
     chance = F.conv(F.substring(F.md5(F.concat(F.lit("slot "), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
     drawn = locate(spark.range(total).withColumn("__at", chance % max(1, total)), "__at", spans.select("sidx", "lo", "hi"), width)
     counts = drawn.groupBy((F.col("id") / shard_slots).cast("long").alias("shard"), "sidx").agg(F.count("*").alias("n"))
-    counts = running(counts.withColumn("__order", F.lpad(F.col("shard").cast("string"), 19, "0")), ["sidx"], "__order", [], F.col("n"), "first")
+    counts = running(counts, ["sidx"], F.floor(F.col("shard") / _BUCKET_SHARDS), ["shard"], F.col("n"), "first")
     counts = materialize(counts.join(sources.select("sidx", "slots"), "sidx"), "mix-counts")
     stay = F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("first")))
     kept = counts.withColumn("stay", stay).filter("stay > 0").select("shard", "sidx", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("stay") - 1)).alias("number"))
@@ -112,7 +124,7 @@ def draw(spark: SparkSession, sources: DataFrame, shard_slots: int = SHARD_SLOTS
     gaps = F.sum("gap").over(W.orderBy("sidx").rowsBetween(W.unboundedPreceding, W.currentRow))
     short = short.select(F.col("sidx").alias("to"), "got", (gaps - F.col("gap")).alias("lo"), gaps.alias("hi"))
     over = counts.withColumn("extra", F.col("n") - stay).filter("extra > 0").withColumn("__hash", F.md5(F.concat_ws(" ", F.lit("extra"), "shard", "sidx"))).withColumn("__one", F.lit(0))
-    over = running(over, ["__one"], "__hash", ["shard", "sidx"], F.col("extra"), "__first")
+    over = running(over, ["__one"], by_hash("__hash", total // shard_slots), ["__hash", "shard", "sidx"], F.col("extra"), "__first")
     over = over.select("shard", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("extra") - 1)).alias("e"))
     moved = locate(over, "e", short, width).select("shard", F.col("to").alias("sidx"), (F.col("got") + F.col("e") - F.col("lo")).alias("number"))
     return kept.unionByName(moved)
@@ -121,25 +133,26 @@ def draw(spark: SparkSession, sources: DataFrame, shard_slots: int = SHARD_SLOTS
 def place(sized: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every document with words, its source's index and its first word's place in the source's stream."""
     keyed = sized.filter("size > 0").join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    return running(keyed, ["sidx"], "order_hash", ["doc_id", "size"], F.col("size"), "start")
+    rows = sources.agg(F.coalesce(F.sum("documents"), F.lit(0))).first()[0]
+    return running(keyed, ["sidx"], by_hash("order_hash", rows), ["order_hash", "doc_id", "size"], F.col("size"), "start")
 
 
 def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The part of a document in each block: row_id, sidx, block, first word in the document and number of words."""
+    """The part of a document in each block: row_id, sidx, block, its place in the source's stream, first word in the document and number of words."""
     last = F.col("start") + F.col("size") - 1
     each = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))))
     low = F.greatest(F.col("block") * block, F.col("start"))
     high = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
-    return each.select("row_id", "sidx", "block", (low - F.col("start")).alias("first_word"), (high - low).alias("words"))
+    return each.select("row_id", "sidx", "block", low.alias("at"), (low - F.col("start")).alias("first_word"), (high - low).alias("words"))
 
 
-def permuted(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """sidx, block and the block's rank in its source's pseudorandom permutation."""
+def permuted(placed: DataFrame, rows: int, block: int = BLOCK) -> DataFrame:
+    """sidx, block and the block's rank in its source's pseudorandom permutation; there are ``rows`` blocks."""
     begun = F.sequence(F.ceil(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
     some = F.ceil(F.col("start") / block) <= F.floor((F.col("start") + F.col("size") - 1) / block)
     blocks = placed.filter(some).select("sidx", F.explode(begun).alias("block"))
     blocks = blocks.withColumn("__hash", F.md5(F.concat_ws(" ", F.lit("block"), "sidx", "block")))
-    return running(blocks, ["sidx"], "__hash", ["block"], F.lit(1).cast("long"), "rank").drop("__hash")
+    return running(blocks, ["sidx"], by_hash("__hash", rows), ["__hash", "block"], F.lit(1).cast("long"), "rank").drop("__hash")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, shard_slots: int = SHARD_SLOTS, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -153,7 +166,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     placed = materialize(place(sized, sources, block), "mix-placed")
     slots = draw(spark, sources, shard_slots).join(sources.select("sidx", "blocks"), "sidx")
     by_rank = slots.groupBy("sidx", (F.col("number") % F.col("blocks")).alias("rank")).agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # MOST of them at most
-    taken = permuted(placed, block).join(by_rank, ["sidx", "rank"]).select("sidx", "block", "shards")
+    blocks = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    taken = permuted(placed, blocks, block).join(by_rank, ["sidx", "rank"]).select("sidx", "block", "shards")
     return sized, sources, pieces(placed, block), taken
 
 
@@ -166,8 +180,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     sized, _, parts, taken = mix(ids, text, source, key, block, row="row_id")
     each = parts.join(taken, ["sidx", "block"]).withColumn("__round", F.explode(F.sequence(F.lit(1), F.size("shards"))))
     spans = F.sort_array(F.collect_list(F.struct("first_word", "words")))  # the pieces of one document
-    picks = each.groupBy("row_id", "__round").agg(spans.alias("__spans"), F.sum("words").alias("__taken"))
-    words = stored.join(picks, stored["__row"] == picks.row_id).withColumn("__words", F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+    picks = each.groupBy(F.col("row_id").alias("__picked"), "__round").agg(spans.alias("__spans"), F.sum("words").alias("__taken"))
+    words = stored.join(picks, F.col("__row") == F.col("__picked")).withColumn("__words", F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
     part = F.expr("array_join(flatten(transform(__spans, p -> slice(__words, int(p.first_word) + 1, int(p.words)))), '')")
     out = words.withColumn(text, F.when(F.size("__words") == F.col("__taken"), F.col(text)).otherwise(part))
     if "n_chars" in docs.columns:
@@ -175,6 +189,18 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     return out.select(*docs.columns)
 
 
+def shards(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix as packed blocks: (shard, source, block, words) for each slot, with up to ``block`` words of the source's stream."""
+    stored = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(key).alias("doc_id")), "mix-documents")
+    _, sources, parts, taken = mix(stored, block=block, shard_slots=shard_slots, row="row_id")
+    words = stored.select("row_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("__words"))
+    own = parts.join(words, "row_id").withColumn("__own", F.expr("slice(__words, int(first_word) + 1, int(words))"))
+    packed = own.groupBy("sidx", "block").agg(F.sort_array(F.collect_list(F.struct("at", "__own"))).alias("__parts"))  # ``block`` words
+    slots = taken.select("sidx", "block", F.explode("shards").alias("shard"))
+    out = slots.join(packed, ["sidx", "block"]).join(sources.select("sidx", "source"), "sidx")
+    return out.select("shard", "source", "block", F.expr("flatten(transform(__parts, p -> p.__own))").alias("words"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized, sources, parts, taken = mix(docs)

@@ -15,9 +15,11 @@ at most, are looked up in a table that is sent along, the others by a join. The
 counts every word exactly in the same way: words with at least one in ``HEAVY`` of all tokens, of
 which there are at most ``HEAVY``, are sent along.
 
-Null texts are empty: they have the end token alone. A null id counts as an
-empty string. Repeated rows are separate documents. With no training text the
-base has N = V = 0 and the model is uniform. Extra columns are ignored.
+Null and empty texts have the end token alone. Very long texts are scored whole, as a chunk
+of their own. A null id counts as an empty string. Repeated rows are separate
+documents. Grams that tie in frequency are sent along or joined together; either way gives the same
+probability. With no training text the base has N = V = 0 and the model is uniform;
+an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm.arrays import LOWER, HashTable, blank_words, chunks, offsets_of, ragged, span_hashes
-from siltbed.llm.scratch import materialize
+from siltbed.llm.scratch import cleared, materialize
 from siltbed.llm.worker import Shared, per_worker, release_memory
 
 ORDER, NODES, HEAVY = 5, 1 << 20, 1 << 18
@@ -294,8 +296,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
     training = docs.filter(~held_out(key))
-    seen = materialize(gather(training, text, order), "ppm-grams")
-    rated = materialize(chances(seen, gather(docs.filter(held_out(key)), text, order), order), "ppm-chances")
+    with cleared(spark) as scope:
+        seen = materialize(gather(training, text, order), "ppm-grams")
+        rated = scope.keep(materialize(chances(seen, gather(docs.filter(held_out(key)), text, order), order), "ppm-chances"))
     least, room = 1 << 30, nodes
     for size, n in sorted(rated.groupBy("size").count().collect(), reverse=True):  # at most 8 * 64 sizes
         room -= n

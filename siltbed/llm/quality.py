@@ -5,8 +5,10 @@ interval in which a text passes; the table becomes one boolean column, so a
 filter on it runs in the scan's own stage and moves no rows between tasks.
 
 Null and empty texts have no words: all counts are 0, ``base_failed`` is true
-and ``kept`` false. Repeated rows give repeated results. Results replace kept
-columns of the same name.
+and ``kept`` false. An empty table gives an empty result. Very long texts are measured whole;
+positions of words have 28 bits, and a text of a string column has fewer words. A ratio
+that ties with a bound passes. Ids are not read. Repeated rows give repeated results. Results
+replace kept columns of the same name.
 """
 
 from __future__ import annotations

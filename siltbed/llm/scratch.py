@@ -9,39 +9,80 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_UNSET = (None, "")
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests,
-    local mode) a temporary folder of this machine, set once per session."""
+    """The folder named by ``spark.checkpoint.dir``, else the one that was set on the context. Only where driver
+    and executors are one process (tests, local mode) a temporary folder of this machine does, made once per session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base in _UNSET:
-        base = getattr(spark, "_siltbed_scratch", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="siltbed-")
-            spark._siltbed_scratch = base
-            spark.sparkContext.setCheckpointDir(base)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siltbed-")
+        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+class Scope:
+    """Paths of the tables that were stored since it was opened."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leaves the table that ``df`` was stored as to the scope around this one."""
+        path = getattr(df, "_stored_at", None)
+        if path in self.paths:
+            self.paths.remove(path)
+            if len(_scopes) > 1:
+                _scopes[-2].paths.append(path)
+        return df
+
+
+_scopes: list[Scope] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[Scope]:
+    """On leaving, deletes the tables that were stored inside and not kept: nothing lazy may read them any more."""
+    scope = Scope()
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        for path in scope.paths:
+            _delete(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a table scan."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def drop_scratch(df: DataFrame) -> None:
-    """Delete the shared-folder tables that ``df`` scans, once it is no longer needed."""
-    spark = df.sparkSession
-    base = shared_dir(spark).removeprefix("file://")
-    jvm = spark._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if base in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the table that ``materialize`` stored ``df`` as, once it is no longer needed."""
+    path = df._stored_at
+    for scope in _scopes:
+        if path in scope.paths:
+            scope.paths.remove(path)
+    _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -65,6 +65,15 @@ def test_quality_counts(docs):
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r["base_failed"] and r["kept"])
 
 
+def test_quality_corners(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, kept string")
+    assert quality.apply_rules(none).count() == 0
+    text = " ".join(f"word{i} the" for i in range(40))
+    rows = [(1, text, "x"), (1, text, "x"), (None, text, "x"), (None, None, "x")]
+    got = quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in got) == [("1", 80, True), ("1", 80, True), ("None", 0, False), ("None", 80, True)]
+
+
 def test_quality_filter_is_one_stage_without_python(docs):
     plan = quality.apply_rules(docs).filter("kept").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -113,6 +122,23 @@ def test_drop_copies_keeps_one_of_each(docs):
     assert ids == want and kept.columns == ["doc_id", "text", "source"]
 
 
+def test_drop_copies_keeps_one_row_of_a_group(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30", "other")
+    rows = [
+        (1, base, "b"), (1, base, "a"), (1, near, "c"), (2, base, "d"), (None, base, "e"),  # one group
+        (None, "n " * 9, "f"), (None, "n " * 9, "f"), (3, "some words of their own", "g"), (4, None, "h"), (4, None, "h"), (5, "", "i"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(4)
+    got = sorted(map(str, (tuple(r) for r in minhash.drop_copies(docs).collect())))
+    kept = sorted(rows[:2] + rows[2:3], key=str)
+    firsts = [str(r) for r in kept if str(r) in got]
+    assert len(firsts) == 1 and firsts[0] != str(rows[1])  # of id 1: one text, and of its repeated rows the last
+    assert [g for g in got if g not in firsts] == sorted(map(str, [rows[5], rows[7], rows[8], rows[9], rows[10]]))
+    assert got == sorted(map(str, (tuple(r) for r in minhash.drop_copies(docs.repartition(1)).collect())))
+    assert minhash.drop_copies(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates_corners(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(none).count() == 0
@@ -198,6 +224,55 @@ def test_mixed_documents_are_made_of_taken_words(docs):
     assert sorted(map(str, mixed)) == sorted(map(str, again))
 
 
+def test_mixed_documents_of_odd_rows(spark):
+    rng = random.Random(6)
+    rows = [(1, prose(rng, 50), "s", "x", 7), (1, prose(rng, 50), "s", "x", 7), (None, prose(rng, 60), None, "y", 8), (2, None, "s", "z", 9), (3, "", "t", "z", 9), (4, prose(rng, 3000), "t", "z", 1)]
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_id string, n_words int")
+    mixed = mixing.mixed_documents(docs, block=16)
+    assert mixed.columns == docs.columns and mixing.mixed_documents(docs.limit(0)).count() == 0
+    got = [r for r in mixed.collect()]
+    by, size = Counter(), Counter()
+    for r in got:
+        by[r["source"]] += len(WORD.findall(r["text"]))
+        assert any(tuple(r)[2:] == x[2:] and r["doc_id"] == x[0] for x in rows)
+    for _, t, s, *_ in rows:
+        size[s] += len(WORD.findall(t or ""))
+    for s, target in plain_targets(size).items():
+        assert abs(by[s] - target) <= 48 and by[s] <= 3 * size[s]
+
+
+def test_shards_are_packed_blocks(spark, docs):
+    rows = docs.select("doc_id", "text", "source")
+    _, sources, _, _ = mixing.mix(rows, block=16, shard_slots=64)
+    drawn = Counter((r["shard"], r["sidx"]) for r in mixing.draw(spark, sources, 64).collect())
+    index = {r["source"]: r["sidx"] for r in sources.collect()}
+    got = mixing.shards(rows, block=16, shard_slots=64).collect()
+    assert Counter((r["shard"], index[r["source"]]) for r in got) == drawn  # the drawn counts of each shard
+    size = {r["source"]: r["source_size"] for r in sources.collect()}
+    held = {(r["source"], r["block"]): r["words"] for r in got}
+    assert all(len(w) == min(16, size[s] - 16 * b) for (s, b), w in held.items())
+    texts = {"s": [], "t": [], None: []}
+    for i, t in enumerate(corpus()):
+        texts[("s", "t", None)[i % 3]].append(WORD.findall(t or ""))
+    for s in texts:  # a source whose blocks are all taken comes back whole
+        blocks = sorted(b for x, b in held if x == s)
+        if blocks == list(range(len(blocks))) and len(blocks) * 16 >= size[s]:
+            assert Counter(w for b in blocks for w in held[s, b]) == Counter(w for t in texts[s] for w in t)
+    assert any(len([b for x, b in held if x == s]) * 16 >= size[s] for s in texts)
+
+
+def test_running_totals_by_bucket(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), k, rng.randint(0, 5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    got = {r["k"]: r["before"] for r in mixing.running(df, ["g"], mixing.F.floor(mixing.F.col("k") / 7), ["k"], mixing.F.col("v"), "before").collect()}
+    for g, k, _ in rows:
+        assert got[k] == sum(v for h, j, v in rows if h == g and j < k)
+    bucket = lambda n: spark.range(1).select(mixing.F.lit("0123456789abcdef").alias("h")).select(mixing.by_hash("h", n).alias("x")).first()["x"]
+    assert [bucket(n) for n in (0, 10**6, 10**9, 10**11)] == ["012", "012", "0123", "012345"]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None), (2, "", "s")]])
 def test_mix_of_nothing(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -326,6 +401,169 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def plain_language(model, text):
+    """Label and probability by the mean of the weights of all n-grams, one after the other."""
+    raw = bytearray()
+    for c in (text or "").encode():
+        if len(raw) and raw[-1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97:
+            c += 0x20
+        raw.append(c)
+    low = bytes(raw).lower()
+    folded = [0x20]
+    for c in low:
+        c = c if c >= 128 or 97 <= c <= 122 else 0x20
+        if c != 0x20 or folded[-1] != 0x20:
+            folded.append(c)
+    if folded[-1] != 0x20:
+        folded.append(0x20)
+    total, n = [0.0] * len(model.languages), 0
+    for at, size in enumerate((2, 3, 4)):
+        for i in range(len(folded) - size + 1):
+            value = int.from_bytes(bytes(folded[i : i + size]), "big")
+            h = (value * 0x9E3779B1 & 0xFFFFFFFF) ^ (value >> 15)
+            row = (h * (0x85EBCA77 + 2 * (size - 1)) & 0xFFFFFFFF) >> 16
+            n += 1
+            for c in range(len(total)):
+                total[c] += float(model.weights[c][row + (at << 16)])
+    z = [(t / max(1, n) + float(b)) / model.temperature for t, b in zip(total, model.bias, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return model.languages[e.index(max(e))], max(e) / sum(e)
+
+
+def spoken(rng):
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["ßu", "Öt", "ern"], "cc": ["qué", "Ción", "ar"]}
+    make = lambda la, n: " ".join("".join(rng.choice(syllables[la]) for _ in range(3)) for _ in range(n))
+    return [(i, make(la, rng.choice([2, 30])) + rng.choice(["", " 12!", "\n#"]), la) for i, la in enumerate(rng.choice(["aa", "bb", "cc"]) for _ in range(300))]
+
+
+def test_language_against_a_plain_version(spark):
+    rows = spoken(random.Random(5))
+    rows += [(400, None, "aa"), (401, "", "bb"), (402, "12 -- 7", None), (None, "kalomi " * 5, "aa"), (None, "kalomi " * 5, "aa"), (403, "lokami " * 30_000, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", langid.F.lit(3))
+    model = langid.train(docs)
+    got = Counter((r["doc_id"], r["text"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(docs, model).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        label, p = plain_language(model, t) if any(c.isalpha() for c in t or "") else ("und", 0.0)
+        want[i, t, label, round(p, 9)] += 1
+    assert got == want
+    again = langid.train(docs.repartition(7))  # null ids and repeated rows included
+    assert (again.weights == model.weights).all() and again.threshold == model.threshold
+    assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_language_learns_from_whole_texts(spark):
+    """What tells the languages apart stands at the end of long texts."""
+    rng = random.Random(7)
+    same = " ".join(rng.choice(LETTERS) * 2 for _ in range(300))
+    rows = [(i, same + (" zzuzzu" if i % 2 else " yyiyyi") * rng.randint(150, 200), "ab"[i % 2]) for i in range(200)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(plain_language(model, t)[0] == la for _, t, la in rows[:20])
+
+
+def plain_toxicity(model, text):
+    """Score by filters moved over the words one by one."""
+    net = model.network
+    low = text.lower() if text.isascii() else text
+    words = re.findall(r"[a-z0-9]+", low)
+    vectors = []
+    for w in words:
+        rows = toxicity.word_rows(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]
+        vectors.append(np.sum([net.embedding[r].astype(np.float64) for r in rows], axis=0))
+    best = []
+    for i, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            top = 0.0
+            for at in range(len(vectors)):
+                value = float(net.bias[i * toxicity.FILTERS + f])
+                for k in range(width):
+                    if at + k < len(vectors):
+                        value += float(vectors[at + k] @ net.kernels[i][k, :, f].astype(np.float64))
+                top = max(top, value)
+            best.append(top)
+    z = sum(b * float(o) for b, o in zip(best, net.out, strict=True)) + net.out_bias
+    raw = text.encode()
+    language = model.language.predict(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0]
+    return 1 / (1 + math.exp(-(z - model.cuts[language] + math.log(toxicity.CUT / (1 - toxicity.CUT)))))
+
+
+def marked(rng, n, long=0):
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        words = prose(rng, rng.randint(5, 60) + (long if bad else 0)).split(" ")
+        if bad:
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(len(words))] = "grumsk" + rng.choice(LETTERS)
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_against_a_plain_version(spark):
+    rows, labels = marked(random.Random(13), 300)
+    rows += [(None, rows[0][1], "en"), (None, rows[0][1], "en"), (900, None, "en"), (901, "", None), (902, "Grumskba GRUMSKDE 12", "en"), (2, rows[2][1], "en")]
+    labels += [(2, 1), (2, 0), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", toxicity.F.lit("x"))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.trained(docs, marks)
+    got = toxicity.classify(docs, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(plain_toxicity(model, r["text"] or ""), abs=1e-5) and r["predicted"] == int(r["score"] >= 0.7)
+    again = toxicity.trained(docs.repartition(5), marks.repartition(3))
+    assert (again.network.embedding == model.network.embedding).all() and (again.cuts == model.cuts).all()
+    assert toxicity.classify(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_gradient():
+    """Against differences of the loss."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 40, (12, 3))
+    net = toxicity.Network(
+        rng.normal(0, 0.5, (40, toxicity.DIM)), [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS],
+        rng.normal(0, 0.1, toxicity.FILTERS * len(toxicity.WIDTHS)), rng.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)), 0.1,
+    )
+    at_word, by_text, y = rng.integers(0, 12, 30), np.array([0, 0, 9, 10, 30, 30]), np.array([0, 1, 0, 1, 1])
+
+    def loss():
+        best, _ = net.activations(net.vectors(rows)[at_word], by_text)
+        z = best @ net.out + net.out_bias
+        return np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y))
+
+    def slope(array, at, step=1e-6):
+        held = array[at]
+        array[at] = held + step
+        high = loss()
+        array[at] = held - step
+        low = loss()
+        array[at] = held
+        return (high - low) / (2 * step)
+
+    found = toxicity.gradient(net, rows, at_word, by_text, y)
+    for i, kernel in enumerate(net.kernels):
+        for at in np.ndindex(kernel.shape):
+            assert found.kernels[i][at] == pytest.approx(slope(kernel, at), abs=1e-7)
+    for array, grad in ((net.bias, found.bias), (net.out, found.out)):
+        for at in np.ndindex(array.shape):
+            assert grad[at] == pytest.approx(slope(array, at), abs=1e-7)
+    by_row = np.zeros_like(net.embedding)
+    np.add.at(by_row, found.rows, found.by_row)
+    for at in np.ndindex(by_row.shape):
+        assert by_row[at] == pytest.approx(slope(net.embedding, at), abs=1e-7)
+
+
+def test_toxicity_of_long_texts(spark):
+    """All toxic training texts are long: they are learnt from, and found."""
+    rows, labels = marked(random.Random(17), 240, long=2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.trained(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.network is not None
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, model).collect()}
+    bad = [i for i, y in labels if y and zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i] for i in bad]) > 0.9
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows, labels = [], []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -11,9 +12,9 @@ import pytest
 pytest.importorskip("siltbed.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_documents import WORD, plain_sets, plain_targets  # noqa: E402
+from test_documents import WORD, plain_quality, plain_sets, plain_targets, plain_toxicity, prose  # noqa: E402
 
-from siltbed.llm import minhash, mixing, pretokens, quality, toxicity  # noqa: E402
+from siltbed.llm import minhash, mixing, pretokens, quality, scratch, toxicity  # noqa: E402
 from siltbed.llm.scratch import materialize  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -104,3 +105,111 @@ def test_stages_against_plain_versions(spark):
         back = library.decode(ids, skip_special_tokens=False)
         want.append((r["doc_id"], r["source"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), ids))
     assert sorted((r["doc_id"], r["source"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["ids"]) for r in coded) == sorted(want)
+
+
+CLASHES = ["n_words", "kept", "score", "predicted", "base_failed", "row_id", "ids", "n_tokens", "component_id", "size", "text_hash"]
+
+
+def odd_documents():
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(160):
+        words = prose(rng, rng.randint(60, 120)).split(" ")
+        words[::4] = ["the"] * len(words[::4])
+        if i % 5 == 0:
+            words[7] = "grumskba"
+        rows.append([i, " ".join(words)])
+        labels.append((i, int(i % 5 == 0)))
+    rows += [[None, rows[1][1]], [None, None], [500, ""], [501, None], rows[2], rows[2], [3, rows[3][1].replace(" the ", " a ", 1)]]
+    rows += [[502, rows[4][1] + " and more"], [503, " \n "], [504, prose(rng, 30_000)], [505, "the one two " * 9000], [None, prose(rng, 90).replace(",", " the")]]
+    return [(i, t, "en", ("s", "t", None)[k % 3], 1, *(f"{c} {k}" for c in CLASHES)) for k, (i, t) in enumerate(rows)], labels
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls in every column, empty, very long and repeated texts, and columns with the names of results, through every stage."""
+    rows, labels = odd_documents()
+    rows[9] = (rows[9][0], rows[9][1], None, None, None, *[None] * len(CLASHES))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (None, 1), (2, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, tables = docs.columns, [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        tables.append(materialize(stage(spark, tables[-1], str(tmp_path)), "test-stage"))
+    assert all(t.columns == columns for t in tables[:-1])
+    start, calm, good, single, mixed, coded = [[tuple(r) for r in t.collect()] for t in tables]
+    text_of = lambda r: r[1] or ""
+
+    model = toxicity.trained(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert Counter(calm) == Counter(r for r in start if plain_toxicity(model, text_of(r)) < 0.7)
+    assert 0 < len(calm) < len(start)
+
+    def passes(r):
+        n, chars, symbols, dup, repeat = plain_quality(r[1])
+        lines = [x for x in text_of(r).split("\n") if WORD.search(x)]
+        stop = sum(w.rstrip(".,;:!?").lower() in quality.STOP_WORDS for w in WORD.findall(text_of(r)))
+        return n >= 50 and 2 * repeat <= n and 2 <= chars / n <= 12 and symbols <= 0.1 * chars and stop >= 0.04 * n and dup <= 0.5 * len(lines)
+
+    assert Counter(good) == Counter(r for r in calm if passes(r)) and len(good) < len(calm)
+
+    sets = plain_sets([r[1] for r in good], 5)
+    group = list(range(len(good)))
+    for i in range(len(good)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[i] if g == group[j] else g for g in group]
+    assert Counter(group[good.index(r)] for r in single) == Counter(set(group))  # one row of each group
+    for g in set(group):
+        ids = [good[k][0] for k in range(len(good)) if group[k] == g and good[k][0] is not None]
+        (kept,) = [r for r in single if group[good.index(r)] == g]
+        assert kept[0] == (min(ids) if ids else None) and kept in good
+
+    sizes, got = Counter(), Counter()
+    for r in single:
+        sizes[r[3]] += len(WORD.findall(text_of(r)))
+    for r in mixed:
+        got[r[3]] += len(WORD.findall(r[1]))
+        came = [x for x in single if (x[0], *x[2:4], *x[5:]) == (r[0], *r[2:4], *r[5:])]  # n_chars is that of the new text
+        assert came and len(r[1]) == r[4]
+        it = iter(WORD.findall(came[0][1]))
+        assert all(any(w == x for x in it) for w in WORD.findall(r[1]))
+    for source, target in plain_targets(sizes).items():
+        assert abs(got[source] - target) <= 3 * mixing.BLOCK
+
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(pretokens.default_path())
+    assert Counter((r[0], r[3], tuple(library.encode(r[1], add_special_tokens=False).ids)) for r in mixed) == Counter((r[0], r[1], tuple(r[5])) for r in coded)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_tables(spark, tmp_path):
+    held = scratch.shared_dir(spark)
+    assert held == scratch.shared_dir(spark)  # the folder set on the context
+    with scratch.cleared(spark) as outer:
+        with scratch.cleared(spark) as inner:
+            kept, gone = inner.keep(materialize(spark.range(3), "kept")), materialize(spark.range(4), "gone")
+        assert kept.count() == 3 and kept._stored_at in outer.paths
+        with pytest.raises(Exception, match="(?i)not.*exist"):
+            spark.read.parquet(gone._stored_at)
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(kept._stored_at)
+
+    class Cluster:
+        """A session on a cluster without a shared folder."""
+
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": lambda self: type("N", (), {"isDefined": lambda self: False})()})())
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Cluster())
