@@ -14,6 +14,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltbed.llm.worker import trim_driver
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, else the one that was set on the context. Only where driver
@@ -69,6 +71,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if _scopes:
         _scopes[-1].paths.append(path)
     df.write.parquet(path)
+    trim_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

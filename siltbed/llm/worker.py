@@ -5,11 +5,13 @@ from __future__ import annotations
 import ctypes
 import gc
 import pickle
+import time
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _HELD: dict[str, tuple[Hashable, Any]] = {}
@@ -59,3 +61,29 @@ def release_memory() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
         trim(0)
+
+
+#: Seconds between two trims of the driver's JVM, and when the last one was.
+_EVERY = 1.0
+_trimmed = [0.0]
+#: What ``MBeanServer.invoke`` takes.
+_INVOKE = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Gives back what planning and compiling many queries leaves in the native heap of the driver's JVM (some 200 MB after a few
+    dozen jobs): the machine's allocator keeps it otherwise. JVMs that have no such command are left alone."""
+    if time.monotonic() - _trimmed[0] < _EVERY:
+        return
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    find = jvm.java.lang.Class.forName
+    types, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for k, name in enumerate(_INVOKE):
+        types[k] = find(name)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    try:  # by reflection: the server's class is not public
+        find("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        pass
+    _trimmed[0] = time.monotonic()
