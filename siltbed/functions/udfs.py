@@ -86,18 +86,23 @@ def may_contain(keys: DataFrame, probes: DataFrame, fpr: float) -> DataFrame:
     return asked.join(present, "bit", "left").groupBy("key").agg((F.count("set") == F.count("*")).alias("may_contain"))
 
 
-#: Bytes of partial filters that a task holds before it passes them on.
-_HELD = 1 << 26
+#: Bytes of a filter that are merged together, and of partial filters that a task holds before it passes them on.
+_RANGE, _HELD = 1 << 16, 1 << 26
 
 
 def filters_by_run(keys: DataFrame, run: str, fpr: float) -> DataFrame:
-    """(run, n_keys, bits, hashes, encoded) of the Bloom filter of each run's keys, a null run being one too: partial filters by task and run, merged into each file's bytes."""
+    """(run, n_keys, bits, hashes, encoded) of the Bloom filter of each run's keys, a null run being one too.
+
+    Tasks pass on the byte ranges of their partial filters that have a bit set; ranges of all
+    tasks are merged one by one, and only the last step, whose result is one value, has a whole filter.
+    """
     counts = keys.groupBy(F.col(run).alias("__run")).agg(F.count("*").alias("n_keys"))
     sized = keys.join(counts, F.col(run).eqNullSafe(F.col("__run"))).select(F.col(run).cast("string").alias("run"), "key", "n_keys")
 
     def rows(held):
-        runs, ns = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(ns, pa.int64()), pa.array([f.encode() for f in held.values()], pa.binary())], names=["run", "n_keys", "data"])
+        out = [(name, n, k, f.data[k * _RANGE : (k + 1) * _RANGE]) for (name, n), f in held.items() for k in range(-(-len(f.data) // _RANGE))]
+        out = [x for x in out if x[3].any()]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3].tobytes() for x in out], pa.binary())], names=["run", "n_keys", "part", "data"])
 
     def part(batches):
         held: dict[tuple[str | None, int], bloom.BloomFilter] = {}
@@ -117,31 +122,25 @@ def filters_by_run(keys: DataFrame, run: str, fpr: float) -> DataFrame:
         if held:
             yield rows(held)
 
+    def merged(table):
+        data = np.frombuffer(table["data"][0].as_py(), np.uint8).copy()
+        for raw in table["data"][1:]:
+            data |= np.frombuffer(raw.as_py(), np.uint8)
+        return table.slice(0, 1).select(["run", "n_keys", "part"]).append_column("data", pa.array([data.tobytes()], pa.binary()))
+
     def whole(table):
         n = table["n_keys"][0].as_py()
         out = bloom.BloomFilter(*bloom.parameters(n, fpr))
-        for raw in table["data"]:
-            out.merge(bloom.BloomFilter.decode(raw.as_py()))
+        for k, raw in zip(table["part"].to_pylist(), table["data"], strict=True):
+            data = np.frombuffer(raw.as_py(), np.uint8)
+            out.data[k * _RANGE : k * _RANGE + len(data)] = data
         return pa.table({"run": table["run"][:1], "n_keys": pa.array([n], pa.int64()), "bits": pa.array([out.bits], pa.int64()), "hashes": pa.array([out.hashes], pa.int32()), "encoded": pa.array([out.encode()], pa.binary())})
 
-    return sized.mapInArrow(part, "run string, n_keys long, data binary").groupBy("run").applyInArrow(whole, "run string, n_keys long, bits long, hashes int, encoded binary")
+    parts = "run string, n_keys long, part long, data binary"
+    ranges = sized.mapInArrow(part, parts).groupBy("run", "part").applyInArrow(merged, parts)
+    return ranges.groupBy("run").applyInArrow(whole, "run string, n_keys long, bits long, hashes int, encoded binary")
 
 
 def filter_bytes(keys: DataFrame, fpr: float) -> DataFrame:
-    """(n_keys, bits, hashes, encoded) of the Bloom filter of one run's keys: partial filters by task, merged into the file's bytes."""
-    n = keys.count()
-    bits, hashes = bloom.parameters(max(1, n), fpr)
-
-    def part(batches):
-        own = bloom.BloomFilter(bits, hashes)
-        for b in batches:
-            own.add(_bytes(b.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([own.encode()], pa.binary())], names=["g", "data"])
-
-    def whole(table):
-        out = bloom.BloomFilter(bits, hashes)
-        for raw in table["data"].to_pylist():
-            out.merge(bloom.BloomFilter.decode(raw))
-        return pa.table({"n_keys": pa.array([n], pa.int64()), "bits": pa.array([bits], pa.int64()), "hashes": pa.array([hashes], pa.int32()), "encoded": pa.array([out.encode()], pa.binary())})
-
-    return keys.select("key").mapInArrow(part, "g long, data binary").groupBy("g").applyInArrow(whole, "n_keys long, bits long, hashes int, encoded binary")
+    """(n_keys, bits, hashes, encoded) of the Bloom filter of one run's keys."""
+    return filters_by_run(keys.select("key", F.lit("").alias("run")), "run", fpr).drop("run")

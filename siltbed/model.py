@@ -17,8 +17,8 @@ RECORD = T.StructType([
 MAX_KEY_BYTES = 64 << 10
 MAX_VALUE_BYTES = 64 << 20
 
-#: Layers from old to new: immutable runs, closed batches, the open batch.
-TIER_RUN, TIER_CLOSED, TIER_OPEN = 0, 1, 2
+#: Layers from old to new: immutable runs, batches in the log.
+TIER_RUN, TIER_CLOSED = 0, 1
 
 
 class StoreError(Exception):
@@ -57,8 +57,3 @@ def precedence(tier: Column | int, position: Column | int, seq: Column) -> Colum
     """
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(as_column(tier).cast("int").alias("tier"), as_column(position).cast("long").alias("position"), seq.cast("long").alias("seq"))
-
-
-def as_records(key: Column, seq: Column, value: Column, deleted: Column) -> list[Column]:
-    """The record columns; a tombstone's value is dropped."""
-    return [key.cast("string").alias("key"), seq.cast("long").alias("seq"), F.when(~deleted, value.cast("binary")).alias("value"), deleted.alias("deleted")]

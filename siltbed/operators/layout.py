@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltbed.model import MAX_KEY_BYTES, MAX_VALUE_BYTES
-from siltbed.operators.resolve import range_of, split_points
+from siltbed.operators.resolve import by_range
 
 #: Fixed values of the formats, in bytes.
 RECORD_HEADER, BLOCK_COUNT, BLOCK_HEADER, BLOCK_CHECKSUM, FOOTER = 17, 4, 5, 4, 40
 MAX_BLOCK_BYTES = 256 << 20
 FOOTER_MAGIC, FOOTER_VERSION = "HYPSST", 2
 DEFAULT_BLOCK_SIZE, DEFAULT_SAVINGS, DEFAULT_FPR = 64 << 10, 0.125, 0.01
+#: Codecs of runs, by what Parquet calls them.
+CODECS = {"none": "uncompressed", "lz4": "lz4_raw"}
 
 
 def encoded_size(key: Column, value: Column) -> Column:
@@ -27,19 +33,46 @@ def blocks(df: DataFrame, run: list[str], block_size: int = DEFAULT_BLOCK_SIZE)
     """The blocks of each run of (key, size) rows: block_no, first_key, records, raw_bytes.
 
     Blocks fill greedily in key order: one starts with its record count, and
-    closes before a record that would pass ``block_size`` unless it is empty.
-    That is a fold, not a window; it keeps one small struct for each block and reads the
-    sizes alone, so a run takes one task. Bulk writing doesn't use it.
+    closes before a record that would pass ``block_size`` unless it is empty. Where a block starts
+    depends on all before it, so a run takes one task; it reads keys and sizes alone, sorted
+    by Spark, and holds one batch of them and the open block.
     """
     size = block_size if block_size > 0 else DEFAULT_BLOCK_SIZE
-    ordered = df.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("key", "size"))).alias("__r"))
-    empty = "cast(array() as array<struct<first_key:string,records:bigint,raw_bytes:bigint>>)"
-    fold = f"""aggregate(__r, named_struct('done', {empty}, 'first_key', cast(null as string), 'n', 0L, 'bytes', {BLOCK_COUNT}L),
-      (s, r) -> if(s.n > 0 and s.bytes + r.size > {size}L,
-        named_struct('done', concat(s.done, array(named_struct('first_key', s.first_key, 'records', s.n, 'raw_bytes', s.bytes))), 'first_key', r.key, 'n', 1L, 'bytes', {BLOCK_COUNT}L + r.size),
-        named_struct('done', s.done, 'first_key', if(s.n = 0, r.key, s.first_key), 'n', s.n + 1L, 'bytes', s.bytes + r.size)),
-      s -> if(s.n > 0, concat(s.done, array(named_struct('first_key', s.first_key, 'records', s.n, 'raw_bytes', s.bytes))), s.done))"""
-    return ordered.select(*run, F.posexplode(F.expr(fold)).alias("block_no", "__b")).select(*run, F.col("block_no").cast("long").alias("block_no"), "__b.first_key", "__b.records", "__b.raw_bytes")
+    kept = [df.schema[c] for c in run]
+    schema = T.StructType([*kept, T.StructField("block_no", T.LongType()), T.StructField("first_key", df.schema["key"].dataType), T.StructField("records", T.LongType()), T.StructField("raw_bytes", T.LongType())])
+
+    def pack(batches):
+        which, number, first, n, filled = None, 0, None, 0, BLOCK_COUNT
+        for batch in batches:
+            closed = []
+            runs, keys, sizes = batch.select(run).to_pylist(), batch.column("key"), batch.column("size").to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(sizes), 0
+            changes = [k for k in range(1, len(runs)) if runs[k] != runs[k - 1]] + [len(runs)]
+            for stop in changes:
+                if which is not None and runs[at] != which[0]:
+                    if n:
+                        closed.append((which[0], number, first, n, filled))
+                    which, number, n, filled = None, 0, 0, BLOCK_COUNT
+                which = (runs[at],)
+                while at < stop:
+                    done = ends[at - 1] if at else 0
+                    take = int(np.searchsorted(ends[:stop], done + size - filled, side="right"))
+                    if take <= at and n:  # the next record doesn't fit
+                        closed.append((which[0], number, first, n, filled))
+                        number, n, filled = number + 1, 0, BLOCK_COUNT
+                        continue
+                    take = max(take, at + 1)
+                    first = first if n else keys[at].as_py()
+                    n, filled, at = n + take - at, filled + int(ends[take - 1] - done), take
+            yield rows(closed)
+        if n:
+            yield rows([(which[0], number, first, n, filled)])
+
+    def rows(closed):
+        return pa.RecordBatch.from_pylist([c[0] | {"block_no": c[1], "first_key": c[2], "records": c[3], "raw_bytes": c[4]} for c in closed], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return df.select(*run, "key", F.col("size").cast("long").alias("size")).repartition(*run).sortWithinPartitions(*run, "key").mapInArrow(pack, schema)
 
 
 def sparse_index(layout: DataFrame, run: list[str]) -> DataFrame:
@@ -53,14 +86,14 @@ def floor_lookup(index: DataFrame, probes: DataFrame, by: tuple[str, ...] = ())
     """``probes`` (a column key) with the entry that has the greatest first_key not above the key; nulls if none has.
     With columns ``by``, which both sides have, entries count only where these agree; nulls agree.
 
-    Both sides meet in one pass in key order: ranges of keys are split over
+    Both sides meet in one pass in key order: ranges of keys that Spark cuts to size are split over
     tasks, the last entry of each range is carried to the next, and inside a range
     a window fills it down, so there is no join on an inequality.
     """
     columns = [c for c in index.columns if c not in by]
     entries = index.select(*by, F.col("first_key").alias("key"), F.lit(0).alias("kind"), F.struct(*columns).alias("entry"))
     wanted = probes.select(*by, "key", F.lit(1).alias("kind"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
-    both = entries.unionByName(wanted).withColumn("__part", range_of(F.col("key"), split_points(probes, "key")))
+    both = by_range(entries.unionByName(wanted), "key", ("kind",), "floor").withColumnRenamed("__range", "__part").drop("__inner")
     ordered = W.partitionBy(*by, "__part").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = both.withColumn("__found", F.last("entry", ignorenulls=True).over(ordered))
     last = F.max_by(F.when(F.col("kind") == 0, F.col("entry")), F.when(F.col("kind") == 0, F.col("key"))).alias("__last")
@@ -94,7 +127,7 @@ def _ideal_bits(n: Column, fpr: Column) -> Column:
 def record_error(flags: Column, key_bytes: Column, value_bytes: Column, remaining: Column) -> Column:
     """The first rule that a record header breaks, or null."""
     return (
-        F.when(flags.bitwiseAND(F.lit(254)) != 0, "unknown record flags")
+        F.when(flags.bitwiseAND(F.lit(254)) != 0, "flags")
         .when(key_bytes > MAX_KEY_BYTES, "key length")
         .when(value_bytes > MAX_VALUE_BYTES, "value length")
         .when(key_bytes + value_bytes > remaining, "payload is short")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.model import precedence
+from siltbed.sources.files import stored
 
 
 def latest(df: DataFrame, order: Column | None = None, keys: tuple[str, ...] = ("key",)) -> DataFrame:
@@ -31,31 +32,28 @@ def resolve_layers(df: DataFrame) -> DataFrame:
     return latest(df, precedence(F.col("tier"), F.col("position"), F.col("seq"))).drop("tier", "position")
 
 
-def split_points(df: DataFrame, key: str, parts: int = 32) -> list:
-    """At most ``parts`` - 1 keys that cut the rows into ranges of similar size, from a sample picked by hash."""
-    picked = df.select(key).distinct().orderBy(F.xxhash64(key)).limit(32 * parts)
-    keys = sorted(r[0] for r in picked.filter(F.col(key).isNotNull()).collect())
-    return keys[32::32] if len(keys) > 32 else []
+#: Row number within the partition, in what ``monotonically_increasing_id`` gives.
+_WITHIN = (1 << 33) - 1
 
 
-def range_of(key: Column, points: list) -> Column:
-    """The number of the range of ``key`` between the split points."""
-    return sum((F.coalesce(key >= F.lit(p), F.lit(False)).cast("int") for p in points), F.lit(0))
+def by_range(df: DataFrame, key: str, then: tuple[str, ...] = (), name: str = "ranges") -> DataFrame:
+    """``df`` stored in ranges of ``key``, sorted by it and ``then`` within: with the range's number and, from 0, the row's place in it.
+
+    Spark picks the bounds from a sample and as many ranges as the data needs.
+    Rows of equal keys are in one range. The numbers are stored with the rows, as the
+    bounds may differ when they are computed again.
+    """
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key, *then)
+    return stored(ordered.withColumn("__range", F.spark_partition_id()).withColumn("__inner", F.monotonically_increasing_id().bitwiseAND(F.lit(_WITHIN))), name)
 
 
 def ranked(df: DataFrame, key: str = "key", name: str = "place") -> DataFrame:
-    """``df`` with each row's place, from 1, in the order of a unique key: numbered inside ranges of keys, on from the counts of earlier ranges."""
-    cut = df.withColumn("__range", range_of(F.col(key), split_points(df, key)))
+    """``df`` with each row's place, from 1, in the order of a unique key: its place in its range of keys, on from the counts of earlier ranges."""
+    cut = by_range(df, key, name="ranked")
     counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inner = F.row_number().over(W.partitionBy("__range").orderBy(key))
-    out = cut.withColumn("__inner", inner).join(counts.select("__range", before.alias("__before")), "__range")
-    return out.withColumn(name, (F.col("__before") + F.col("__inner")).cast("long")).drop("__range", "__inner", "__before")
-
-
-def sorted_records(df: DataFrame) -> DataFrame:
-    """Records in ascending bytewise key order, tombstones included."""
-    return df.orderBy("key")
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    out = cut.join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
+    return out.withColumn(name, (F.col("__before") + F.col("__inner") + 1).cast("long")).drop("__range", "__inner", "__before")
 
 
 def point_get(df: DataFrame, key: str, order: Column | None = None) -> DataFrame:
@@ -74,11 +72,6 @@ def multi_get(df: DataFrame, keys: DataFrame, order: Column | None = None) -> Da
     return keys.join(found, "key", "left").withColumn("status", status)
 
 
-def max_seq(df: DataFrame) -> DataFrame:
-    """One row with the greatest sequence, tombstones included; 0 if there are no rows."""
-    return df.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("max_seq"))
-
-
 def unsorted(df: DataFrame, position: str, key: str = "key", chunk: int = 1 << 20) -> DataFrame:
     """Rows whose key is smaller than the one before them in ``position`` order; equal keys are in order.
 

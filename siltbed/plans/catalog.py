@@ -7,6 +7,7 @@ records of realistic sizes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from siltbed.functions import udfs
 from siltbed.operators import layout, resolve, rotation
-from siltbed.sources import log, snapshot
+from siltbed.sources import log, run_file, snapshot
+from siltbed.sources.files import shared_dir
+from siltbed.store import Store, WriteOptions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,7 +26,7 @@ RUN_WRITES = 1000
 _LOG = """log as (select cast(user_id as varchar) as key, event_id as seq, case when event_type = 'error' then null else props end as value,
   event_type = 'error' as deleted, event_id // 1000 as run_pos from events),
 newest as (select * from (select *, row_number() over (partition by key order by run_pos desc, seq desc) as rn from log) where rn = 1)"""
-_DOCS = "docs as (select cast(doc_id as varchar) as key, source as run, 17 + strlen(cast(doc_id as varchar)) + strlen(text) as size from documents)"
+_DOCS = "docs as (select cast(doc_id as varchar) as key, source as run, 17 + strlen(cast(doc_id as varchar)) + coalesce(strlen(text), 0) as size from documents)"
 
 
 def query(sql: str | None = None):
@@ -50,9 +53,9 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records of one run for each source."""
+    """Documents as records of one run for each source; a null text is an empty value."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").cast("string").alias("key"), F.col("doc_id").alias("seq"), F.col("text").alias("value"), F.lit(False).alias("deleted"), F.col("source").alias("run"))
+    return docs.select(F.col("doc_id").cast("string").alias("key"), F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("value"), F.lit(False).alias("deleted"), F.col("source").alias("run"))
 
 
 @query(f"with {_LOG} select key, seq, value from newest where not deleted")
@@ -312,7 +315,7 @@ _HEADERS = ((0, 5, 5, 10), (1, 3, 0, 3), (128, 1, 1, 2), (0, 65537, 1, 99999), (
 
 
 @query(f"""with {_rows("flags, k, v, remaining", _HEADERS)} select flags::int as flags, k::bigint as k, v::bigint as v, remaining::bigint as remaining,
-case when flags & 254 <> 0 then 'unknown record flags' when k > 65536 then 'key length' when v > 67108864 then 'value length' when k + v > remaining then 'payload is short' end as error from v""")
+case when flags & 254 <> 0 then 'flags' when k > 65536 then 'key length' when v > 67108864 then 'value length' when k + v > remaining then 'payload is short' end as error from v""")
 def record_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record headers and the first rule they break."""
     rows = spark.createDataFrame(list(_HEADERS), "flags int, k long, v long, remaining long")
@@ -345,8 +348,96 @@ def record_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return udfs.decoded_records(udfs.encoded_records(rows)).select("key", "seq", F.col("value").cast("string").alias("value"), "deleted")
 
 
-@query("select cast(doc_id as varchar) as key, doc_id as seq, text as value, doc_id // 16 as block from documents")
+@query("select cast(doc_id as varchar) as key, doc_id as seq, coalesce(text, '') as value, doc_id // 16 as block from documents")
 def block_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through compressed, checksummed blocks of 16 and back."""
     rows = documents(spark, sf_dir).withColumn("value", F.col("value").cast("binary")).withColumn("block", F.floor(F.col("seq") / 16))
     return udfs.decoded_blocks(udfs.encoded_blocks(rows, "block")).select("key", "seq", F.col("value").cast("string").alias("value"), "block")
+
+
+_LAST_OF_RUN = "kept as (select * from (select *, row_number() over (partition by run_pos, key order by seq desc) as r from log) where r = 1)"
+
+
+def _run_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary file of each run of the change log, with small blocks."""
+    runs = resolve.latest(layered(spark, sf_dir).drop("tier"), keys=("position", "key"))
+    return run_file.run_files(runs, "position", WriteOptions(block_size=4096))
+
+
+@query(f"with {_LOG}, {_LAST_OF_RUN} select run_pos, key, seq, value, deleted from kept")
+def run_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run through a binary file with blocks, index, filter and footer, and back."""
+    rows = run_file.run_records(_run_parts(spark, sf_dir))
+    return rows.select(F.col("run").alias("run_pos"), "key", "seq", F.col("value").cast("string").alias("value"), "deleted")
+
+
+@query(f"""with {_LOG}, {_LAST_OF_RUN}, runs as (select distinct run_pos from log), keys as (select cast(n_nationkey as varchar) as key from nation)
+select runs.run_pos, keys.key, case when not deleted then seq end as seq, case when kept.key is null then 'absent' when deleted then 'deleted' else 'live' end as status
+from runs cross join keys left join kept on kept.run_pos = runs.run_pos and kept.key = keys.key""")
+def run_file_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation numbers looked up in every run's file through its filter and index."""
+    keys = [r["key"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("key")).collect()]  # 25 rows
+    return run_file.run_seek(_run_parts(spark, sf_dir), keys).select(F.col("run").alias("run_pos"), "key", "seq", "status")
+
+
+@query("select c_custkey, cast(c_custkey as varchar) as key from customer where c_custkey in (select doc_id from documents)")
+def bloom_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer numbers among the document keys: those that the filter lets through, checked; a key that it lost would be missing."""
+    docs = documents(spark, sf_dir).select("key")
+    passed = bloom_membership(spark, sf_dir).filter("may_contain").join(docs, "key", "left_semi")
+    return passed.select(F.col("key").cast("long").alias("c_custkey"), "key")
+
+
+@query("""with n as (select source as run, count(*) as n_keys from documents group by source), i as (select run, n_keys, ceil(-n_keys::double * ln(0.01::double) / (ln(2.0) * ln(2.0))) as m from n)
+select run, n_keys, cast(ceil(m / 8) * 8 as bigint) as bits, cast(least(greatest(round(m / n_keys * ln(2.0)), 1), 30) as int) as hashes, cast(12 + ceil(m / 8) as bigint) as bytes from i""")
+def bloom_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and shape of every run's stored filter."""
+    return every_bloom_codec(spark, sf_dir).select("run", "n_keys", "bits", "hashes", F.octet_length("encoded").cast("long").alias("bytes"))
+
+
+# ---------------------------------------------------------------- the store itself
+
+_STORE_BATCHES = 4
+_NUMBERED = """log as (select cast(user_id as varchar) as key, row_number() over (order by event_id) as seq, props as value, event_type = 'error' as deleted from events),
+newest as (select * from (select *, row_number() over (partition by key order by seq desc) as rn from log) where rn = 1)"""
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> Store:
+    """A store that got the change log in batches: flushed twice, with the last batches still in its log."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", max_writes=1 << 62)
+    log_rows = change_log(spark, sf_dir)
+    low, high = log_rows.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    place = F.floor((F.col("seq") - low) * _STORE_BATCHES / F.lit(high - low + 1))
+    for k in range(_STORE_BATCHES):
+        store.write(log_rows.filter(place == k), order="seq")
+        if k < 2:
+            store.flush()
+    return store
+
+
+@query(f"with {_NUMBERED} select key, seq, value from newest where not deleted")
+def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rows of a store with two runs and a log."""
+    return _filled(spark, sf_dir).scan().select("key", "seq", F.col("value").cast("string").alias("value"))
+
+
+@query(f"""with {_NUMBERED}, keys as (select cast(c_custkey as varchar) as key from customer)
+select keys.key, seq, case when newest.key is null then 'absent' when deleted then 'deleted' else 'live' end as status, (select count(*) + 1 from log) as next_seq from keys left join newest on keys.key = newest.key""")
+def store_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys looked up in the store after it was closed and opened anew, and the next sequence number it found."""
+    first = _filled(spark, sf_dir)
+    first.close()
+    store = Store(spark, first.folder.root, max_writes=1 << 62)
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
+    return store.multi_get(keys).select("key", "seq", "status", F.lit(store.snapshot.next_seq).cast("long").alias("next_seq"))
+
+
+@query(f"with {_NUMBERED} select key, seq, value, deleted, 0 as position, 1 as runs from newest where not deleted")
+def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store holds after its log was flushed and all runs were merged: one run without tombstones."""
+    store = _filled(spark, sf_dir)
+    store.flush()
+    store.compact()
+    store.vacuum()
+    rows = store.versions().select("key", "seq", F.col("value").cast("string").alias("value"), "deleted", F.col("position").cast("int").alias("position"))
+    return rows.withColumn("runs", F.lit(len(store.snapshot.runs)))

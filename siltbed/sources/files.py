@@ -2,7 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, else the one that was set on the context. Only where driver
+    and executors are one process (tests, local mode) a temporary folder of this machine does, made once per session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siltbed-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what is numbered by partition must not be computed twice."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Folder:
@@ -52,6 +77,12 @@ class Folder:
             raise
         return True
 
+    def age(self, name: str) -> float:
+        """Seconds since a file, or anything directly in a folder, last changed."""
+        path = self._path(name)
+        times = [self._fs.getFileStatus(path).getModificationTime(), *(x.getModificationTime() for x in self._fs.listStatus(path))]
+        return (self._jvm.java.lang.System.currentTimeMillis() - max(times)) / 1000
+
     def delete(self, name: str) -> None:
         """Removes a file or folder; nothing happens if there is none."""
         self._fs.delete(self._path(name), True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column
@@ -16,7 +17,8 @@ _FOLDER = "_snapshots"
 
 @dataclass(frozen=True)
 class Snapshot:
-    """``runs`` is ordered from old to new; order, not the number in a name, decides which run is newer."""
+    """``runs`` is ordered from old to new; order, not the number in a name, decides which run is newer. ``streams`` has the last
+    micro-batch of each stream that is in the table."""
 
     number: int = 0
     next_run: int = 0
@@ -25,6 +27,11 @@ class Snapshot:
     pending_writes: int = 0
     runs: list[str] = field(default_factory=list)
     segments: list[str] = field(default_factory=list)
+    streams: dict[str, int] = field(default_factory=dict)
+
+    def names(self) -> set[str]:
+        """The folders of its runs and segments."""
+        return {n.split("@")[0] for n in (*self.runs, *self.segments)}
 
 
 def read(folder: Folder) -> Snapshot:
@@ -41,12 +48,19 @@ def commit(folder: Folder, old: Snapshot, **changes) -> Snapshot:
     return new
 
 
-def retained(folder: Folder, keep: int) -> list[Snapshot]:
-    """The newest ``keep`` snapshots; older ones are removed."""
-    names = [n for n in folder.list(_FOLDER) if n.endswith(".json")]
-    for n in names[:-keep]:
-        folder.delete(f"{_FOLDER}/{n}")
-    return [Snapshot(**json.loads(folder.read(f"{_FOLDER}/{n}"))) for n in names[-keep:]]
+def every(folder: Folder) -> list[tuple[str, Snapshot]]:
+    """All snapshots that are there, from old to new, with their files."""
+    names = [f"{_FOLDER}/{n}" for n in folder.list(_FOLDER) if n.endswith(".json")]
+    return [(n, Snapshot(**json.loads(folder.read(n)))) for n in names]
+
+
+_RUN_ID = re.compile(r"(?:^|/)(?:data|compact)-([0-9]+)(?:\.|$)")
+
+
+def repaired(folder: Folder, snapshot: Snapshot) -> Snapshot:
+    """``snapshot`` with a next run number above those of all runs it names or that lie in the folder."""
+    found = [_RUN_ID.search(n) for n in (*snapshot.runs, *folder.list("runs"))]
+    return replace(snapshot, next_run=max([snapshot.next_run, *(int(m[1]) + 1 for m in found if m)]))
 
 
 def run_id(path: Column) -> Column:

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from siltbed.sources.files import Folder
 from siltbed.store import Store
 
 
 def ingest(changes: DataFrame, store: Store, checkpoint: str, order: str | None = None, **trigger) -> StreamingQuery:
-    """Writes each micro-batch of (key, value, deleted) rows to the store as one batch.
+    """Writes each micro-batch of (key, value, deleted) rows to the store as one batch, each once.
 
-    The number of the last micro-batch that was stored is kept beside the
-    snapshots; a batch that is run again after a failure is not stored twice.
+    The stream's id, which its checkpoint keeps, and the number of its last
+    micro-batch are part of the snapshot that adds the batch: a batch that is run
+    again after a failure finds its number there, and another stream has an id of its own.
     """
+    folder, held = Folder(changes.sparkSession, checkpoint), []
 
     def one(batch: DataFrame, number: int) -> None:
-        mark = f"_batches/{number:012d}"
-        if not store.folder.exists(mark):
-            store.write(batch, order)
-            store.folder.write_new(mark, str(store.snapshot.number))
+        if not held:
+            held.append(json.loads(folder.read("metadata"))["id"])
+        store.write(batch, order, (held[0], number))
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

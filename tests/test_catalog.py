@@ -5,10 +5,11 @@ from __future__ import annotations
 import glob
 import math
 import os
+import random
 
 import pytest
 
-from siltbed.operators import rotation
+from siltbed.operators import resolve, rotation
 from siltbed.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -116,3 +117,54 @@ def test_blocks_close_before_they_overflow(spark):
     df = spark.createDataFrame([("r", "a", 20), ("r", "b", 20), ("r", "c", 500), ("r", "d", 8), ("r", "e", 20)], "run string, key string, size long")
     got = [(r["first_key"], r["records"], r["raw_bytes"]) for r in blocks(df, ["run"], 32).orderBy("block_no").collect()]
     assert got == [("a", 1, 24), ("b", 1, 24), ("c", 1, 504), ("d", 2, 32)]
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_blocks_in_any_batches(spark, batch):
+    """Against a fold over each run's records, whatever the size of the batches."""
+    from siltbed.operators import layout
+
+    rng = random.Random(batch)
+    rows = [(rng.choice(["x", "y", None]), f"k{i:05}", rng.choice([17, 40, 90, 700])) for i in range(500)]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r["run"], r["block_no"]): (r["first_key"], r["records"], r["raw_bytes"]) for r in layout.blocks(spark.createDataFrame(rows, "run string, key string, size int"), ["run"], 200).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    want = {}
+    for run in ("x", "y", None):
+        number, first, n, filled = 0, None, 0, 4
+        for _, key, size in sorted(r for r in rows if r[0] == run):
+            if n and filled + size > 200:
+                want[run, number] = (first, n, filled)
+                number, n, filled = number + 1, 0, 4
+            first, n, filled = first if n else key, n + 1, filled + size
+        want[run, number] = (first, n, filled)
+    assert got == want
+
+
+def test_places_over_many_ranges(spark):
+    rows = [(f"{i * 7919 % 5000:05}", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "key string, v long").repartition(16)
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r["place"], r["key"]) for r in resolve.ranked(df).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert got == [(k + 1, f"{k:05}") for k in range(5000)]
+    assert resolve.ranked(df.limit(0)).count() == 0
+
+
+def test_filters_by_byte_range(spark):
+    """Filters larger than a range, of hot and small runs, against one built at once."""
+    from siltbed.functions import udfs
+    from siltbed.functions.bloom import BloomFilter
+
+    rows = [("hot", f"k{i}") for i in range(90_000)] + [("cold", "a"), ("cold", "b"), (None, "c")]
+    df = spark.createDataFrame(rows, "run string, key string").repartition(6)
+    got = {r["run"]: r for r in udfs.filters_by_run(df, "run", 0.01).collect()}
+    for run in ("hot", "cold", None):
+        keys = [k.encode() for r, k in rows if r == run]
+        assert got[run]["n_keys"] == len(keys) and bytes(got[run]["encoded"]) == BloomFilter.of(keys, 0.01).encode()
