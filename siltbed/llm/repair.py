@@ -6,8 +6,9 @@ ascending order of id: a range partition of the ids, sorted within. Runs of whol
 documents of about ``BLOCK_TOKENS`` ids form a block. A block's ids are numbered
 densely; then the frequent pairs of neighbouring symbols are replaced by new
 symbols (Re-Pair, a batch of the most frequent pairs at a time) until none is
-left that saves more bits than its rule takes. Of the grammars on the way, the one with the
-fewest bits is kept: a rule that makes every symbol a bit wider can cost more than it saves.
+left that saves more bits than its rule takes, or several rounds have made the block no smaller. Of
+the grammars on the way, the one with the fewest bits is kept: a rule that makes
+every symbol a bit wider can cost more than it saves.
 A rule holds its two symbols and how many ids it expands to, so a reader finds any
 token of any document without expanding what comes before it.
 
@@ -54,8 +55,8 @@ from siltbed.llm.worker import Shared, per_worker
 
 MAGIC, VERSION = b"SBRP", 2
 END_ID = 0
-#: Ids to a block (a longer document is one alone), and pairs replaced at a time.
-BLOCK_TOKENS, PAIRS = 1 << 18, 2048
+#: Ids to a block (a longer document is one alone), pairs replaced at a time, and rounds that may go by without a smaller block.
+BLOCK_TOKENS, PAIRS, PATIENCE = 1 << 18, 2048, 4
 _NULL_ID = -(1 << 63)
 
 
@@ -66,27 +67,34 @@ class CorruptBlock(ValueError):
 # ---------------------------------------------------------------- grammar
 
 
-_SLOT_BITS, _OFTEN = 18, 4096
+_SLOT_BITS, _OFTEN = 16, 4096
+_NONE = -1
 
 
-def _frequent_pairs(symbols: np.ndarray, inner: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of about ``pairs`` of the most frequent pairs that start at ``inner``, and the rank (-1: none) of the pair at each of these."""
-    keys = symbols[inner].astype(np.uint64) << np.uint64(32) | symbols[inner + 1].astype(np.uint64)
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-    in_slot = np.bincount(slot, minlength=1 << _SLOT_BITS)
+def _frequent_pairs(keys: np.ndarray, fits: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of about ``pairs`` of the most frequent pairs, the places (of those that ``fits`` allows) of such pairs, and the rank of the pair at each."""
+    slot = _slots_of(keys)
+    in_slot = np.bincount(slot[fits], minlength=1 << _SLOT_BITS).astype(np.int32)
     reached = np.cumsum(np.bincount(np.minimum(in_slot, _OFTEN), minlength=_OFTEN + 1)[::-1])[::-1]  # slots with so many or more
     enough = max(least, int(np.searchsorted(-reached, -pairs, side="right")) - 1)
-    rank = np.full(len(inner), -1, np.int64)
-    values, n = np.unique(keys[in_slot[slot] >= enough], return_counts=True)  # has all pairs that occur ``enough`` times
+    at = np.flatnonzero((in_slot >= enough)[slot] & fits)  # all places of pairs that occur ``enough`` times
+    own = keys[at]
+    values, n = np.unique(own, return_counts=True)
     best = np.argsort(-n, kind="stable")[:pairs]
-    best = best[n[best] >= least]
-    found = values[best]
-    if len(found):
-        by_slot = np.full(1 << _SLOT_BITS, -1, np.int64)
-        by_slot[((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)[::-1]] = np.arange(len(found))[::-1]
-        rank = by_slot[slot]  # of pairs in one slot the first; the others come in a later round
-        rank[(rank >= 0) & (found[rank] != keys)] = -1
-    return found, rank
+    found = values[best[n[best] >= least]]
+    if not len(found):
+        return found, at[:0], at[:0]
+    by_slot = np.full(1 << _SLOT_BITS, _NONE, np.int32)
+    by_slot[_slots_of(found)[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]
+    rank = by_slot[slot[at]]  # of pairs in one slot the most frequent; the others come in a later round
+    hit = (rank >= 0) & (found[rank] == own)
+    return found, at[hit], rank[hit]
+
+
+def _slots_of(keys: np.ndarray) -> np.ndarray:
+    if keys.dtype == np.uint32:
+        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int32)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
 
 
 def width(n: int) -> int:
@@ -96,20 +104,24 @@ def width(n: int) -> int:
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols by document, rules as pairs, expansion lengths) for ids below ``first_rule``; no rule spans documents."""
-    symbols = ids.astype(np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    symbols = ids.astype(np.int32)
+    inner = np.ones(len(ids), bool)  # no document ends here
+    inner[np.cumsum(lengths)[lengths > 0] - 1] = False
     rules, expansion = np.zeros((0, 2), np.int64), np.ones(first_rule, np.int64)
-    best, kept = None, None
-    while True:
+    best, kept, since = None, None, 0
+    while since < PATIENCE:
         wide, long = width(first_rule + len(rules)), width(int(expansion.max(initial=1)) + 1)
         bits = len(symbols) * wide + len(rules) * (2 * wide + long)
         if best is None or bits < best:
-            best, kept = bits, (symbols.copy(), owner, len(rules))
-        inner = np.flatnonzero(owner[:-1] == owner[1:])
+            best, kept, since = bits, (symbols, inner, len(rules)), -1
+        since += 1
         least = 2 + (long + 1) // wide + 1  # occurrences that save more bits than a rule of this round takes
-        found, rank = _frequent_pairs(symbols, inner, pairs, least)
-        hit = rank >= 0
-        at, rank = inner[hit], rank[hit]
+        if wide <= 16:
+            half, keys = np.uint32(16), symbols.astype(np.uint32)
+        else:
+            half, keys = np.uint64(32), symbols.astype(np.uint64)
+        keys = (keys[:-1] << half) | keys[1:]
+        found, at, rank = _frequent_pairs(keys, inner[:-1], pairs, least)
         fresh = np.append(True, np.diff(at) > 1)[: len(at)]
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0  # neighbours that overlap: every other one, from the left
@@ -118,15 +130,22 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int, pairs: int =
         at, rank = at[often[rank]], rank[often[rank]]
         if not len(at):
             break
-        used, rank = np.unique(rank, return_inverse=True)
-        new = np.stack([found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
-        symbols[at] = first_rule + len(rules) + rank
+        number = np.cumsum(often) - 1  # of the rules made
+        used = found[often]
+        new = np.stack([used >> half, used & ((half.dtype.type(1) << half) - half.dtype.type(1))], axis=1).astype(np.int64)
+        symbols = symbols.copy()
+        symbols[at] = first_rule + len(rules) + number[rank]
         rules, expansion = np.concatenate([rules, new]), np.concatenate([expansion, expansion[new].sum(axis=1)])
+        ends = inner.copy()
+        ends[at] = inner[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, owner = symbols[keep], owner[keep]
-    symbols, owner, n = kept
-    return symbols, np.bincount(owner, minlength=len(lengths)), rules[:n], expansion[first_rule : first_rule + n]
+        symbols, inner = symbols[keep], ends[keep]
+    symbols, inner, n = kept
+    last = np.flatnonzero(~inner)
+    by_document = np.zeros(len(lengths), np.int64)
+    by_document[lengths > 0] = np.diff(last, prepend=-1)
+    return symbols.astype(np.int64), by_document, rules[:n], expansion[first_rule : first_rule + n]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -288,24 +307,24 @@ def write_ids(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
     return ordered.select("__text", "__key").mapInArrow(run, "part long, block long, documents long, tokens long, payload binary")
 
 
-def read_ids(blocks: DataFrame) -> DataFrame:
-    """(doc_id, part, block, offset in the block, n_tokens, ids_crc32, ids as little-endian bytes) of each document of stored blocks."""
+def read_ids(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, part, block, offset in the block, n_tokens, ids_crc32) of each document of stored blocks, and its ids as little-endian bytes."""
 
     def run(batches):
         for batch in batches:
             for part, number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 block = Block(raw.as_buffer().to_pybytes())
-                flat = block.ids().astype("<u4").tobytes()
+                flat = memoryview(block.ids().astype("<u4").tobytes())
                 ends = np.cumsum(block.lengths)
                 spans = [flat[4 * a : 4 * b] for a, b in zip((ends - block.lengths).tolist(), ends.tolist(), strict=True)]
                 n = len(spans)
-                keys = pa.array([None if k == _NULL_ID else k for k in block.doc_ids.tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array([part] * n, pa.int64()), pa.array([number] * n, pa.int64()), pa.array(ends - block.lengths), pa.array(block.lengths), pa.array([zlib.crc32(x) for x in spans], pa.int64()), pa.array(spans, pa.binary())],
-                    names=["doc_id", "part", "block", "offset", "n_tokens", "ids_crc32", "ids"],
-                )
+                keys = pa.array(block.doc_ids, mask=block.doc_ids == _NULL_ID)
+                columns = [keys, pa.array([part] * n, pa.int64()), pa.array([number] * n, pa.int64()), pa.array(ends - block.lengths), pa.array(block.lengths), pa.array([zlib.crc32(x) for x in spans], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array([bytes(x) for x in spans], pa.binary())] if with_ids else [])], names=names)
 
-    return blocks.select("part", "block", "payload").mapInArrow(run, "doc_id long, part long, block long, offset long, n_tokens long, ids_crc32 long, ids binary")
+    schema = "doc_id long, part long, block long, offset long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return blocks.select("part", "block", "payload").mapInArrow(run, schema)
 
 
 def starts(blocks: DataFrame) -> DataFrame:
@@ -321,5 +340,4 @@ def starts(blocks: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     blocks = materialize(write_ids(docs, default_path()), "token-ids")
-    found = read_ids(blocks).select("doc_id", "part", "block", "offset", "n_tokens", "ids_crc32")
-    return found.join(starts(blocks), ["part", "block"]).select("doc_id", (F.col("block_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    return read_ids(blocks, with_ids=False).join(starts(blocks), ["part", "block"]).select("doc_id", (F.col("block_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
