@@ -9,7 +9,7 @@ are inverted by array operations where a sample doesn't wait for its neighbour.
 The writer stores a payload as pixels of four 8-bit samples (alpha, red, green,
 blue). Runs of at least three pixels that occurred before become back-references, other
 pixels that the colour cache holds its symbols, and the rest literals, all in Huffman codes of up
-to ``LIMIT`` bits. Whether there is a palette (of up to 256 colours, in a picture of any
+to ``LIMIT`` bits; red, blue and alpha share one where it hardly costs bits. Whether there is a palette (of up to 256 colours, in a picture of any
 size), subtract-green or neither, and how large the cache is, is decided by the
 estimated bits of each.
 
@@ -69,7 +69,7 @@ class _Bits:
     """Least significant bit first."""
 
     def __init__(self, data: bytes):
-        self.end = 8 * len(data)
+        self.data, self.end = data, 8 * len(data)
         self.words = np.frombuffer(data + b"\0" * (16 - len(data) % 4), "<u4").tolist()
         self.held = self.n = self.next = 0
 
@@ -85,8 +85,21 @@ class _Bits:
         self.held, self.n = self.held >> n, self.n - n
         return value
 
+    @property
+    def at(self) -> int:
+        return 32 * self.next - self.n
+
+    def between(self, begin: int, end: int) -> int:
+        """The bits of a span as one number."""
+        return (int.from_bytes(self.data[begin >> 3 : (end + 7) >> 3], "little") >> (begin & 7)) & ((1 << (end - begin)) - 1)
+
+    def skip_to(self, at: int) -> None:
+        self.next, self.held, self.n = at >> 5, 0, 0
+        self.fill()
+        self.held, self.n = self.held >> (at & 31), self.n - (at & 31)
+
     def check(self) -> None:
-        if 32 * self.next - self.n > self.end:
+        if self.at > self.end:
             raise WebPError("truncated")
 
 
@@ -120,10 +133,6 @@ class _Code:
         bits.held, bits.n = bits.held >> (found & 15), bits.n - (found & 15)
         return found >> 4
 
-    def shifted(self, by: int) -> list[int]:
-        """The table with each symbol shifted to its sample's place in a pixel."""
-        return [(x >> 4) << (by + 4) | x & 15 for x in self.table] if by else self.table
-
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
     lengths = np.zeros(alphabet, np.int64)
@@ -141,17 +150,37 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
     code = _Code(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     found: list[int] = []
-    last = 8
-    while len(found) < alphabet and left > 0:
+    last, count = 8, 0
+    table, mask, words = code.table, code.mask, bits.words
+    held, n, following = bits.held, bits.n, bits.next
+    while count < alphabet and left > 0:
         left -= 1
-        symbol = code.read(bits)
+        if n < 14:  # a code of up to 7 bits and as many extra ones
+            if following >= len(words):
+                raise WebPError("truncated")
+            held |= words[following] << n
+            n += 32
+            following += 1
+        symbol = table[held & mask]
+        held >>= symbol & 15
+        n -= symbol & 15
+        symbol >>= 4
         if symbol < 16:
             found.append(symbol)
+            count += 1
             last = symbol or last
-        elif symbol == 16:
-            found += [last] * (3 + bits.read(2))
+            continue
+        if symbol == 16:
+            again, extra, value = 3 + (held & 3), 2, last
+        elif symbol == 17:
+            again, extra, value = 3 + (held & 7), 3, 0
         else:
-            found += [0] * (3 + bits.read(3) if symbol == 17 else 11 + bits.read(7))
+            again, extra, value = 11 + (held & 127), 7, 0
+        held >>= extra
+        n -= extra
+        found += [value] * again
+        count += again
+    bits.held, bits.n, bits.next = held, n, following
     bits.check()
     if len(found) > alphabet:
         raise WebPError("too many code lengths")
@@ -159,6 +188,22 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
     return _Code(lengths)
 
 
+def _read_group(bits: _Bits, cache_bits: int) -> list[_Code]:
+    """The five codes of a group; one that repeats the bits of the code before, over the same alphabet, is that code."""
+    out: list[_Code] = []
+    begin = size = before = 0
+    for k, alphabet in enumerate(_ALPHABETS):
+        alphabet += 1 << cache_bits if k == 0 and cache_bits else 0
+        at = bits.at
+        if alphabet == before and at + size <= bits.end and bits.between(begin, begin + size) == bits.between(at, at + size):
+            bits.skip_to(at + size)
+            out.append(out[-1])
+        else:
+            out.append(_read_code(bits, alphabet))
+            begin, size, before = at, bits.at - at, alphabet
+    return out
+
+
 def _extra(bits: _Bits, symbol: int) -> int:
     """A length or distance from its prefix symbol."""
     if symbol < 4:
@@ -178,19 +223,20 @@ def _back(bits: _Bits, code: _Code, width: int) -> int:
 
 def _run(bits: _Bits, group: list[_Code], out: array, stop: int, width: int, total: int, cache: list[int] | None, cached: int) -> int:
     """Reads pixels with one group of codes until ``stop`` of them are there; returns up to which one the cache has them."""
-    green, gm = group[0].table, group[0].mask
-    (red, rm), (blue, bm), (alpha, am) = ((c.shifted(by), c.mask) for c, by in zip(group[1:4], (16, 0, 24), strict=True))
+    (green, gm), (red, rm), (blue, bm), (alpha, am) = ((c.table, c.mask) for c in group[:4])
     held, n, following, words = bits.held, bits.n, bits.next, bits.words
-    end = len(words)
+    end, append, at = len(words), out.append, len(out)
     drop = 32 - (len(cache) - 1).bit_length() if cache is not None else 0
-    while len(out) < stop:
+    while at < stop:
         if n < 60:  # four codes have up to 15 bits each
-            if following + 1 >= end + 4:
-                raise WebPError("truncated")
-            for _ in range(2):
-                held |= (words[following] if following < end else 0) << n
-                n += 32
-                following += 1
+            if following + 2 > end:
+                if following > end + 4:
+                    raise WebPError("truncated")
+                words = [*words, 0, 0]
+                end += 2
+            held |= (words[following] | words[following + 1] << 32) << n
+            n += 64
+            following += 2
         found = green[held & gm]
         held >>= found & 15
         n -= found & 15
@@ -203,24 +249,26 @@ def _run(bits: _Bits, group: list[_Code], out: array, stop: int, width: int, tot
             a = alpha[held & am]
             held >>= a & 15
             n -= (r & 15) + (b & 15) + (a & 15)
-            out.append((a >> 4) + (r >> 4) + (symbol << 8) + (b >> 4))
+            append((a & 0xFF0) << 20 | (r & 0xFF0) << 12 | symbol << 8 | b >> 4)
+            at += 1
         elif symbol < 280:
             bits.held, bits.n, bits.next = held, n, following
             length = _extra(bits, symbol - 256)
             back = _back(bits, group[4], width)
             held, n, following = bits.held, bits.n, bits.next
-            at = len(out)
             if back > at or at + length > total:
                 raise WebPError("a back-reference leaves the image")
             if back >= length:
                 out.extend(out[at - back : at - back + length])
             else:
                 out.extend((out[at - back :] * (length // back + 1))[:length])
+            at += length
         else:
             for x in out[cached:]:
                 cache[(_CACHE_MULTIPLIER * x & 0xFFFFFFFF) >> drop] = x
-            cached = len(out)
-            out.append(cache[symbol - 280])
+            cached = at
+            append(cache[symbol - 280])
+            at += 1
     bits.held, bits.n, bits.next = held, n, following
     return cached
 
@@ -239,7 +287,7 @@ def _read_pixels(bits: _Bits, width: int, height: int, outermost: bool) -> np.nd
         image = _read_pixels(bits, across, (height + (1 << shift) - 1) >> shift, False)
         prefix = ((image >> np.uint32(8)) & np.uint32(0xFFFF)).reshape(-1, across)
         groups = int(prefix.max()) + 1
-    codes = [[_read_code(bits, size + ((1 << cache_bits) if k == 0 and cache_bits else 0)) for k, size in enumerate(_ALPHABETS)] for _ in range(groups)]
+    codes = [_read_group(bits, cache_bits) for _ in range(groups)]
     n, out, cached = width * height, array("I"), 0
     cache = [0] * (1 << cache_bits) if cache_bits else None
     while len(out) < n:
@@ -410,7 +458,9 @@ def decode(data: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- writing
 
 #: Longest Huffman code that is written, of the code of code lengths too; cache sizes to choose from; least and most pixels of a back-reference, and how far back it goes.
-LIMIT, LENGTHS_LIMIT, CACHES, SHORTEST, LONGEST, FARTHEST = 12, 7, (0, 7, 10), 3, 4096, (1 << 20) - 120
+LIMIT, LENGTHS_LIMIT, CACHES, SHORTEST, LONGEST, FARTHEST = 12, 7, (0, 8), 3, 4096, (1 << 20) - 120
+#: Red, blue and alpha share one code, which is built and read once, where that costs at most this share more bits.
+_SHARED = 0.06
 #: Estimated bits that a symbol's code length takes.
 _SYMBOL_BITS = 7
 _GREEN, _RED, _BLUE, _ALPHA = 1, 2, 0, 3
@@ -420,15 +470,15 @@ class _Fields:
     """Numbers of given widths, written one after the other."""
 
     def __init__(self):
-        self.values: list[np.ndarray] = []
-        self.widths: list[np.ndarray] = []
+        self.values: list = []
+        self.widths: list = []
 
     def put(self, values, widths) -> None:
-        self.values.append(np.atleast_1d(np.asarray(values, np.int64)))
-        self.widths.append(np.broadcast_to(np.asarray(widths, np.int64), self.values[-1].shape))
+        self.values.append(values)
+        self.widths.append(widths)
 
     def packed(self) -> bytes:
-        values, widths = np.concatenate(self.values), np.concatenate(self.widths)
+        values, widths = (np.concatenate([np.asarray(x, np.int64) for x in column]) for column in (self.values, self.widths))
         flags = [np.zeros(0, np.uint8)]
         for i in range(0, len(values), 1 << 17):
             n = widths[i : i + (1 << 17)]
@@ -488,21 +538,23 @@ def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, size
 
 
-def _write_code(fields: _Fields, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Writes a code for symbols with the given counts; bits and sizes by symbol."""
-    used = np.flatnonzero(counts)
-    if not len(used):
-        used, counts = np.zeros(1, np.int64), np.eye(1, len(counts), dtype=np.int64)[0]
+def _write_code(counts: np.ndarray) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """A code for symbols with the given counts: the numbers that store it and their widths, bits and sizes by symbol."""
+    used = np.flatnonzero(counts).tolist() or [0]
+    if len(used) == 1 and used[0] < 256:
+        nothing = np.zeros(len(counts), np.int64)
+        return [1, 0, 1, used[0]], [1, 1, 1, 8], nothing, nothing
     lengths = code_lengths(counts, LIMIT)
+    code, size = _codes(lengths)
     if len(used) <= 2 and used[-1] < 256:  # a simple code
-        fields.put([1, len(used) - 1, 1, *used.tolist()], [1, 1, 1, *[8] * len(used)])
-        return _codes(lengths)
-    fields.put(0, 1)
+        return [1, 1, 1, *used], [1, 1, 1, 8, 8], code, size
     symbols, extra, widths = [], [], []
     begins = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
     for value, n in zip(lengths[begins].tolist(), np.diff(np.append(begins, len(lengths))).tolist(), strict=True):
         if value:
-            symbols.append(value), extra.append(0), widths.append(0)
+            symbols.append(value)
+            extra.append(0)
+            widths.append(0)
             n -= 1
         while n >= 3:
             if value:
@@ -510,20 +562,24 @@ def _write_code(fields: _Fields, counts: np.ndarray) -> tuple[np.ndarray, np.nda
             else:
                 symbol, low, most, width = (18, 11, 138, 7) if n >= 11 else (17, 3, 10, 3)
             take = min(n, most)
-            symbols.append(symbol), extra.append(take - low), widths.append(width)
+            symbols.append(symbol)
+            extra.append(take - low)
+            widths.append(width)
             n -= take
-        symbols += [value] * n
-        extra += [0] * n
-        widths += [0] * n
+        for _ in range(n):
+            symbols.append(value)
+            extra.append(0)
+            widths.append(0)
     own = code_lengths(np.bincount(symbols, minlength=19), LENGTHS_LIMIT)
-    in_order = own[list(CODE_LENGTH_ORDER)]
-    slots = max(4, int(np.flatnonzero(in_order)[-1]) + 1)
-    fields.put(slots - 4, 4)
-    fields.put(in_order[:slots], 3)
-    fields.put(0, 1)
-    code, size = _codes(own)
-    fields.put(np.stack([code[symbols], extra], axis=1).reshape(-1), np.stack([size[symbols], widths], axis=1).reshape(-1))
-    return _codes(lengths)
+    in_order = own[list(CODE_LENGTH_ORDER)].tolist()
+    while len(in_order) > 4 and not in_order[-1]:
+        in_order.pop()
+    bits, sizes = (x.tolist() for x in _codes(own))
+    values, sized = [0, len(in_order) - 4, *in_order, 0], [1, 4, *[3] * len(in_order), 1]
+    for symbol, more, width in zip(symbols, extra, widths, strict=True):
+        values.append(bits[symbol] | more << sizes[symbol])
+        sized.append(sizes[symbol] + width)
+    return values, sized, code, size
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -571,10 +627,15 @@ def _references(px: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _bits_of(counts: np.ndarray) -> float:
-    """Estimated bits of symbols with the given counts, and of their code."""
+def _bits_of(counts: np.ndarray, total: int) -> float:
+    """Estimated bits of symbols with the given counts, ``total`` in each alphabet, and of their codes."""
     n = counts[counts > 0]
-    return float((n * (np.log2(n.sum()) - np.log2(n))).sum()) + _SYMBOL_BITS * len(n) if len(n) > 1 else 0.0
+    return float((n * (np.log2(max(1, total)) - np.log2(n))).sum()) + _SYMBOL_BITS * len(n)
+
+
+def _by_channel(sample: np.ndarray) -> np.ndarray:
+    """How often each sample value occurs in each channel."""
+    return np.bincount((sample + np.arange(0, 1024, 256)).reshape(-1), minlength=1024).reshape(4, 256)
 
 
 def _slots(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -602,19 +663,24 @@ def _write_pixels(fields: _Fields, argb: np.ndarray, outermost: bool) -> None:
     for cache in CACHES if len(single) >= 64 else (0,):
         slot, hit = _slots(px, cache) if cache else (np.zeros(0, np.int64), np.zeros(len(px), bool))
         held, plain = single[hit[single]], single[~hit[single]]
-        green = np.bincount(sample[plain, _GREEN], minlength=280 + ((1 << cache) if cache else 0))
-        green[256:280] += np.bincount(length, minlength=24)
-        if cache:
-            green[280:] += np.bincount(slot[held], minlength=1 << cache)
-        others = [np.bincount(sample[plain, k], minlength=256) for k in (_RED, _BLUE, _ALPHA)]
-        bits = _bits_of(green) + sum(map(_bits_of, others))
+        each = _by_channel(sample[plain])
+        green = np.concatenate([each[_GREEN], np.bincount(length, minlength=24), np.bincount(slot[held], minlength=1 << cache) if cache else []]).astype(np.int64)
+        bits = _bits_of(green, len(single) + len(runs)) + _bits_of(each[[_RED, _BLUE, _ALPHA]], len(plain))
         if best is None or bits < best[0]:
-            best = (bits, cache, slot, held, plain, [green, *others])
-    _, cache, slot, held, plain, counts = best
-    fields.put([1, cache] if cache else 0, [1, 4] if cache else 1)
+            best = (bits, cache, slot, held, plain, green, each[[_RED, _BLUE, _ALPHA]])
+    bits, cache, slot, held, plain, green, others = best
+    together = others.sum(axis=0)
+    fields.put([1, cache] if cache else [0], [1, 4] if cache else [1])
     if outermost:
-        fields.put(0, 1)  # no entropy image
-    tables = [_write_code(fields, c) for c in [*counts, np.bincount(distance, minlength=40)]]
+        fields.put([0], [1])  # no entropy image
+    if (others > 0).sum(axis=1).max() > 1 and 3 * _bits_of(together / 3, len(plain)) <= _bits_of(others, len(plain)) + _SHARED * bits:
+        others = [_write_code(together)] * 3
+    else:
+        others = [_write_code(c) for c in others]
+    written = [_write_code(green), *others, _write_code(np.bincount(distance, minlength=40))]
+    for stored in written:
+        fields.put(stored[0], stored[1])
+    tables = [stored[2:] for stored in written]
     values, widths = np.zeros((len(px), 4), np.int64), np.zeros((len(px), 4), np.int64)
     for k, (channel, (code, size)) in enumerate(zip((_GREEN, _RED, _BLUE, _ALPHA), tables[:4], strict=True)):
         values[plain, k], widths[plain, k] = code[sample[plain, channel]], size[sample[plain, channel]]
@@ -623,8 +689,8 @@ def _write_pixels(fields: _Fields, argb: np.ndarray, outermost: bool) -> None:
         values[held, 0], widths[held, 0] = code[280 + slot[held]], size[280 + slot[held]]
     at = runs[:, 0]
     values[at], widths[at] = np.stack([code[256 + length], length_extra, tables[4][0][distance], distance_extra], axis=1), np.stack([size[256 + length], length_n, tables[4][1][distance], distance_n], axis=1)
-    written = widths.sum(axis=1) > 0
-    fields.put(values[written].reshape(-1), widths[written].reshape(-1))
+    some = np.flatnonzero(widths.any(axis=1))
+    fields.put(values[some].reshape(-1), widths[some].reshape(-1))
 
 
 def _palette_image(argb: np.ndarray, palette: np.ndarray) -> np.ndarray:
@@ -646,8 +712,7 @@ def _subtract_green(argb: np.ndarray) -> np.ndarray:
 
 
 def _sample_bits(argb: np.ndarray) -> float:
-    px = _channels(argb).reshape(-1, 4)
-    return sum(_bits_of(np.bincount(px[:, k], minlength=256)) for k in range(4))
+    return _bits_of(_by_channel(_channels(argb).reshape(-1, 4)), argb.size)
 
 
 def encode(argb: np.ndarray) -> bytes:
@@ -669,11 +734,11 @@ def encode(argb: np.ndarray) -> bytes:
     if kind is not None:
         fields.put([1, kind], [1, 2])
     if kind == PALETTE:
-        fields.put(len(palette) - 1, 8)
+        fields.put([len(palette) - 1], [8])
         steps = _channels(palette.reshape(1, -1))[0]
         steps = np.concatenate([steps[:1], np.diff(steps, axis=0)]).astype(np.uint8).view("<u4").reshape(-1)
         _write_pixels(fields, steps, False)
-    fields.put(0, 1)
+    fields.put([0], [1])
     _write_pixels(fields, image, True)
     body = fields.packed()
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
