@@ -139,8 +139,3 @@ def filters_by_run(keys: DataFrame, run: str, fpr: float) -> DataFrame:
     parts = "run string, n_keys long, part long, data binary"
     ranges = sized.mapInArrow(part, parts).groupBy("run", "part").applyInArrow(merged, parts)
     return ranges.groupBy("run").applyInArrow(whole, "run string, n_keys long, bits long, hashes int, encoded binary")
-
-
-def filter_bytes(keys: DataFrame, fpr: float) -> DataFrame:
-    """(n_keys, bits, hashes, encoded) of the Bloom filter of one run's keys."""
-    return filters_by_run(keys.select("key", F.lit("").alias("run")), "run", fpr).drop("run")

@@ -153,15 +153,9 @@ def recover_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg((F.coalesce(F.max("top"), F.lit(0)) + 1).alias("next_seq"), (F.count("*") - 1).alias("runs"), F.max_by("keys", "position").alias("pending_keys"))
 
 
-@query(f"with {_LOG} select key, seq, value, deleted from (select *, row_number() over (partition by key order by seq desc) as r from log where run_pos = 3) where r = 1")
-def run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run, tombstones included."""
-    return resolve.latest(layered(spark, sf_dir).filter("seq >= 3000 and seq < 4000").drop("tier", "position")).select("key", "seq", "value", "deleted")
-
-
 @query(f"with {_LOG} select run_pos, key, seq, value, deleted from (select *, row_number() over (partition by run_pos, key order by seq desc) as r from log) where r = 1")
-def every_run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every run of the log, tombstones included; ``run_scan`` is the one at place 3."""
+def run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of the log, tombstones included."""
     return resolve.latest(layered(spark, sf_dir).drop("tier"), keys=("position", "key")).select(F.col("position").alias("run_pos"), "key", "seq", "value", "deleted")
 
 
@@ -227,20 +221,11 @@ def sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.sparse_index(_layout(spark, sf_dir), ["run"])
 
 
-@query(_BLOCKS + """, keys as (select cast(c_custkey as varchar) as key from customer), one as (select * from placed where run = 'src1')
-select keys.key, one.block_no, one.first_key from keys left join one on one.first_key = (select max(first_key) from one where first_key <= keys.key)""")
-def index_floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The block of one run in which each key would stand."""
-    index = layout.sparse_index(_layout(spark, sf_dir), ["run"]).filter("run = 'src1'").select("first_key", "block_no")
-    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
-    return layout.floor_lookup(index, keys).select("key", "block_no", "first_key")
-
-
 @query(_BLOCKS + """, keys as (select cast(c_custkey as varchar) as key from customer), runs as (select distinct run from placed)
 select runs.run, keys.key, arg_max(placed.block_no, placed.first_key) as block_no, max(placed.first_key) as first_key
 from keys cross join runs left join placed on placed.run = runs.run and placed.first_key <= keys.key group by runs.run, keys.key""")
-def every_index_floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The block of every run in which each key would stand; ``index_floor_lookup`` is that of one run."""
+def index_floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block of every run in which each key would stand."""
     index = layout.sparse_index(_layout(spark, sf_dir), ["run"]).select("run", "first_key", "block_no")
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
     probes = keys.crossJoin(documents(spark, sf_dir).select("run").distinct())
@@ -331,13 +316,7 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bloom_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored Bloom filter of one run's keys."""
-    return udfs.filter_bytes(documents(spark, sf_dir).filter("run = 'src1'"), layout.DEFAULT_FPR)
-
-
-@query()
-def every_bloom_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored Bloom filter of every run's keys; ``bloom_codec`` is that of one run."""
+    """The stored Bloom filter of every run's keys."""
     return udfs.filters_by_run(documents(spark, sf_dir).select("run", "key"), "run", layout.DEFAULT_FPR)
 
 
@@ -392,7 +371,7 @@ def bloom_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 select run, n_keys, cast(ceil(m / 8) * 8 as bigint) as bits, cast(least(greatest(round(m / n_keys * ln(2.0)), 1), 30) as int) as hashes, cast(12 + ceil(m / 8) as bigint) as bytes from i""")
 def bloom_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and shape of every run's stored filter."""
-    return every_bloom_codec(spark, sf_dir).select("run", "n_keys", "bits", "hashes", F.octet_length("encoded").cast("long").alias("bytes"))
+    return bloom_codec(spark, sf_dir).select("run", "n_keys", "bits", "hashes", F.octet_length("encoded").cast("long").alias("bytes"))
 
 
 # ---------------------------------------------------------------- the store itself

@@ -8,6 +8,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltbed.operators import resolve, rotation
 from siltbed.plans import catalog
@@ -48,9 +49,10 @@ def test_bloom_queries(spark):
     assert all(told[k] for k in told if k in docs) and sum(told[k] for k in told if k not in docs) <= 0.1 * len(told)
     from siltbed.functions.bloom import BloomFilter
 
-    row = catalog.bloom_codec(spark, DATA).first()
-    keys = [r["key"].encode() for r in catalog.documents(spark, DATA).filter("run = 'src1'").collect()]
-    assert len(keys) == row["n_keys"] and BloomFilter.decode(bytes(row["encoded"])).may_contain(keys).all()
+    rows = {r["run"]: r for r in catalog.bloom_codec(spark, DATA).collect()}
+    for run, row in rows.items():
+        keys = [r["key"].encode() for r in catalog.documents(spark, DATA).filter(F.col("run") == run).collect()]
+        assert len(keys) == row["n_keys"] and BloomFilter.decode(bytes(row["encoded"])).may_contain(keys).all()
 
 
 def test_every_run_is_returned(spark):
@@ -58,7 +60,7 @@ def test_every_run_is_returned(spark):
     runs = {}
     for r in sorted(catalog.change_log(spark, data).collect(), key=lambda r: r["seq"]):
         runs[r["seq"] // 1000, r["key"]] = (r["seq"], r["value"], r["deleted"])
-    got = catalog.every_run_scan(spark, data).collect()
+    got = catalog.run_scan(spark, data).collect()
     assert len(got) == len(runs) and {(r["run_pos"], r["key"]): (r["seq"], r["value"], r["deleted"]) for r in got} == runs
     assert len({p for p, _ in runs}) >= 10
 
@@ -67,7 +69,7 @@ def test_every_run_is_returned(spark):
         keys.setdefault(r["run"], []).append(r["key"].encode())
     from siltbed.functions.bloom import BloomFilter
 
-    filters = {r["run"]: r for r in catalog.every_bloom_codec(spark, data).collect()}
+    filters = {r["run"]: r for r in catalog.bloom_codec(spark, data).collect()}
     assert filters.keys() == keys.keys() and len(keys) > 1
     for run, own in keys.items():
         assert filters[run]["n_keys"] == len(own) and bytes(filters[run]["encoded"]) == BloomFilter.of(own, 0.01).encode()
@@ -75,7 +77,7 @@ def test_every_run_is_returned(spark):
     blocks = {}
     for r in catalog.block_layout(spark, data).collect():
         blocks.setdefault(r["run"], []).append((r["first_key"], r["block_no"]))
-    found = catalog.every_index_floor_lookup(spark, data).collect()
+    found = catalog.index_floor_lookup(spark, data).collect()
     assert {r["run"] for r in found} == keys.keys() == blocks.keys()
     for r in found:
         first, number = max((b for b in blocks[r["run"]] if b[0] <= r["key"]), default=(None, None))
