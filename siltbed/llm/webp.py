@@ -116,16 +116,21 @@ class _Code:
     """A canonical prefix code as one table over the next bits of the longest code: symbol << 4 | length."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if len(used) == 1:
-            self.mask, self.table = 0, [int(used[0]) << 4]
+            self.mask, self.places = 0, used[:1] << 4
             return
         most = int(lengths.max(initial=0))
         if not len(used) or int((1 << (most - lengths[used])).sum()) != 1 << most:
             raise WebPError("the code lengths are no complete prefix code")
-        order = used[np.argsort(lengths[used], kind="stable")]
-        size = lengths[order]
-        self.mask, self.table = (1 << most) - 1, np.repeat(order << 4 | size, 1 << (most - size))[_reversed(most)].tolist()
+        size = lengths[used]
+        by_size = size.argsort(kind="stable")
+        order, size = used[by_size], size[by_size]
+        self.mask, self.places = (1 << most) - 1, (order << 4 | size).repeat(1 << (most - size)).take(_reversed(most))
+
+    @functools.cached_property
+    def table(self) -> list[int]:
+        return self.places.tolist()
 
     def read(self, bits: _Bits) -> int:
         bits.fill()
@@ -273,6 +278,120 @@ def _run(bits: _Bits, group: list[_Code], out: array, stop: int, width: int, tot
     return cached
 
 
+def _peeked(data: np.ndarray, begin: int, n: int) -> np.ndarray:
+    """For each of ``n`` bits from ``begin``, a whole byte's first one, the number that it and the next 24 bits make; beyond the end they are zeros."""
+    part = np.zeros(n // 8 + 4, np.uint32)
+    some = data[begin >> 3 : (begin >> 3) + len(part)]
+    part[: len(some)] = some
+    word = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
+    return ((word[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << 25) - 1)).reshape(-1).astype(np.int64)
+
+
+def _extras(peek: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefix symbols, with extra bits at ``at``, and the places behind these."""
+    n = np.maximum(symbol - 2, 0) >> 1
+    value = np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << n) + (peek[at] & ((1 << n) - 1)))
+    return value + 1, at + n
+
+
+#: Bits whose symbols are looked up at once, and how far behind its first bit a symbol can reach.
+_SPAN, _REACH = 1 << 17, 64
+#: Pictures with fewer pixels are read symbol by symbol.
+_MANY = 64
+
+
+def _symbols(bits: _Bits, group: list[_Code], width: int, total: int) -> tuple[np.ndarray, ...]:
+    """The symbols of one group of codes up to ``total`` pixels: green symbol, ARGB word, pixels and distance of each.
+
+    The place behind a symbol is worked out for every bit that one could begin at, a span of
+    bits at a time; then these places are followed from the first symbol's.
+    """
+    green, red, blue, alpha, far = group
+    data, at, left, out = np.frombuffer(bits.data, np.uint8), bits.at, total, []
+    short = np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES])
+    while left > 0:
+        if at > bits.end:
+            raise WebPError("truncated")
+        base = at & ~7
+        span = min(_SPAN, bits.end - base + 8) & ~7
+        peek = _peeked(data, base, span + 2 * _REACH)
+        first = green.places.astype(np.uint16).take(peek[:span] & green.mask)
+        symbol, place = first >> 4, np.arange(span) + (first & 15)
+        sizes: dict[int, np.ndarray] = {}
+        follow = place
+        for code in (red, blue, alpha):
+            if id(code) not in sizes:
+                sizes[id(code)] = (code.places & 15).astype(np.uint8).take(peek[: span + _REACH] & code.mask)
+            follow = follow + sizes[id(code)].take(follow)
+        other = (symbol >= 256).nonzero()[0]
+        copied = symbol[other] < 280
+        copies, cached = other[copied], other[~copied]
+        length, then = _extras(peek, place[copies], symbol[copies].astype(np.int64) - 256)
+        found = far.places[peek[then] & far.mask]
+        distance, then = _extras(peek, then + (found & 15), found >> 4)
+        follow[copies] = then
+        follow[cached] = place[cached]
+        # places behind the span lead to themselves, so that many steps can be taken between two tests
+        step, k, seen = memoryview(np.append(follow, np.arange(span, span + _REACH + 1))), at - base, [at - base]
+        while k < span and len(seen) < left:
+            seen += [k := step[k] for _ in range(min(128, left - len(seen)))]
+        taken = np.array(seen, np.int64)
+        taken = taken[: taken.searchsorted(span)]
+        k = int(follow[taken[-1]]) if len(taken) else k
+        kind = symbol[taken].astype(np.int64)
+        pixels, back = np.ones(len(taken), np.int64), np.zeros(len(taken), np.int64)
+        refers = ((kind >= 256) & (kind < 280)).nonzero()[0]
+        which = np.searchsorted(copies, taken[refers])
+        pixels[refers] = length[which]
+        back[refers] = np.where(distance[which] > 120, distance[which] - 120, short[np.minimum(distance[which], 120) - 1])
+        argb, spot = np.minimum(kind, 255) << 8, place[taken]
+        for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            found = code.places[peek[spot] & code.mask]
+            argb |= found >> 4 << shift
+            spot = np.where(kind < 256, spot + (found & 15), spot)
+        ends = np.cumsum(pixels)
+        keep = min(len(taken), int(np.searchsorted(ends, left)) + 1)
+        at = base + (k if keep == len(taken) else int(taken[keep]))
+        left -= int(ends[keep - 1]) if keep else 0
+        out.append((kind[:keep], argb[:keep], pixels[:keep], back[:keep]))
+    if left < 0:
+        raise WebPError("a back-reference leaves the image")
+    bits.skip_to(at)
+    bits.check()
+    return tuple(np.concatenate(column) for column in zip(*out, strict=True))
+
+
+def _resolved(kind: np.ndarray, argb: np.ndarray, pixels: np.ndarray, back: np.ndarray, cache_bits: int) -> np.ndarray | None:
+    """Pixels from symbols: each names the earlier pixel that it repeats, until that is a literal. Nothing if an empty place of the cache is read."""
+    begin = np.cumsum(pixels) - pixels
+    n = int(pixels.sum())
+    source = np.arange(n)
+    copies = np.flatnonzero(back)
+    if (back[copies] > begin[copies]).any():
+        raise WebPError("a back-reference leaves the image")
+    spread = ragged(begin[copies], pixels[copies])
+    source[spread] -= np.repeat(back[copies], pixels[copies])
+    value = np.zeros(n, np.uint32)
+    value[begin] = argb.astype(np.uint32)
+    hits = kind >= 280
+    if hits.any():
+        origin = source
+        while not np.array_equal(origin, origin := origin[origin]):
+            pass
+        slot = ((value * np.uint32(_CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        slot[begin[hits]] = kind[hits] - 280
+        slot = slot[origin]
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
+        before = np.full(n, -1)
+        before[order[1:]] = np.where(slot[order[1:]] == slot[order[:-1]], order[:-1], -1)
+        source[begin[hits]] = before[begin[hits]]
+        if (source < 0).any():
+            return None
+    while not np.array_equal(source, source := source[source]):
+        pass
+    return value[source]
+
+
 def _read_pixels(bits: _Bits, width: int, height: int, outermost: bool) -> np.ndarray:
     """An entropy-coded image as ARGB words."""
     cache_bits = 0
@@ -289,6 +408,12 @@ def _read_pixels(bits: _Bits, width: int, height: int, outermost: bool) -> np.nd
         groups = int(prefix.max()) + 1
     codes = [_read_group(bits, cache_bits) for _ in range(groups)]
     n, out, cached = width * height, array("I"), 0
+    if prefix is None and n >= _MANY:
+        begin = bits.at
+        found = _resolved(*_symbols(bits, codes[0], width, n), cache_bits)
+        if found is not None:
+            return found
+        bits.skip_to(begin)
     cache = [0] * (1 << cache_bits) if cache_bits else None
     while len(out) < n:
         at = len(out)
@@ -479,11 +604,14 @@ class _Fields:
 
     def packed(self) -> bytes:
         values, widths = (np.concatenate([np.asarray(x, np.int64) for x in column]) for column in (self.values, self.widths))
-        flags = [np.zeros(0, np.uint8)]
-        for i in range(0, len(values), 1 << 17):
-            n = widths[i : i + (1 << 17)]
-            flags.append(((np.repeat(values[i : i + (1 << 17)], n) >> ragged(np.zeros(len(n), np.int64), n)) & 1).astype(np.uint8))
-        return np.packbits(np.concatenate(flags), bitorder="little").tobytes()
+        ends = widths.cumsum()
+        at = ends - widths
+        word, shifted = at >> 5, values << (at & 31)
+        n = (int(ends[-1]) >> 5) + 2
+        # bits of different numbers never meet, so sums are unions; 32 bits are exact as floats
+        low = np.bincount(word, weights=shifted & 0xFFFFFFFF, minlength=n)
+        low[1:] += np.bincount(word, weights=shifted >> 32, minlength=n)[: n - 1]
+        return low.astype("<u4").tobytes()[: (int(ends[-1]) + 7) >> 3]
 
 
 def _depths(weights: list[int]) -> list[int]:
@@ -511,12 +639,12 @@ def _depths(weights: list[int]) -> list[int]:
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Lengths of a complete prefix code over the symbols that occur, of at most ``limit`` bits; 1 where there is one symbol alone."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     out = np.zeros(len(counts), np.int64)
     if len(used) == 1:
         out[used] = 1
         return out
-    order = used[np.argsort(counts[used], kind="stable")]
+    order = used[counts[used].argsort(kind="stable")]
     weights = counts[order]
     while True:
         depths = _depths(weights.tolist())
@@ -528,19 +656,37 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
 
 def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits, reversed for writing, and how many of them, by symbol; a symbol that is alone takes none."""
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     code, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     if len(used) > 1:
-        order = used[np.argsort(lengths[used], kind="stable")]
-        most = int(lengths.max())
+        order = used[lengths[used].argsort(kind="stable")]
+        most, size = int(lengths.max()), lengths
         step = 1 << (most - lengths[order])
-        code[order], size[order] = _reversed(most)[np.cumsum(step) - step], lengths[order]
+        code[order] = _reversed(most)[step.cumsum() - step]
     return code, size
 
 
-def _write_code(counts: np.ndarray) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=1 << 14)
+def _repeated(value: int, n: int) -> list[int]:
+    """The symbols that store a code length ``n`` times: symbol, extra bits << 5, and number of these << 12."""
+    out = []
+    if value:
+        out.append(value)
+        n -= 1
+    while n >= 3:
+        if value:
+            symbol, low, most, width = 16, 3, 6, 2
+        else:
+            symbol, low, most, width = (18, 11, 138, 7) if n >= 11 else (17, 3, 10, 3)
+        take = min(n, most)
+        out.append(symbol | (take - low) << 5 | width << 12)
+        n -= take
+    return out + [value] * n
+
+
+def _write_code(counts: np.ndarray) -> tuple[list[int] | np.ndarray, list[int] | np.ndarray, np.ndarray, np.ndarray]:
     """A code for symbols with the given counts: the numbers that store it and their widths, bits and sizes by symbol."""
-    used = np.flatnonzero(counts).tolist() or [0]
+    used = counts.nonzero()[0].tolist() or [0]
     if len(used) == 1 and used[0] < 256:
         nothing = np.zeros(len(counts), np.int64)
         return [1, 0, 1, used[0]], [1, 1, 1, 8], nothing, nothing
@@ -548,38 +694,20 @@ def _write_code(counts: np.ndarray) -> tuple[list[int], list[int], np.ndarray, n
     code, size = _codes(lengths)
     if len(used) <= 2 and used[-1] < 256:  # a simple code
         return [1, 1, 1, *used], [1, 1, 1, 8, 8], code, size
-    symbols, extra, widths = [], [], []
-    begins = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
+    begins = np.append(0, (lengths[1:] != lengths[:-1]).nonzero()[0] + 1)
+    tokens: list[int] = []
     for value, n in zip(lengths[begins].tolist(), np.diff(np.append(begins, len(lengths))).tolist(), strict=True):
-        if value:
-            symbols.append(value)
-            extra.append(0)
-            widths.append(0)
-            n -= 1
-        while n >= 3:
-            if value:
-                symbol, low, most, width = 16, 3, 6, 2
-            else:
-                symbol, low, most, width = (18, 11, 138, 7) if n >= 11 else (17, 3, 10, 3)
-            take = min(n, most)
-            symbols.append(symbol)
-            extra.append(take - low)
-            widths.append(width)
-            n -= take
-        for _ in range(n):
-            symbols.append(value)
-            extra.append(0)
-            widths.append(0)
-    own = code_lengths(np.bincount(symbols, minlength=19), LENGTHS_LIMIT)
+        tokens += _repeated(value, n)
+    token = np.array(tokens)
+    symbol, extra, wide = token & 31, token >> 5 & 127, token >> 12
+    own = code_lengths(np.bincount(symbol, minlength=19), LENGTHS_LIMIT)
     in_order = own[list(CODE_LENGTH_ORDER)].tolist()
     while len(in_order) > 4 and not in_order[-1]:
         in_order.pop()
-    bits, sizes = (x.tolist() for x in _codes(own))
+    bits, sizes = _codes(own)
+    each = sizes[symbol]
     values, sized = [0, len(in_order) - 4, *in_order, 0], [1, 4, *[3] * len(in_order), 1]
-    for symbol, more, width in zip(symbols, extra, widths, strict=True):
-        values.append(bits[symbol] | more << sizes[symbol])
-        sized.append(sizes[symbol] + width)
-    return values, sized, code, size
+    return np.concatenate([values, bits[symbol] | extra << each]), np.concatenate([sized, each + wide]), code, size
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -630,7 +758,7 @@ def _references(px: np.ndarray) -> list[tuple[int, int, int]]:
 def _bits_of(counts: np.ndarray, total: int) -> float:
     """Estimated bits of symbols with the given counts, ``total`` in each alphabet, and of their codes."""
     n = counts[counts > 0]
-    return float((n * (np.log2(max(1, total)) - np.log2(n))).sum()) + _SYMBOL_BITS * len(n)
+    return float(n.sum() * np.log2(max(1, total)) - n.dot(np.log2(n))) + _SYMBOL_BITS * len(n)
 
 
 def _by_channel(sample: np.ndarray) -> np.ndarray:
@@ -655,7 +783,7 @@ def _write_pixels(fields: _Fields, argb: np.ndarray, outermost: bool) -> None:
     runs = np.array(_references(px), np.int64).reshape(-1, 3)
     alone = np.ones(len(px), bool)
     alone[ragged(runs[:, 0], runs[:, 1])] = False
-    single = np.flatnonzero(alone)
+    single = alone.nonzero()[0]
     length, length_extra, length_n = _prefixed(runs[:, 1])
     short = _short_codes(width)
     distance, distance_extra, distance_n = _prefixed(np.array([short.get(d, d + 120) for d in runs[:, 2].tolist()], np.int64))
@@ -682,14 +810,17 @@ def _write_pixels(fields: _Fields, argb: np.ndarray, outermost: bool) -> None:
         fields.put(stored[0], stored[1])
     tables = [stored[2:] for stored in written]
     values, widths = np.zeros((len(px), 4), np.int64), np.zeros((len(px), 4), np.int64)
-    for k, (channel, (code, size)) in enumerate(zip((_GREEN, _RED, _BLUE, _ALPHA), tables[:4], strict=True)):
-        values[plain, k], widths[plain, k] = code[sample[plain, channel]], size[sample[plain, channel]]
+    literal = sample[plain]
+    both = [(code << 4 | size)[:256].take(literal[:, channel]) for channel, (code, size) in zip((_GREEN, _RED, _BLUE, _ALPHA), tables[:4], strict=True)]
+    both = np.stack(both, axis=1)
+    values[plain], widths[plain] = both >> 4, both & 15
     code, size = tables[0]
     if cache:
         values[held, 0], widths[held, 0] = code[280 + slot[held]], size[280 + slot[held]]
     at = runs[:, 0]
     values[at], widths[at] = np.stack([code[256 + length], length_extra, tables[4][0][distance], distance_extra], axis=1), np.stack([size[256 + length], length_n, tables[4][1][distance], distance_n], axis=1)
-    some = np.flatnonzero(widths.any(axis=1))
+    alone[at] = True
+    some = alone.nonzero()[0]
     fields.put(values[some].reshape(-1), widths[some].reshape(-1))
 
 
@@ -726,8 +857,9 @@ def encode(argb: np.ndarray) -> bytes:
     forms = [(_sample_bits(argb), None, argb)]
     greenless = _subtract_green(argb)
     forms.append((_sample_bits(greenless), SUBTRACT_GREEN, greenless))
-    palette = np.unique(argb)
-    if len(palette) <= 256:
+    few = len(np.unique(argb.reshape(-1)[:512])) <= 256  # or the whole has more colours, too
+    palette = np.unique(argb) if few else None
+    if few and len(palette) <= 256:
         index = _palette_image(argb, palette)
         forms.append((_sample_bits(index) + 4 * _SYMBOL_BITS * len(palette), PALETTE, index))
     _, kind, image = min(forms, key=lambda x: x[0])

@@ -292,18 +292,20 @@ def test_what_the_writer_uses():
 
     def kinds(media):
         seen = set()
-        run, back = webp._run, webp._back
+        symbols = webp._symbols
 
-        def spy(bits, group, out, stop, width, total, cache, cached):
-            seen.update(["cache"] if cache else [])
-            seen.update(["lengths"] if len({x & 15 for x in group[0].table}) > 1 else [])
-            return run(bits, group, out, stop, width, total, cache, cached)
+        def spy(bits, group, width, total):
+            found = symbols(bits, group, width, total)
+            seen.update(["cache"] if (found[0] >= 280).any() else [])
+            seen.update(["references"] if found[3].any() else [])
+            seen.update(["lengths"] if len(set((group[0].places & 15).tolist())) > 1 else [])
+            return found
 
-        webp._run, webp._back = spy, lambda *a: (seen.add("references"), back(*a))[1]
+        webp._symbols = spy
         try:
             argb = webp.decode(media)
         finally:
-            webp._run, webp._back = run, back
+            webp._symbols = symbols
         bits = webp._Bits(media[21:])
         for n in (14, 14, 1, 3):
             bits.read(n)
@@ -322,6 +324,35 @@ def test_what_the_writer_uses():
     assert webp.SUBTRACT_GREEN in seen and (back[:60] == grey).all()
 
 
+def test_both_readers_agree(monkeypatch):
+    """Pictures read by following places, in spans of any size, and read symbol by symbol are the same; so are truncated ones refused."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(300)]
+    texts = [b" ".join(words[k] for k in rng.integers(0, 300, n).tolist()) for n in (90, 700, 4000)]
+    texts += [b"a" * 9000, b"abcd" * 5000 + texts[0], texts[1] * 9, rng.integers(0, 256, 20_000, dtype=np.uint8).tobytes(), b"\0" * 3000 + texts[0] + b"\0" * 300 + texts[0]]
+    for text in texts:
+        media = webp.store(text)
+        for span in (64, 1000, 1 << 17):
+            monkeypatch.setattr(webp, "_SPAN", span)
+            monkeypatch.setattr(webp, "_MANY", 1)
+            fast = webp.load(media, len(text))
+            monkeypatch.setattr(webp, "_MANY", 1 << 40)
+            slow = webp.load(media, len(text))
+            assert fast[0] == slow[0] == webp.padded(text) and (fast[1] == slow[1]).all()
+        size = len(media) // 2 & ~1
+        broken = media[:4] + (size - 8).to_bytes(4, "little") + media[8:16] + (size - 20).to_bytes(4, "little") + media[20:size]
+        for many in (1, 1 << 40):
+            monkeypatch.setattr(webp, "_MANY", many)
+            if len(media) > 200:
+                with pytest.raises(webp.WebPError):
+                    webp.decode(broken)
+
+
+def test_symbols_that_read_an_empty_place_of_the_cache():
+    kind, one = np.array([300, 65]), np.ones(2, np.int64)
+    assert webp._resolved(kind, np.array([0, 65 << 8]), one, one * 0, 8) is None
+
+
 @pytest.mark.parametrize("limit", [7, 12])
 def test_code_lengths_are_complete_and_short(limit):
     rng = np.random.default_rng(limit)
