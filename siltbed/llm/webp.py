@@ -11,7 +11,7 @@ blue). Runs of at least three pixels that occurred before become back-references
 pixels that the colour cache holds its symbols, and the rest literals, all in Huffman codes of up
 to ``LIMIT`` bits; red, blue and alpha share one where it hardly costs bits. Whether there is a palette (of up to 256 colours, in a picture of any
 size), subtract-green or neither, and how large the cache is, is decided by the
-estimated bits of each.
+estimated bits of each. Small pictures go through the array operations together, which changes no file.
 
 ``store`` and the query take null texts as empty; an empty text is stored as one
 unit of padding; an empty table gives an empty result. A very long text becomes a
@@ -25,10 +25,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import operator
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltbed.llm.arrays import ragged, text_buffers
+from siltbed.llm.arrays import chunks, offsets_of, ragged
 
 UNIT = 576
 MAX_SIDE = 1 << 14
@@ -112,21 +114,41 @@ def _reversed(n: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=8)
+def _in_reverse(n: int) -> Callable[[list[int]], tuple[int, ...]]:
+    """Takes a list's items at the numbers of n bits with their bits in reverse order."""
+    return operator.itemgetter(*_reversed(n).tolist())
+
+
+def _small_table(lengths: list[int]) -> tuple[Sequence[int], int]:
+    """The table of a code over few symbols, as that of ``_Code``, and its mask."""
+    used = [n << 5 | symbol for symbol, n in enumerate(lengths) if n]
+    if len(used) == 1:
+        return [(used[0] & 31) << 4], 0
+    most = max(lengths)
+    flat: list[int] = []
+    for x in sorted(used):
+        flat += [(x & 31) << 4 | x >> 5] * (1 << (most - (x >> 5)))
+    if len(flat) != 1 << most or not used:
+        raise WebPError("the code lengths are no complete prefix code")
+    return _in_reverse(most)(flat), (1 << most) - 1
+
+
 class _Code:
-    """A canonical prefix code as one table over the next bits of the longest code: symbol << 4 | length."""
+    """A canonical prefix code, of ascending symbols and their lengths, as one table over the next bits of the longest code: symbol << 4 | length."""
 
-    def __init__(self, lengths: np.ndarray):
-        used = lengths.nonzero()[0]
-        if len(used) == 1:
-            self.mask, self.places = 0, used[:1] << 4
+    def __init__(self, symbols: list[int], lengths: list[int]):
+        if len(symbols) == 1:
+            self.mask, self.places = 0, np.array(symbols) << 4
             return
-        most = int(lengths.max(initial=0))
-        if not len(used) or int((1 << (most - lengths[used])).sum()) != 1 << most:
+        most = max(lengths, default=0)
+        both = np.array(lengths, np.int64) << 16 | np.array(symbols, np.int64)
+        both.sort()
+        size = both >> 16
+        times = 1 << (most - size)
+        if not len(both) or int(times.sum()) != 1 << most:
             raise WebPError("the code lengths are no complete prefix code")
-        size = lengths[used]
-        by_size = size.argsort(kind="stable")
-        order, size = used[by_size], size[by_size]
-        self.mask, self.places = (1 << most) - 1, (order << 4 | size).repeat(1 << (most - size)).take(_reversed(most))
+        self.mask, self.places = (1 << most) - 1, ((both & 0xFFFF) << 4 | size).repeat(times).take(_reversed(most))
 
     @functools.cached_property
     def table(self) -> list[int]:
@@ -140,24 +162,21 @@ class _Code:
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        symbols = [first, bits.read(8)] if two else [first]
-        if max(symbols) >= alphabet:
+        symbols = sorted({first, bits.read(8)}) if two else [first]
+        if symbols[-1] >= alphabet:
             raise WebPError("a symbol is outside its alphabet")
-        lengths[symbols] = 1
-        return _Code(lengths)
-    own = np.zeros(19, np.int64)
+        return _Code(symbols, [1] * len(symbols))
+    own = [0] * 19
     for k in range(4 + bits.read(4)):
         own[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = _Code(own)
+    table, mask = _small_table(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    found: list[int] = []
+    symbols, lengths = [], []
     last, count = 8, 0
-    table, mask, words = code.table, code.mask, bits.words
-    held, n, following = bits.held, bits.n, bits.next
+    words, held, n, following = bits.words, bits.held, bits.n, bits.next
     while count < alphabet and left > 0:
         left -= 1
         if n < 14:  # a code of up to 7 bits and as many extra ones
@@ -171,26 +190,31 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
         n -= symbol & 15
         symbol >>= 4
         if symbol < 16:
-            found.append(symbol)
+            if symbol:
+                symbols.append(count)
+                lengths.append(symbol)
+                last = symbol
             count += 1
-            last = symbol or last
-            continue
-        if symbol == 16:
-            again, extra, value = 3 + (held & 3), 2, last
+        elif symbol == 16:
+            again = 3 + (held & 3)
+            held >>= 2
+            n -= 2
+            symbols += range(count, count + again)
+            lengths += [last] * again
+            count += again
         elif symbol == 17:
-            again, extra, value = 3 + (held & 7), 3, 0
+            count += 3 + (held & 7)
+            held >>= 3
+            n -= 3
         else:
-            again, extra, value = 11 + (held & 127), 7, 0
-        held >>= extra
-        n -= extra
-        found += [value] * again
-        count += again
+            count += 11 + (held & 127)
+            held >>= 7
+            n -= 7
     bits.held, bits.n, bits.next = held, n, following
     bits.check()
-    if len(found) > alphabet:
+    if count > alphabet:
         raise WebPError("too many code lengths")
-    lengths[: len(found)] = found
-    return _Code(lengths)
+    return _Code(symbols, lengths)
 
 
 def _read_group(bits: _Bits, cache_bits: int) -> list[_Code]:
@@ -279,12 +303,12 @@ def _run(bits: _Bits, group: list[_Code], out: array, stop: int, width: int, tot
 
 
 def _peeked(data: np.ndarray, begin: int, n: int) -> np.ndarray:
-    """For each of ``n`` bits from ``begin``, a whole byte's first one, the number that it and the next 24 bits make; beyond the end they are zeros."""
-    part = np.zeros(n // 8 + 4, np.uint32)
+    """For each of ``n`` bits from ``begin``, a whole byte's first one, the number that it and the next 24 bits or more make; beyond the end they are zeros."""
+    part = np.zeros(n // 8 + 4, np.int64)
     some = data[begin >> 3 : (begin >> 3) + len(part)]
     part[: len(some)] = some
-    word = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
-    return ((word[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << 25) - 1)).reshape(-1).astype(np.int64)
+    pair = part[:-1] | part[1:] << 8
+    return ((pair[:-2] | pair[2:] << 16)[:, None] >> _EIGHT).reshape(-1)
 
 
 def _extras(peek: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,12 +318,18 @@ def _extras(peek: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.nd
     return value + 1, at + n
 
 
+_EIGHT = np.arange(8)
 #: Bits whose symbols are looked up at once, and how far behind its first bit a symbol can reach.
 _SPAN, _REACH = 1 << 17, 64
 #: Pictures with fewer pixels are read symbol by symbol.
 _MANY = 64
 
 
+@functools.lru_cache(maxsize=16)
+def _short_distances(width: int) -> np.ndarray:
+    return np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES])
+
+
 def _symbols(bits: _Bits, group: list[_Code], width: int, total: int) -> tuple[np.ndarray, ...]:
     """The symbols of one group of codes up to ``total`` pixels: green symbol, ARGB word, pixels and distance of each.
 
@@ -308,21 +338,23 @@ def _symbols(bits: _Bits, group: list[_Code], width: int, total: int) -> tuple[n
     """
     green, red, blue, alpha, far = group
     data, at, left, out = np.frombuffer(bits.data, np.uint8), bits.at, total, []
-    short = np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES])
+    short = _short_distances(width)
+    first_table = green.places.astype(np.uint16)
     while left > 0:
         if at > bits.end:
             raise WebPError("truncated")
         base = at & ~7
         span = min(_SPAN, bits.end - base + 8) & ~7
         peek = _peeked(data, base, span + 2 * _REACH)
-        first = green.places.astype(np.uint16).take(peek[:span] & green.mask)
-        symbol, place = first >> 4, np.arange(span) + (first & 15)
-        sizes: dict[int, np.ndarray] = {}
+        first = first_table.take(peek[:span] & green.mask)
+        symbol, here = first >> 4, np.arange(span + _REACH)
+        place = here[:span] + (first & 15)
+        behind: dict[int, np.ndarray] = {}  # the place behind a symbol of each code
         follow = place
         for code in (red, blue, alpha):
-            if id(code) not in sizes:
-                sizes[id(code)] = (code.places & 15).astype(np.uint8).take(peek[: span + _REACH] & code.mask)
-            follow = follow + sizes[id(code)].take(follow)
+            if id(code) not in behind:
+                behind[id(code)] = here + (code.places & 15).take(peek[: span + _REACH] & code.mask)
+            follow = behind[id(code)].take(follow)
         other = (symbol >= 256).nonzero()[0]
         copied = symbol[other] < 280
         copies, cached = other[copied], other[~copied]
@@ -347,8 +379,8 @@ def _symbols(bits: _Bits, group: list[_Code], width: int, total: int) -> tuple[n
         argb, spot = np.minimum(kind, 255) << 8, place[taken]
         for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
             found = code.places[peek[spot] & code.mask]
-            argb |= found >> 4 << shift
-            spot = np.where(kind < 256, spot + (found & 15), spot)
+            argb |= found >> 4 << shift  # of no meaning, and not used, for what is no literal
+            spot = spot + (found & 15)
         ends = np.cumsum(pixels)
         keep = min(len(taken), int(np.searchsorted(ends, left)) + 1)
         at = base + (k if keep == len(taken) else int(taken[keep]))
@@ -376,7 +408,7 @@ def _resolved(kind: np.ndarray, argb: np.ndarray, pixels: np.ndarray, back: np.n
     hits = kind >= 280
     if hits.any():
         origin = source
-        while not np.array_equal(origin, origin := origin[origin]):
+        while (origin != (origin := origin[origin])).any():
             pass
         slot = ((value * np.uint32(_CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.int64)
         slot[begin[hits]] = kind[hits] - 280
@@ -387,7 +419,7 @@ def _resolved(kind: np.ndarray, argb: np.ndarray, pixels: np.ndarray, back: np.n
         source[begin[hits]] = before[begin[hits]]
         if (source < 0).any():
             return None
-    while not np.array_equal(source, source := source[source]):
+    while (source != (source := source[source])).any():
         pass
     return value[source]
 
@@ -582,59 +614,100 @@ def decode(data: bytes) -> np.ndarray:
 
 # ---------------------------------------------------------------- writing
 
-#: Longest Huffman code that is written, of the code of code lengths too; cache sizes to choose from; least and most pixels of a back-reference, and how far back it goes.
-LIMIT, LENGTHS_LIMIT, CACHES, SHORTEST, LONGEST, FARTHEST = 12, 7, (0, 8), 3, 4096, (1 << 20) - 120
+#: Longest Huffman code that is written, of the code of code lengths too; bits of the cache, where there is one; least and most pixels of a back-reference, and how far back it goes.
+LIMIT, LENGTHS_LIMIT, CACHE, SHORTEST, LONGEST, FARTHEST = 12, 7, 8, 3, 4096, (1 << 20) - 120
 #: Red, blue and alpha share one code, which is built and read once, where that costs at most this share more bits.
 _SHARED = 0.06
 #: Estimated bits that a symbol's code length takes.
 _SYMBOL_BITS = 7
 _GREEN, _RED, _BLUE, _ALPHA = 1, 2, 0, 3
+_OTHERS = [_RED, _BLUE, _ALPHA]
+#: Pictures that are worked on together have up to 2^13 pixels each, are up to 2^6, and have so many pixels in all.
+_SMALL_BITS, _GROUP_BITS, _TOGETHER = 13, 6, 1 << 14
+
+
+_NONE = np.zeros(0, np.int64)
 
 
 class _Fields:
     """Numbers of given widths, written one after the other."""
 
     def __init__(self):
-        self.values: list = []
-        self.widths: list = []
-
-    def put(self, values, widths) -> None:
+        self.values: list[np.ndarray] = []
+        self.widths: list[np.ndarray] = []
+        self.last: tuple[list[int], list[int]] = [], []  # not yet arrays
+
+    def put(self, values: list[int], widths: list[int]) -> None:
+        self.last[0].extend(values)
+        self.last[1].extend(widths)
+
+    def put_arrays(self, values: np.ndarray, widths: np.ndarray) -> None:
+        if self.last[0]:
+            self.values.append(np.array(self.last[0], np.int64))
+            self.widths.append(np.array(self.last[1], np.int64))
+            self.last = [], []
         self.values.append(values)
         self.widths.append(widths)
 
-    def packed(self) -> bytes:
-        values, widths = (np.concatenate([np.asarray(x, np.int64) for x in column]) for column in (self.values, self.widths))
-        ends = widths.cumsum()
-        at = ends - widths
-        word, shifted = at >> 5, values << (at & 31)
-        n = (int(ends[-1]) >> 5) + 2
-        # bits of different numbers never meet, so sums are unions; 32 bits are exact as floats
-        low = np.bincount(word, weights=shifted & 0xFFFFFFFF, minlength=n)
-        low[1:] += np.bincount(word, weights=shifted >> 32, minlength=n)[: n - 1]
-        return low.astype("<u4").tobytes()[: (int(ends[-1]) + 7) >> 3]
+    def close(self) -> int:
+        """How many numbers there are."""
+        self.put_arrays(_NONE, _NONE)
+        return sum(map(len, self.values))
+
+
+def _packed(fields: list[_Fields]) -> list[bytes]:
+    """The bytes of each, filled up with zeros."""
+    first = offsets_of(np.array([f.close() for f in fields]))
+    values, widths = (np.concatenate([x for f in fields for x in column(f)]) for column in (operator.attrgetter("values"), operator.attrgetter("widths")))
+    ends = offsets_of(widths)
+    begin = ends[first]
+    sizes = np.diff(begin)
+    words = offsets_of((sizes + 31) >> 5)  # each begins at a word of its own
+    at = ends[:-1] + (32 * words[:-1] - begin[:-1]).repeat(np.diff(first))
+    word, shifted = at >> 5, values << (at & 31)
+    n = int(words[-1]) + 2
+    # bits of different numbers never meet, so sums are unions; 32 bits are exact as floats
+    low = np.bincount(word, weights=shifted & 0xFFFFFFFF, minlength=n)
+    low[1:] += np.bincount(word, weights=shifted >> 32, minlength=n)[: n - 1]
+    raw = low.astype("<u4").tobytes()
+    return [raw[4 * k : 4 * k + (size + 7) // 8] for k, size in zip(words.tolist(), sizes.tolist(), strict=False)]
 
 
 def _depths(weights: list[int]) -> list[int]:
     """Huffman code lengths for ascending weights: the two lightest of leaves and inner nodes, which also come in ascending order, are joined."""
     n = len(weights)
-    parent, inner = [0] * (2 * n - 1), []
+    none = sum(weights) + 1
+    leaves, inner, parent = [*weights, none], [none] * n, [0] * (2 * n - 1)
+    leaf, node = leaves[0], none
     i = j = 0
-    for node in range(n, 2 * n - 1):
-        total = 0
-        for _ in range(2):
-            if i < n and (j >= len(inner) or weights[i] <= inner[j]):
-                total += weights[i]
-                parent[i] = node
-                i += 1
-            else:
-                total += inner[j]
-                parent[n + j] = node
-                j += 1
-        inner.append(total)
-    depth = [0] * (2 * n - 1)
-    for node in range(2 * n - 3, -1, -1):
-        depth[node] = depth[parent[node]] + 1
-    return depth[:n]
+    for k in range(n - 1):
+        if leaf <= node:
+            total = leaf
+            parent[i] = k
+            i += 1
+            leaf = leaves[i]
+        else:
+            total = node
+            parent[n + j] = k
+            j += 1
+            node = inner[j]
+        if leaf <= node:
+            total += leaf
+            parent[i] = k
+            i += 1
+            leaf = leaves[i]
+        else:
+            total += node
+            parent[n + j] = k
+            j += 1
+            node = inner[j]
+        inner[k] = total
+        if j == k:
+            node = total
+    depth = [0] * (n - 1)
+    for k in range(n - 3, -1, -1):
+        depth[k] = depth[parent[n + k]] + 1
+    return [depth[k] + 1 for k in parent[:n]]
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -657,13 +730,16 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
 def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits, reversed for writing, and how many of them, by symbol; a symbol that is alone takes none."""
     used = lengths.nonzero()[0]
-    code, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    if len(used) > 1:
-        order = used[lengths[used].argsort(kind="stable")]
-        most, size = int(lengths.max()), lengths
-        step = 1 << (most - lengths[order])
-        code[order] = _reversed(most)[step.cumsum() - step]
-    return code, size
+    code = np.zeros(len(lengths), np.int64)
+    if len(used) < 2:
+        return code, code
+    size = lengths[used]
+    by_size = size.argsort(kind="stable")
+    size = size[by_size]
+    most = int(size[-1])
+    step = 1 << (most - size)
+    code[used[by_size]] = _reversed(most)[step.cumsum() - step]
+    return code, lengths
 
 
 @functools.lru_cache(maxsize=1 << 14)
@@ -684,30 +760,38 @@ def _repeated(value: int, n: int) -> list[int]:
     return out + [value] * n
 
 
-def _write_code(counts: np.ndarray) -> tuple[list[int] | np.ndarray, list[int] | np.ndarray, np.ndarray, np.ndarray]:
-    """A code for symbols with the given counts: the numbers that store it and their widths, bits and sizes by symbol."""
-    used = counts.nonzero()[0].tolist() or [0]
-    if len(used) == 1 and used[0] < 256:
+#: What stores a code: numbers and their widths as lists, then as arrays; with the code's bits and sizes by symbol.
+_Stored = tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_NOUGHT = np.zeros(1, np.int64)
+_ORDER = operator.itemgetter(*CODE_LENGTH_ORDER)
+
+
+def _write_code(counts: np.ndarray) -> _Stored:
+    """A code for symbols with the given counts."""
+    used = counts.nonzero()[0]
+    if len(used) < 2 and (not len(used) or used[0] < 256):
         nothing = np.zeros(len(counts), np.int64)
-        return [1, 0, 1, used[0]], [1, 1, 1, 8], nothing, nothing
+        return [1, 0, 1, int(used.sum())], [1, 1, 1, 8], _NONE, _NONE, nothing, nothing
     lengths = code_lengths(counts, LIMIT)
     code, size = _codes(lengths)
     if len(used) <= 2 and used[-1] < 256:  # a simple code
-        return [1, 1, 1, *used], [1, 1, 1, 8, 8], code, size
-    begins = np.append(0, (lengths[1:] != lengths[:-1]).nonzero()[0] + 1)
+        return [1, 1, 1, *used.tolist()], [1, 1, 1, 8, 8], _NONE, _NONE, code, size
+    begins = np.concatenate([_NOUGHT, (lengths[1:] != lengths[:-1]).nonzero()[0] + 1, [len(lengths)]])
     tokens: list[int] = []
-    for value, n in zip(lengths[begins].tolist(), np.diff(np.append(begins, len(lengths))).tolist(), strict=True):
-        tokens += _repeated(value, n)
+    for value, n in zip(lengths[begins[:-1]].tolist(), (begins[1:] - begins[:-1]).tolist(), strict=True):
+        if n == 1:
+            tokens.append(value)
+        else:
+            tokens += _repeated(value, n)
     token = np.array(tokens)
-    symbol, extra, wide = token & 31, token >> 5 & 127, token >> 12
+    symbol = token & 31
     own = code_lengths(np.bincount(symbol, minlength=19), LENGTHS_LIMIT)
-    in_order = own[list(CODE_LENGTH_ORDER)].tolist()
+    in_order = [*_ORDER(own.tolist())]
     while len(in_order) > 4 and not in_order[-1]:
         in_order.pop()
     bits, sizes = _codes(own)
     each = sizes[symbol]
-    values, sized = [0, len(in_order) - 4, *in_order, 0], [1, 4, *[3] * len(in_order), 1]
-    return np.concatenate([values, bits[symbol] | extra << each]), np.concatenate([sized, each + wide]), code, size
+    return [0, len(in_order) - 4, *in_order, 0], [1, 4, *[3] * len(in_order), 1], bits[symbol] | (token >> 5 & 127) << each, each + (token >> 12), code, size
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -723,25 +807,33 @@ def _short_codes(width: int) -> dict[int, int]:
     return {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(SHORT_DISTANCES)))}
 
 
-def _references(px: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first pixel, length, distance) of runs that occurred before, none over another."""
+def _references(px: np.ndarray, begin: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """(first pixel, length, distance) of runs that occurred before in their picture, none over another."""
     n = len(px) - SHORTEST + 1
     if n < 2:
-        return []
+        return np.zeros((0, 3), np.int64)
     wide = px.astype(np.uint64)
     gram = np.zeros(n, np.uint64)
     for k in range(SHORTEST):
         gram = (gram ^ wide[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         gram ^= gram >> np.uint64(29)
-    order = np.argsort(gram, kind="stable")
-    same = np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
-    at, before = order[same + 1], order[same]
+    # sorted by picture, bits of the gram, and place: what is alike stands together in ascending order
+    place_bits, who_bits = (_SMALL_BITS, 64 - _GROUP_BITS) if len(begin) > 2 or len(px) <= 1 << _SMALL_BITS else (28, 63)
+    place = np.arange(n) - begin[who[:n]]
+    inside = (place < (np.diff(begin) - SHORTEST + 1)[who[:n]]).nonzero()[0]
+    gram_bits = who_bits - place_bits
+    key = who[inside].astype(np.uint64) << np.uint64(who_bits) | (gram[inside] >> np.uint64(64 - gram_bits)) << np.uint64(place_bits) | place[inside].astype(np.uint64)
+    key.sort()
+    gram = key >> np.uint64(place_bits)
+    same = (gram[1:] == gram[:-1]).nonzero()[0]
+    first, mask = begin[(key[same] >> np.uint64(who_bits)).astype(np.int64)], np.uint64((1 << place_bits) - 1)
+    at, before = first + (key[same + 1] & mask).astype(np.int64), first + (key[same] & mask).astype(np.int64)
     fine = at - before <= FARTHEST
     for k in range(SHORTEST):
         fine &= px[at + k] == px[before + k]
     back = np.zeros(n, np.int64)
     back[at[fine]] = (at - before)[fine]
-    begins = np.flatnonzero(np.append(True, back[1:] != back[:-1]))
+    begins = np.append(True, back[1:] != back[:-1]).nonzero()[0]
     ends = np.append(begins[1:], n)
     some = back[begins] > 0
     out, place = [], 0
@@ -752,76 +844,106 @@ def _references(px: np.ndarray) -> list[tuple[int, int, int]]:
             length = min(LONGEST, end - begin)
             out.append((begin, length, distance))
             begin = place = begin + length
-    return out
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+_FIXED = 16
+
+
+@functools.lru_cache(maxsize=1)
+def _n_logs() -> np.ndarray:
+    return _n_log(np.arange(1 << (_SMALL_BITS + 2)))
+
+
+def _n_log(n: np.ndarray) -> np.ndarray:
+    return np.rint(n * np.log2(np.maximum(n, 1)) * (1 << _FIXED)).astype(np.int64)
 
 
-def _bits_of(counts: np.ndarray, total: int) -> float:
-    """Estimated bits of symbols with the given counts, ``total`` in each alphabet, and of their codes."""
-    n = counts[counts > 0]
-    return float(n.sum() * np.log2(max(1, total)) - n.dot(np.log2(n))) + _SYMBOL_BITS * len(n)
+def _bits_of(counts: np.ndarray, total: np.ndarray, alphabets: int) -> np.ndarray:
+    """Estimated bits of symbols with each row's counts, ``total`` in each of so many alphabets, and of their codes; as whole numbers, so that other rows change nothing."""
+    table = _n_logs()
+    n_log = table.take if total.max() < len(table) else _n_log
+    return alphabets * n_log(total) - n_log(counts).sum(axis=1) + (_SYMBOL_BITS * np.count_nonzero(counts, axis=1) << _FIXED)
 
 
-def _by_channel(sample: np.ndarray) -> np.ndarray:
-    """How often each sample value occurs in each channel."""
-    return np.bincount((sample + np.arange(0, 1024, 256)).reshape(-1), minlength=1024).reshape(4, 256)
+_CHANNELS = np.arange(0, 1024, 256)
 
 
-def _slots(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_channel(sample: np.ndarray, who: np.ndarray, pictures: int) -> np.ndarray:
+    """How often each sample value occurs in each channel of each picture."""
+    return np.bincount(((who << 10)[:, None] + (sample + _CHANNELS)).reshape(-1), minlength=pictures << 10).reshape(pictures, 1024)
+
+
+def _slots(px: np.ndarray, who: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Cache slot of each pixel, and whether it has the pixel when its turn comes."""
     slot = ((px * np.uint32(_CACHE_MULTIPLIER)) >> np.uint32(32 - bits)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
-    hit = np.zeros(len(px), bool)
-    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+    key = (who << bits | slot) << 28 | np.arange(len(px))
+    key.sort()
+    order, key = key & ((1 << 28) - 1), key >> 28
+    hit, ordered = np.zeros(len(px), bool), px[order]
+    hit[order[1:]] = (key[1:] == key[:-1]) & (ordered[1:] == ordered[:-1])
     return slot, hit
 
 
-def _write_pixels(fields: _Fields, argb: np.ndarray, outermost: bool) -> None:
-    """An entropy-coded image: cache size, one group of codes, symbols."""
-    width = argb.shape[1] if argb.ndim > 1 else len(argb)
-    px = np.ascontiguousarray(argb, np.uint32).reshape(-1)
-    sample = _channels(px.reshape(1, -1))[0]
-    runs = np.array(_references(px), np.int64).reshape(-1, 3)
+def _write_pixels(fields: list[_Fields], images: list[np.ndarray], outermost: bool) -> None:
+    """Entropy-coded images: cache size, one group of codes, symbols of each."""
+    m, begin = len(images), offsets_of(np.array([x.size for x in images]))
+    px = np.concatenate([x.reshape(-1) for x in images])
+    who = np.arange(m).repeat(np.diff(begin))
+    sample = _channels(px)
+    runs = _references(px, begin, who)
+    at, of = runs[:, 0], who[runs[:, 0]]
     alone = np.ones(len(px), bool)
-    alone[ragged(runs[:, 0], runs[:, 1])] = False
+    alone[ragged(at, runs[:, 1])] = False
     single = alone.nonzero()[0]
+    n_single = np.bincount(who[single], minlength=m)
     length, length_extra, length_n = _prefixed(runs[:, 1])
-    short = _short_codes(width)
-    distance, distance_extra, distance_n = _prefixed(np.array([short.get(d, d + 120) for d in runs[:, 2].tolist()], np.int64))
-    best = None
-    for cache in CACHES if len(single) >= 64 else (0,):
-        slot, hit = _slots(px, cache) if cache else (np.zeros(0, np.int64), np.zeros(len(px), bool))
-        held, plain = single[hit[single]], single[~hit[single]]
-        each = _by_channel(sample[plain])
-        green = np.concatenate([each[_GREEN], np.bincount(length, minlength=24), np.bincount(slot[held], minlength=1 << cache) if cache else []]).astype(np.int64)
-        bits = _bits_of(green, len(single) + len(runs)) + _bits_of(each[[_RED, _BLUE, _ALPHA]], len(plain))
-        if best is None or bits < best[0]:
-            best = (bits, cache, slot, held, plain, green, each[[_RED, _BLUE, _ALPHA]])
-    bits, cache, slot, held, plain, green, others = best
-    together = others.sum(axis=0)
-    fields.put([1, cache] if cache else [0], [1, 4] if cache else [1])
-    if outermost:
-        fields.put([0], [1])  # no entropy image
-    if (others > 0).sum(axis=1).max() > 1 and 3 * _bits_of(together / 3, len(plain)) <= _bits_of(others, len(plain)) + _SHARED * bits:
-        others = [_write_code(together)] * 3
-    else:
-        others = [_write_code(c) for c in others]
-    written = [_write_code(green), *others, _write_code(np.bincount(distance, minlength=40))]
-    for stored in written:
-        fields.put(stored[0], stored[1])
-    tables = [stored[2:] for stored in written]
-    values, widths = np.zeros((len(px), 4), np.int64), np.zeros((len(px), 4), np.int64)
-    literal = sample[plain]
-    both = [(code << 4 | size)[:256].take(literal[:, channel]) for channel, (code, size) in zip((_GREEN, _RED, _BLUE, _ALPHA), tables[:4], strict=True)]
-    both = np.stack(both, axis=1)
-    values[plain], widths[plain] = both >> 4, both & 15
-    code, size = tables[0]
-    if cache:
-        values[held, 0], widths[held, 0] = code[280 + slot[held]], size[280 + slot[held]]
-    at = runs[:, 0]
-    values[at], widths[at] = np.stack([code[256 + length], length_extra, tables[4][0][distance], distance_extra], axis=1), np.stack([size[256 + length], length_n, tables[4][1][distance], distance_n], axis=1)
+    short = [_short_codes(x.shape[1]) for x in images]
+    distance, distance_extra, distance_n = _prefixed(np.array([short[k].get(d, d + 120) for k, d in zip(of.tolist(), runs[:, 2].tolist(), strict=True)], np.int64))
+    lengths = np.bincount(of * 24 + length, minlength=24 * m).reshape(m, 24)
+    slot, hit = _slots(px, who, CACHE)
+    bits = []
+    for held, plain in ((single[:0], single), (single[hit[single]], single[~hit[single]])):  # without the cache, and with it
+        hits = np.bincount(who[held] << CACHE | slot[held], minlength=m << CACHE).reshape(m, -1)
+        each = _by_channel(sample[plain], who[plain], m).reshape(m, 4, 256)
+        green, others = np.concatenate([each[:, _GREEN], lengths, hits], axis=1), each[:, _OTHERS]
+        n_plain = np.bincount(who[plain], minlength=m)
+        rest = _bits_of(others.reshape(m, 768), n_plain, 3)
+        bits.append((_bits_of(green, n_single + np.bincount(of, minlength=m), 1) + rest, rest, n_plain, green, others))
+    cached = (n_single >= 64) & (bits[1][0] < bits[0][0])
+    total, rest, n_plain, green, others = (np.where(cached.reshape(-1, *[1] * (x.ndim - 1)), y, x) for x, y in zip(*bits, strict=True))
+    together = others.sum(axis=1)
+    # three codes that were alike would take so many bits
+    shared = _bits_of(together, 3 * n_plain, 1) + (2 * _SYMBOL_BITS * np.count_nonzero(together, axis=1) << _FIXED)
+    shared = (np.count_nonzero(others, axis=2).max(axis=1) > 1) & (shared <= rest + _SHARED * total)
+    distances = np.bincount(of * 40 + distance, minlength=40 * m).reshape(m, 40)
+    n_green = green.shape[1]
+    tables = [np.zeros((m, n), np.int64) for n in (n_green, 256, 256, 256, 40)]  # value << 5 | width
+    for k in range(m):
+        fields[k].put([1, CACHE] if cached[k] else [0], [1, 4] if cached[k] else [1])
+        if outermost:
+            fields[k].put([0], [1])  # no entropy image
+        own = [_write_code(together[k])] * 3 if shared[k] else [_write_code(c) for c in others[k]]
+        own = [_write_code(green[k] if cached[k] else green[k, : _ALPHABETS[0]]), *own, _write_code(distances[k])]
+        for table, (numbers, widths, more, wide, code, size) in zip(tables, own, strict=True):
+            fields[k].put(numbers, widths)
+            if len(more):
+                fields[k].put_arrays(more, wide)
+            table[k, : len(code)] = code << 5 | size
+    tables = [x.reshape(-1) for x in tables]
+    both = np.zeros((len(px), 4), np.int64)
+    from_cache = hit & cached[who]
+    plain, held = single[~from_cache[single]], single[from_cache[single]]
+    literal, own = sample[plain], who[plain] << 8
+    both[plain] = np.stack([tables[0].take(who[plain] * n_green + literal[:, _GREEN]), *[table.take(own + literal[:, channel]) for channel, table in zip(_OTHERS, tables[1:4], strict=True)]], axis=1)
+    both[held, 0] = tables[0][who[held] * n_green + _ALPHABETS[0] + slot[held]]
+    both[at] = np.stack([tables[0][of * n_green + 256 + length], length_extra << 5 | length_n, tables[4][of * 40 + distance], distance_extra << 5 | distance_n], axis=1)
     alone[at] = True
-    some = alone.nonzero()[0]
-    fields.put(values[some].reshape(-1), widths[some].reshape(-1))
+    both = both[alone].reshape(-1)
+    first = 4 * offsets_of(alone)[begin]
+    values, widths = both >> 5, both & 31
+    for k, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        fields[k].put_arrays(values[i:j], widths[i:j])
 
 
 def _palette_image(argb: np.ndarray, palette: np.ndarray) -> np.ndarray:
@@ -835,46 +957,97 @@ def _palette_image(argb: np.ndarray, palette: np.ndarray) -> np.ndarray:
     return np.uint32(0xFF000000) | index << np.uint32(8)
 
 
-def _subtract_green(argb: np.ndarray) -> np.ndarray:
-    px = _channels(argb).copy()
-    px[..., _BLUE] -= px[..., _GREEN]
-    px[..., _RED] -= px[..., _GREEN]
-    return px.view("<u4").reshape(argb.shape)
+def _subtract_green(sample: np.ndarray) -> np.ndarray:
+    out = sample.copy()
+    out[..., _BLUE] -= sample[..., _GREEN]
+    out[..., _RED] -= sample[..., _GREEN]
+    return out
+
+
+def _distinct(px: np.ndarray) -> np.ndarray:
+    ordered = np.sort(px)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
 
 
-def _sample_bits(argb: np.ndarray) -> float:
-    return _bits_of(_by_channel(_channels(argb).reshape(-1, 4)), argb.size)
+def _palette(px: np.ndarray) -> np.ndarray | None:
+    """The colours, if there are at most 256."""
+    found = _distinct(px[:512])
+    if len(px) > 512 and len(found) <= 256:  # with more colours there, the whole has more, too
+        found = _distinct(px)
+    return found if len(found) <= 256 else None
+
+
+def _forms(images: list[np.ndarray]) -> list[tuple[int | None, np.ndarray | None, np.ndarray]]:
+    """The transform of the fewest estimated bits (none, subtract-green or the palette), the palette, and the picture to write of each."""
+    m, begin = len(images), offsets_of(np.array([x.size for x in images]))
+    who, sample = np.arange(m).repeat(np.diff(begin)), _channels(np.concatenate([x.reshape(-1) for x in images]))
+    greenless = _subtract_green(sample)
+    plain, green = (_bits_of(_by_channel(x, who, m), np.diff(begin), 4).tolist() for x in (sample, greenless))
+    out = []
+    for k, argb in enumerate(images):
+        form, least = (None, None, argb), plain[k]
+        if green[k] < least:
+            form, least = (SUBTRACT_GREEN, None, greenless[begin[k] : begin[k + 1]].view("<u4").reshape(argb.shape)), green[k]
+        palette = _palette(argb.reshape(-1))
+        if palette is not None:
+            index = _palette_image(argb, palette)
+            counts = _by_channel(_channels(index.reshape(-1)), np.zeros(index.size, np.int64), 1)
+            if int(_bits_of(counts, np.array([index.size]), 4)[0]) + (4 * _SYMBOL_BITS * len(palette) << _FIXED) < least:
+                form = PALETTE, palette, index
+        out.append(form)
+    return out
+
+
+def encode_all(images: list[np.ndarray]) -> list[bytes]:
+    """Lossless WebP files of height x width arrays of ARGB words; each is the same in any company."""
+    images = [np.ascontiguousarray(x, np.uint32) for x in images]
+    if not all(0 < n <= MAX_SIDE for x in images for n in x.shape):
+        raise WebPError("image size")
+    out: list[bytes] = []
+    for group in _groups([x.size for x in images]):
+        out += _encode_group(images[group])
+    return out
+
+
+def _groups(sizes: list[int]) -> Iterator[slice]:
+    """Neighbours that are worked on together: small ones up to a bound, larger ones alone."""
+    begin = total = 0
+    for k, size in enumerate(sizes):
+        if k > begin and (total + size > _TOGETHER or k - begin == 1 << _GROUP_BITS or max(size, total if k - begin == 1 else 0) > 1 << _SMALL_BITS):
+            yield slice(begin, k)
+            begin, total = k, 0
+        total += size
+    if sizes:
+        yield slice(begin, len(sizes))
+
+
+def _encode_group(images: list[np.ndarray]) -> list[bytes]:
+    forms, fields = _forms(images), [_Fields() for _ in images]
+    palettes = []
+    for argb, (kind, palette, _), own in zip(images, forms, fields, strict=True):
+        height, width = argb.shape
+        own.put([0x2F, width - 1, height - 1, 1, 0], [8, 14, 14, 1, 3])
+        if kind is not None:
+            own.put([1, kind], [1, 2])
+        if kind == PALETTE:
+            own.put([len(palette) - 1], [8])
+            steps = _channels(palette)
+            palettes.append((own, np.concatenate([steps[:1], np.diff(steps, axis=0)]).astype(np.uint8).view("<u4").reshape(1, -1)))
+    if palettes:
+        _write_pixels(*map(list, zip(*palettes, strict=True)), False)
+    for own in fields:
+        own.put([0], [1])
+    _write_pixels(fields, [image for _, _, image in forms], True)
+    out = []
+    for body in _packed(fields):
+        chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+        out.append(b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk)
+    return out
 
 
 def encode(argb: np.ndarray) -> bytes:
     """A lossless WebP file of a height x width array of ARGB words."""
-    height, width = argb.shape
-    if not (0 < height <= MAX_SIDE and 0 < width <= MAX_SIDE):
-        raise WebPError("image size")
-    fields = _Fields()
-    fields.put([0x2F, width - 1, height - 1, 1, 0], [8, 14, 14, 1, 3])
-    argb = np.ascontiguousarray(argb, np.uint32)
-    forms = [(_sample_bits(argb), None, argb)]
-    greenless = _subtract_green(argb)
-    forms.append((_sample_bits(greenless), SUBTRACT_GREEN, greenless))
-    few = len(np.unique(argb.reshape(-1)[:512])) <= 256  # or the whole has more colours, too
-    palette = np.unique(argb) if few else None
-    if few and len(palette) <= 256:
-        index = _palette_image(argb, palette)
-        forms.append((_sample_bits(index) + 4 * _SYMBOL_BITS * len(palette), PALETTE, index))
-    _, kind, image = min(forms, key=lambda x: x[0])
-    if kind is not None:
-        fields.put([1, kind], [1, 2])
-    if kind == PALETTE:
-        fields.put([len(palette) - 1], [8])
-        steps = _channels(palette.reshape(1, -1))[0]
-        steps = np.concatenate([steps[:1], np.diff(steps, axis=0)]).astype(np.uint8).view("<u4").reshape(-1)
-        _write_pixels(fields, steps, False)
-    fields.put([0], [1])
-    _write_pixels(fields, image, True)
-    body = fields.packed()
-    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+    return encode_all([argb])[0]
 
 
 # ---------------------------------------------------------------- columns
@@ -890,15 +1063,22 @@ ACROSS = 12
 MOST_PIXELS = 6 * ACROSS * MAX_SIDE
 
 
+def store_all(texts: list[bytes]) -> list[bytes]:
+    """The WebP file of each padded text, or files one after the other; what is missing to a whole row is filled with bytes 255."""
+    images, files = [], []
+    for text in texts:
+        payload = np.frombuffer(padded(text), "<u4")
+        width = ACROSS * -(-min(len(payload), MOST_PIXELS) // (ACROSS * MAX_SIDE))
+        files.append(-(-len(payload) // MOST_PIXELS))
+        for i in range(0, len(payload), MOST_PIXELS):
+            part = payload[i : i + MOST_PIXELS]
+            images.append((np.concatenate([part, np.full(-len(part) % width, 0xFFFFFFFF, "<u4")]) if len(part) % width else part).reshape(-1, width))
+    found = iter(encode_all(images))
+    return [b"".join(itertools.islice(found, n)) for n in files]
+
+
 def store(text: bytes) -> bytes:
-    """The WebP file of a padded text, or files one after the other; what is missing to a whole row is filled with bytes 255."""
-    payload = np.frombuffer(padded(text), "<u4")
-    width = ACROSS * -(-min(len(payload), MOST_PIXELS) // (ACROSS * MAX_SIDE))
-    files = []
-    for i in range(0, len(payload), MOST_PIXELS):
-        part = payload[i : i + MOST_PIXELS]
-        files.append(encode(np.concatenate([part, np.full(-len(part) % width, 0xFFFFFFFF, "<u4")]).reshape(-1, width)))
-    return b"".join(files)
+    return store_all([text])[0]
 
 
 def pictures(media: bytes) -> Iterator[np.ndarray]:
@@ -933,15 +1113,20 @@ RESULTS = [
 ]
 
 
+def _texts(column: pa.Array) -> Iterator[list[bytes]]:
+    """The bytes of texts, of a bounded size at once where one text allows it."""
+    for _, _, data, at in chunks(column):
+        raw = data.tobytes()
+        yield [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def media_column(df: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
     """``df`` with the text's WebP file as a binary column."""
     others = [c for c in df.columns if c != name]
 
     def run(batches):
         for batch in batches:
-            data, at = text_buffers(batch.column(0))
-            raw = data.tobytes()
-            media = [store(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            media = [x for texts in _texts(batch.column(0)) for x in store_all(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(media, pa.binary())], names=[*others, name])
 
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(name, T.BinaryType())])
@@ -979,15 +1164,13 @@ def describe(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     schema = T.StructType([df.schema[c] for c in kept] + RESULTS)
 
-    def one(raw: bytes):
-        media = store(raw)
+    def one(raw: bytes, media: bytes):
         payload, argb = load(media, len(raw))
         return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(argb)
 
     def run(batches):
         for batch in batches:
-            data, at = text_buffers(batch.column(0))
-            rows = [one(data[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            rows = [one(*x) for texts in _texts(batch.column(0)) for x in zip(texts, store_all(texts), strict=True)]
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=schema.names)
 

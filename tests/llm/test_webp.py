@@ -348,6 +348,24 @@ def test_both_readers_agree(monkeypatch):
                     webp.decode(broken)
 
 
+def test_small_pictures_are_written_together(monkeypatch):
+    """Small texts share the array operations of the writer, and the file of a text is the same in any company."""
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(200)]
+    prose = [b" ".join(words[k] for k in (rng.integers(0, 200, n) ** 2 // 200).tolist()) for n in rng.integers(1, 300, 60).tolist()]
+    odd = [b"", b"a", b"x" * 575, bytes(range(256)) * 9, b"\0" * 1152, rng.integers(0, 256, 3000, dtype=np.uint8).tobytes(), b"abcd" * 900, prose[0] * 300]
+    texts = [*prose[:30], *odd, *prose[30:], *odd[::-1]]
+    alone = [webp.store(t) for t in texts]
+    calls, write = [], webp._write_pixels
+    monkeypatch.setattr(webp, "_write_pixels", lambda fields, images, outermost: (calls.append(len(images)), write(fields, images, outermost)))
+    media = webp.store_all(texts)
+    assert media == alone and sum(calls) >= len(texts) and len(calls) < 24
+    assert all(webp.load(m, len(t))[0] == webp.padded(t) for m, t in zip(media, texts, strict=True))
+    assert webp.store_all([]) == []
+    order = rng.permutation(len(texts))
+    assert webp.store_all([texts[k] for k in order]) == [alone[k] for k in order]
+
+
 def test_symbols_that_read_an_empty_place_of_the_cache():
     kind, one = np.array([300, 65]), np.ones(2, np.int64)
     assert webp._resolved(kind, np.array([0, 65 << 8]), one, one * 0, 8) is None
