@@ -35,6 +35,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -71,14 +72,16 @@ _SLOT_BITS, _OFTEN = 16, 4096
 _NONE = -1
 
 
-def _frequent_pairs(keys: np.ndarray, fits: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of about ``pairs`` of the most frequent pairs, the places (of those that ``fits`` allows) of such pairs, and the rank of the pair at each."""
+def _frequent_pairs(keys: np.ndarray, ends: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of about ``pairs`` of the most frequent pairs, the places (none of ``ends``) of such pairs, and the rank of the pair at each."""
     slot = _slots_of(keys)
-    in_slot = np.bincount(slot[fits], minlength=1 << _SLOT_BITS).astype(np.int32)
+    in_slot = np.bincount(slot, minlength=1 << _SLOT_BITS) - np.bincount(slot[ends], minlength=1 << _SLOT_BITS)
     reached = np.cumsum(np.bincount(np.minimum(in_slot, _OFTEN), minlength=_OFTEN + 1)[::-1])[::-1]  # slots with so many or more
     enough = max(least, int(np.searchsorted(-reached, -pairs, side="right")) - 1)
-    at = np.flatnonzero((in_slot >= enough)[slot] & fits)  # all places of pairs that occur ``enough`` times
-    own = keys[at]
+    often = (in_slot >= enough).take(slot)
+    often[ends] = False
+    at = often.nonzero()[0]  # all places of pairs that occur ``enough`` times
+    own = keys.take(at)
     values, n = np.unique(own, return_counts=True)
     best = np.argsort(-n, kind="stable")[:pairs]
     found = values[best[n[best] >= least]]
@@ -86,15 +89,15 @@ def _frequent_pairs(keys: np.ndarray, fits: np.ndarray, pairs: int, least: int)
         return found, at[:0], at[:0]
     by_slot = np.full(1 << _SLOT_BITS, _NONE, np.int32)
     by_slot[_slots_of(found)[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]
-    rank = by_slot[slot[at]]  # of pairs in one slot the most frequent; the others come in a later round
-    hit = (rank >= 0) & (found[rank] == own)
+    rank = by_slot.take(slot.take(at))  # of pairs in one slot the most frequent; the others come in a later round
+    hit = (rank >= 0) & (found.take(rank, mode="wrap") == own)
     return found, at[hit], rank[hit]
 
 
 def _slots_of(keys: np.ndarray) -> np.ndarray:
     if keys.dtype == np.uint32:
-        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int32)
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
+        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def width(n: int) -> int:
@@ -105,46 +108,41 @@ def width(n: int) -> int:
 def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols by document, rules as pairs, expansion lengths) for ids below ``first_rule``; no rule spans documents."""
     symbols = ids.astype(np.int32)
-    inner = np.ones(len(ids), bool)  # no document ends here
-    inner[np.cumsum(lengths)[lengths > 0] - 1] = False
+    ends = np.cumsum(lengths)[lengths > 0] - 1  # the last symbols of documents
     rules, expansion = np.zeros((0, 2), np.int64), np.ones(first_rule, np.int64)
     best, kept, since = None, None, 0
     while since < PATIENCE:
         wide, long = width(first_rule + len(rules)), width(int(expansion.max(initial=1)) + 1)
         bits = len(symbols) * wide + len(rules) * (2 * wide + long)
         if best is None or bits < best:
-            best, kept, since = bits, (symbols, inner, len(rules)), -1
+            best, kept, since = bits, (symbols, ends, len(rules)), -1
         since += 1
         least = 2 + (long + 1) // wide + 1  # occurrences that save more bits than a rule of this round takes
-        if wide <= 16:
-            half, keys = np.uint32(16), symbols.astype(np.uint32)
-        else:
-            half, keys = np.uint64(32), symbols.astype(np.uint64)
+        half, keys = (np.uint32(16), symbols.view(np.uint32)) if wide <= 16 else (np.uint64(32), symbols.astype(np.uint64))
         keys = (keys[:-1] << half) | keys[1:]
-        found, at, rank = _frequent_pairs(keys, inner[:-1], pairs, least)
-        fresh = np.append(True, np.diff(at) > 1)[: len(at)]
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0  # neighbours that overlap: every other one, from the left
+        found, at, rank = _frequent_pairs(keys, ends[:-1], pairs, least)
+        number = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(np.append(True, at[1:] - at[:-1] > 1)[: len(at)], number, 0))
+        take = ((number - run) & 1) == 0  # neighbours that overlap: every other one, from the left
         at, rank = at[take], rank[take]
         often = np.bincount(rank, minlength=len(found)) >= least  # pairs that overlapped others may be rare now
-        at, rank = at[often[rank]], rank[often[rank]]
+        if not often.all():
+            take = often.take(rank)
+            at, rank = at[take], rank[take]
         if not len(at):
             break
-        number = np.cumsum(often) - 1  # of the rules made
+        number = first_rule + len(rules) + np.cumsum(often) - 1  # of the rules made
         used = found[often]
         new = np.stack([used >> half, used & ((half.dtype.type(1) << half) - half.dtype.type(1))], axis=1).astype(np.int64)
-        symbols = symbols.copy()
-        symbols[at] = first_rule + len(rules) + number[rank]
         rules, expansion = np.concatenate([rules, new]), np.concatenate([expansion, expansion[new].sum(axis=1)])
-        ends = inner.copy()
-        ends[at] = inner[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, inner = symbols[keep], ends[keep]
-    symbols, inner, n = kept
-    last = np.flatnonzero(~inner)
+        symbols = symbols[keep]
+        symbols[at - np.arange(len(at))] = number.take(rank)
+        ends = ends - np.searchsorted(at + 1, ends, side="right")
+    symbols, ends, n = kept
     by_document = np.zeros(len(lengths), np.int64)
-    by_document[lengths > 0] = np.diff(last, prepend=-1)
+    by_document[lengths > 0] = np.diff(ends, prepend=-1)
     return symbols.astype(np.int64), by_document, rules[:n], expansion[first_rule : first_rule + n]
 
 
@@ -181,15 +179,17 @@ def pack(values: np.ndarray, bits: int) -> bytes:
 
 def unpack(raw: bytes, n: int, bits: int) -> np.ndarray:
     """``n`` numbers of ``bits`` bits."""
-    out = np.zeros(n, np.int64)
-    for i in range(0, n, _PACKED):
-        m = min(_PACKED, n - i)
-        flags = np.unpackbits(np.frombuffer(raw, np.uint8, (m * bits + 7) // 8, i * bits // 8), count=m * bits, bitorder="little").reshape(m, bits)
-        whole = np.zeros((m, 4), np.uint8)
-        packed = np.packbits(flags, axis=1, bitorder="little")
-        whole[:, : packed.shape[1]] = packed
-        out[i : i + m] = whole.view("<u4")[:, 0]
-    return out
+    eights = (n + 7) // 8  # numbers that fill whole bytes together
+    rows = np.frombuffer(raw.ljust(eights * bits, b"\0"), np.uint8, eights * bits).reshape(eights, bits)
+    out = np.zeros((eights, 8), np.int64)
+    for k in range(8):
+        first, shift = divmod(k * bits, 8)
+        last = (k * bits + bits - 1) // 8
+        value = rows[:, first].astype(np.int64) >> shift
+        for j in range(first + 1, last + 1):
+            value |= rows[:, j].astype(np.int64) << (8 * (j - first) - shift)
+        out[:, k] = value & ((1 << bits) - 1)
+    return out.reshape(-1)[:n]
 
 
 def write_block(doc_ids: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -227,7 +227,13 @@ class Block:
 
     def ids(self) -> np.ndarray:
         """The ids of all documents, one after the other."""
-        return self.used[expand(self.symbols, self.rules, self.first_rule)]
+        size = np.concatenate([np.ones(self.first_rule, np.int64), self.expansion])
+        if int(size.sum()) > _PACKED + 8 * int(self.lengths.sum()):  # much more than there is to read
+            return self.used[expand(self.symbols, self.rules, self.first_rule)]
+        each = self.used[expand(np.arange(len(size)), self.rules, self.first_rule)]  # of every symbol
+        if len(each) != int(size.sum()):
+            raise CorruptBlock("expansion")
+        return each.take(ragged((offsets_of(size)[:-1]).take(self.symbols), size.take(self.symbols)))
 
     def tokens(self, document: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of one document; only the symbols that hold them are expanded."""
@@ -244,18 +250,36 @@ class Block:
 # ---------------------------------------------------------------- tables
 
 
+#: What stands between pieces for the library, a code point that is no character, and how many pieces are one text.
+_BETWEEN, _JOINED = "\ufdd0", 128
+
+
 def _library_encoder(raw: bytes) -> BatchEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import AddedToken, Tokenizer, pre_tokenizers
+
+    def library():
+        tokenizer = Tokenizer.from_str(raw.decode())
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
-    tokenizer = Tokenizer.from_str(raw.decode())
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    joined, plain = library(), functools.cache(library)
+    # pieces are split already: of those joined by a token that isn't in the file, each is a word of its own
+    joined.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    joined.add_special_tokens([AddedToken(_BETWEEN, normalized=False, special=True)])
+    between = joined.token_to_id(_BETWEEN)
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        return lengths, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+        texts = [_BETWEEN.encode().join(pieces[k : k + _JOINED]).decode() for k in range(0, len(pieces), _JOINED)]
+        found = [x.ids for x in joined.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.array([i for ids in found for i in (*ids, between)], np.int32)
+        at = (flat == between).nonzero()[0]
+        if len(at) == len(pieces):
+            return np.diff(at, prepend=-1) - 1, flat[flat != between]
+        found = [x.ids for x in plain().encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]  # a text holds that token's string
+        lengths = np.array([len(x) for x in found], np.int64)
+        return lengths, np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
 
     out = BatchEncoder(class_table(), parse_merges(raw)[2], encode)
     out.cache.limit = 1_000_000

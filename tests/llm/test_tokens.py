@@ -183,6 +183,67 @@ def test_grammar_goes_on_while_pairs_save_bits():
         assert (repair.unpack(repair.pack(values, bits), len(values), bits) == values).all()
 
 
+def test_pieces_go_through_the_library_together(monkeypatch):
+    """Few texts for many pieces, and the ids that the library gives each text; also where a text holds what stands between pieces, or special strings."""
+    import tokenizers
+
+    seen = []
+
+    class Spy:
+        def __init__(self, inner):
+            object.__setattr__(self, "inner", inner)
+
+        @classmethod
+        def from_str(cls, text):
+            return cls(tokenizer_class.from_str(text))
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **more)
+
+    tokenizer_class = tokenizers.Tokenizer
+    raw = pretokens.tokenizer_file(pretokens.default_path())
+    library = tokenizer_class.from_str(raw.decode())
+    library.no_truncation()
+    library.no_padding()
+    monkeypatch.setattr(tokenizers, "Tokenizer", Spy)
+    encoder = repair._library_encoder(raw)
+    plain = ["", " ".join(f"w{k}x{k * k}" for k in range(3000)), "a  b\n\n c's we'll\t", "<|endoftext|>x<|endoftext|> <|endof", "héé 12٣ 日本 🙂\u00a0\u3000z", " " * 50, "qz" * 3000]
+    between = [f"p{repair._BETWEEN}{repair._BETWEEN}q r", repair._BETWEEN, f"<|endof{repair._BETWEEN}text|> {repair._BETWEEN} s", "after"]
+    for texts in (plain, between, plain + between):
+        data = "".join(texts).encode()
+        flat, at = encoder.ids(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+        for k, t in enumerate(texts):
+            assert flat[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+        if texts is plain:
+            assert encoder.cache.n > 3000 and sum(seen) < 200
+
+
+def test_a_block_is_read_from_its_expanded_rules(monkeypatch):
+    """Rules are expanded once, not at each of their places; a block whose expansions contradict its rules is refused."""
+    rng = np.random.default_rng(9)
+    words = [rng.integers(0, 300, 12) for _ in range(20)]
+    ids = np.concatenate([words[k] for k in rng.integers(0, 20, 9000)])
+    raw = repair.write_block(np.arange(9), ids, np.full(9, len(ids) // 9))
+    block, expanded, expand = repair.Block(raw), [], repair.expand
+    monkeypatch.setattr(repair, "expand", lambda symbols, *more: (expanded.append(len(symbols)), expand(symbols, *more))[1])
+    assert (block.ids() == ids).all()
+    assert sum(expanded) <= block.first_rule + len(block.rules) < len(block.symbols)
+    block.expansion = block.expansion + 1
+    with pytest.raises(repair.CorruptBlock):
+        block.ids()
+    for n in (0, 1, 7, 8, 9):
+        for bits in (1, 3, 9, 17, 31, 32):
+            values = rng.integers(0, 1 << bits, n)
+            assert (repair.unpack(repair.pack(values, bits), n, bits) == values).all()
+
+
 def test_grammar_and_random_access():
     rng = np.random.default_rng(5)
     words = [rng.integers(0, 50, rng.integers(2, 9)) for _ in range(40)]
