@@ -9,6 +9,7 @@ magic, a version and flags (a byte each).
 from __future__ import annotations
 
 import bisect
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -179,35 +180,53 @@ class RunFile:
 def run_files(df: DataFrame, run: str, options: WriteOptions | None = None) -> DataFrame:
     """(run, part, data): the file of the (key, seq, value, deleted) rows of each value of the long column ``run``, in parts.
 
-    Spark sorts; a run is written by one task, which holds an open block, the index, the filter and a part.
+    Spark sorts; a run is written by one task, which holds an open block, the index, the filter and a part. A run's
+    number of records comes as a row before its first one. A null run is none: its rows are left out.
     """
     options = (options or WriteOptions()).checked()
-    counts = df.groupBy(F.col(run).alias("__run")).agg(F.count("*").alias("n"))
-    rows = df.join(counts, F.col(run) == F.col("__run")).select(F.col(run).cast("long").alias("run"), F.col("key").cast("binary").alias("key"), "seq", F.col("value").cast("binary").alias("value"), "deleted", "n")
+    rows = df.filter(F.col(run).isNotNull()).select(F.col(run).cast("long").alias("run"), F.col("key").cast("binary").alias("key"), "seq", F.col("value").cast("binary").alias("value"), "deleted")
+    counts = rows.groupBy("run").agg(F.count("*").alias("n"))
+    counted = rows.withColumn("n", F.lit(None).cast("long")).unionByName(counts, allowMissingColumns=True)
 
     def write(batches):
-        which, writer, number, held = None, None, 0, []
-
-        def parts(last: bool):
-            nonlocal number, held
-            if held and (last or sum(map(len, held)) >= PART_BYTES):
-                yield pa.RecordBatch.from_arrays([pa.array([which], pa.int64()), pa.array([number], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["run", "part", "data"])
-                number, held = number + 1, []
+        which, writer, number, held, size = None, None, 0, [], 0
+
+        def parts(blocks: Iterable[bytes], last: bool):
+            nonlocal number, held, size
+            for block in blocks:
+                held.append(block)
+                size += len(block)
+                if size >= PART_BYTES:
+                    yield part()
+                    number, held, size = number + 1, [], 0
+            if last and held:
+                yield part()
+
+        def part():
+            return pa.RecordBatch.from_arrays([pa.array([which], pa.int64()), pa.array([number], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["run", "part", "data"])
 
         for batch in batches:
-            for one, key, seq, value, deleted, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if one != which:
-                    if writer is not None:
-                        held += writer.finish()
-                        yield from parts(True)
-                    which, writer, number, held = one, RunWriter(n, options), 0, []
-                held += writer.add([Record(key, seq, value or b"", deleted)])
-                yield from parts(False)
+            rows_of = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for (one, n), own in itertools.groupby(rows_of, key=lambda r: (r[0], r[5])):
+                if n is None:
+                    yield from parts(writer.add(Record(key, seq, value or b"", deleted) for _, key, seq, value, deleted, _ in own), False)
+                    continue
+                if writer is not None:
+                    yield from parts(writer.finish(), True)
+                which, writer, number, held, size = one, RunWriter(n, options), 0, [], 0
         if writer is not None:
-            held += writer.finish()
-            yield from parts(True)
+            yield from parts(writer.finish(), True)
+
+    return _whole_runs(counted).sortWithinPartitions("run", F.col("n").asc_nulls_last(), "key").mapInArrow(write, "run long, part long, data binary")
+
 
-    return rows.repartition("run").sortWithinPartitions("run", "key").mapInArrow(write, "run long, part long, data binary")
+def _whole_runs(df: DataFrame) -> DataFrame:
+    """``df`` with all rows of a run in one partition, for a map over partitions.
+
+    Spark leaves out a shuffle by columns that a join or an aggregation below has dealt the rows by, and may then split the partitions of that
+    one, as a map asks for none. Nothing below deals rows by a hash of the run, so this shuffle stays.
+    """
+    return df.repartition(F.xxhash64("run"))
 
 
 def _files(batches) -> Iterator[tuple[int, RunFile]]:

@@ -357,3 +357,24 @@ def test_run_files_of_a_table(spark):
         assert run_file.run_seek(parts, []).count() == 0
     finally:
         run_file.PART_BYTES = part
+
+
+def test_run_files_keep_runs_whole_whatever_the_plan(spark):
+    """Joins by the run that turn into broadcast joins as they run, as with large tables: the shuffle by run that they had is then read in slices."""
+    rows_of = [(k % 3, r.key.decode(), r.seq, None if r.deleted else r.value, r.deleted) for k, r in enumerate(records(400))]
+    plan = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in plan.items():
+        spark.conf.set(k, v)
+    part, run_file.PART_BYTES = run_file.PART_BYTES, 1000
+    try:
+        df = spark.createDataFrame(rows_of, "run long, key string, seq long, value binary, deleted boolean")
+        wanted = spark.createDataFrame([(k,) for k in range(3)], "run long")
+        for one in (df, df.join(wanted, "run")):
+            parts = run_file.run_files(one, "run", WriteOptions(block_size=300))
+            assert parts.count() == parts.select("run", "part").distinct().count() > 6
+            got = [(r["run"], r["key"], r["seq"], None if r["value"] is None else bytes(r["value"]), r["deleted"]) for r in run_file.run_records(parts).collect()]
+            assert sorted(got, key=str) == sorted(rows_of, key=str)
+    finally:
+        run_file.PART_BYTES = part
+        for k in plan:
+            spark.conf.unset(k)
