@@ -243,7 +243,7 @@ def _files(batches) -> Iterator[tuple[int, RunFile]]:
 
 
 def _in_order(parts: DataFrame) -> DataFrame:
-    return parts.select("run", "part", "data").repartition("run").sortWithinPartitions("run", "part")
+    return _whole_runs(parts.select("run", "part", "data")).sortWithinPartitions("run", "part")
 
 
 def run_records(parts: DataFrame) -> DataFrame:

@@ -378,3 +378,24 @@ def test_run_files_keep_runs_whole_whatever_the_plan(spark):
         run_file.PART_BYTES = part
         for k in plan:
             spark.conf.unset(k)
+
+
+def test_run_seek_and_records_of_joined_parts(spark):
+    """Parts that a join by the run has dealt already, which turns into a broadcast join as it runs: a file's parts stay together."""
+    rows_of = [(k % 3, r.key.decode(), r.seq, None if r.deleted else r.value, r.deleted) for k, r in enumerate(records(400))]
+    plan = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    part, run_file.PART_BYTES = run_file.PART_BYTES, 1000
+    try:
+        files = run_file.run_files(spark.createDataFrame(rows_of, "run long, key string, seq long, value binary, deleted boolean"), "run", WriteOptions(block_size=300)).collect()
+        for k, v in plan.items():
+            spark.conf.set(k, v)
+        parts, wanted = spark.createDataFrame(files, "run long, part long, data binary").repartition(4), spark.createDataFrame([(k,) for k in range(3)], "run long")
+        joined = parts.join(wanted, "run")
+        got = [(r["run"], r["key"], r["seq"], None if r["value"] is None else bytes(r["value"]), r["deleted"]) for r in run_file.run_records(joined).collect()]
+        assert sorted(got, key=str) == sorted(rows_of, key=str)
+        seen = {(r["run"], r["key"]): (r["seq"], r["status"]) for r in run_file.run_seek(joined, ["k0000", "k0001", "nothing"]).collect()}
+        assert seen[0, "k0000"] == (None, "deleted") and seen[1, "k0001"] == (2, "live") and seen[2, "k0001"] == (None, "absent") and len(seen) == 9
+    finally:
+        run_file.PART_BYTES = part
+        for k in plan:
+            spark.conf.unset(k)
